@@ -1,0 +1 @@
+"""Audit-log analytics and incident tracking as Spark DataFrame operators."""
