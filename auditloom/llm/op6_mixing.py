@@ -17,7 +17,7 @@ from .shared import table, written
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, 7
 #: Parts of one (source, length) by seeded hash, so that very many documents of one length are ranked in many tasks.
 PARTS = 256
-#: Words of budget that the dynamic programme fits; more is left to it only if no document is short enough before.
+#: Words of budget that are left to the dynamic programme, at most twice as many.
 FIT = 1 << 15
 
 
@@ -45,7 +45,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take, so that their words come as near ``budget`` as they can from below.
+    """How many documents of each length to take, so that their words come as near ``budget`` as they can.
 
     A common share of every length comes first, then long lengths while more than FIT words are left, then a bounded
     knapsack over the words that remain: reachable sums are bits of one number, counts are split into powers of two.
@@ -63,19 +63,29 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             more = min(int(counts[i] - take[i]), max(0, (left - FIT // 2) // int(lengths[i])))
             take[i] += more
             left -= more * int(lengths[i])
-    left = min(left, FIT * 2)
+    while left > 2 * FIT:  # all that remain are long: one at a time, the nearest to what is left
+        open_ = np.flatnonzero((counts > take) & (lengths > 0))
+        best = open_[np.argmin(np.abs(lengths[open_] - left))] if len(open_) else None
+        if best is None or abs(int(lengths[best]) - left) >= left:
+            return take
+        take[best] += 1
+        left -= int(lengths[best])
+    if left <= 0:
+        return take
     items, reach, steps = [], 1, []
-    for i in np.flatnonzero((counts > take) & (lengths > 0) & (lengths <= left)):
-        free, part = min(int(counts[i] - take[i]), left // int(lengths[i])), 1
+    for i in np.flatnonzero((counts > take) & (lengths > 0) & (lengths <= 2 * left)):
+        free, part = min(int(counts[i] - take[i]), 2 * left // int(lengths[i])), 1
         while free > 0:
             part = min(part, free)
             items.append((int(i), part))
             steps.append(reach)
-            reach |= (reach << part * int(lengths[i])) & ((1 << left + 1) - 1)
+            reach |= (reach << part * int(lengths[i])) & ((1 << 2 * left + 1) - 1)
             free, part = free - part, part * 2
         if reach >> left & 1:
             break
-    at = reach.bit_length() - 1
+    below = (reach & ((1 << left + 1) - 1)).bit_length() - 1
+    above = left + ((reach >> left) & -(reach >> left)).bit_length() - 1 if reach >> left else 2 * left + 1
+    at = below if left - below <= above - left else above
     for (i, part), before in zip(reversed(items), reversed(steps), strict=True):
         if not before >> at & 1:
             take[i] += part
