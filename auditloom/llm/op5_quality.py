@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = _features(picked, "y").toArrow()
     y = rows["y"].to_numpy()
     x = rows["x"].combine_chunks().flatten().to_numpy().reshape(len(y), -1).astype(np.float64) if len(y) else np.zeros((0, CONTENT + METADATA))
-    order = np.lexsort(np.column_stack([x[:, :60:7], y]).T) if len(y) else np.zeros(0, int)  # the same fit whatever the order of rows
+    order = np.lexsort(np.column_stack([x, y]).T)  # the same fit whatever the order of rows
     x, y = x[order], y[order]
     return Model(x[y >= 0], y[y >= 0], x[y < 0])
 
