@@ -118,14 +118,14 @@ def merge_events(parts: list[DataFrame], most: int = 500) -> DataFrame:
 
 
 def alert_entries(logs: DataFrame, default: str = "high") -> DataFrame:
-    """One row for each alert log that tells of a sending, a duplicate or a failure."""
+    """One row for each alert log that tells of a sending, a duplicate or a failure; logs arrive newest first."""
     text = F.col("text")
     duplicate, failed = text.rlike("(?i)SKIP duplicate"), text.rlike("(?i)webhook-failed|missing-webhook-config")
     mode = F.when(text.rlike("(?i)mode=real"), "real").otherwise("dry-run")
     pick = lambda k: F.nullif(F.regexp_extract(text, rf"{k}=(\S+)", 1), F.lit(""))
     rows = logs.where((F.col("service") == "alerts") & (duplicate | failed | text.rlike("(?i)OUTBOUND")))
     return rows.select(
-        F.col("file").alias("id"), F.col("epoch").alias("at"), F.unix_micros("mtime").alias("arrival"), S.loose_severity(F.coalesce(pick("severity"), F.lit(default))).alias("severity"), F.coalesce(pick("category"), F.lit("audit_alert")).alias("category"), F.coalesce(pick("dedup_key"), F.lit("unknown")).alias("dedup_key"),
+        F.col("file").alias("id"), F.col("epoch").alias("at"), F.negative(F.unix_micros("mtime")).alias("arrival"), S.loose_severity(F.coalesce(pick("severity"), F.lit(default))).alias("severity"), F.coalesce(pick("category"), F.lit("audit_alert")).alias("category"), F.coalesce(pick("dedup_key"), F.lit("unknown")).alias("dedup_key"),
         mode.alias("mode"), F.when(duplicate, "duplicate").otherwise("new").alias("status"), F.when(failed, "failed").when(mode == "dry-run", "skipped").otherwise("sent").alias("delivery"), S.summary_line("text").alias("summary"),
     )
 
