@@ -81,6 +81,12 @@ def drop_facts(comments: DataFrame, login: str) -> DataFrame:
     return told.select("repo", "number", F.coalesce("_bad", F.when(F.col("_ids") > 1, "state-marker-order-ambiguous"), F.when(~F.coalesce("_drop", F.lit(False)), "drop-not-current")).alias("d_error"))
 
 
+def drop_candidates(issues: DataFrame, cfg: Config) -> DataFrame:
+    """Numbers of the open issues that are looked at, each once and in order: ours, blocked, and no pull request."""
+    ours = issues.where((F.upper(S.text("state")) == "OPEN") & F.array_contains("labels", cfg.issue_label) & F.array_contains("labels", cfg.managed_prefix + "blocked") & ~F.coalesce("is_pull_request", F.lit(False)))
+    return ours.where("number > 0").select("repo", "number").dropDuplicates().orderBy("repo", "number")
+
+
 def drop_close(issues: DataFrame, comments: DataFrame, login: str, cfg: Config) -> DataFrame:
     """``issues`` with ``reason``: why an issue may not be closed as dropped, or ``close``."""
     rows = provenance(issues).join(drop_facts(comments, login).withColumn("_told", F.lit(True)), ["repo", "number"], "left")

@@ -93,6 +93,13 @@ def reemit_opens(incidents: DataFrame, now: Column) -> DataFrame:
     return incidents.where((F.col("state") == "open") & F.col("fired") & (F.coalesce("last_emit", F.lit(0)) + REEMIT_SECONDS <= now))
 
 
+def next_index(index: DataFrame, incidents: DataFrame) -> DataFrame:
+    """Fingerprints that the next scan looks at: those before, without the ones that ended, with the ones that are there now."""
+    ended = incidents.where("state in ('none', 'closed')").select("fp")
+    live = incidents.where("state not in ('none', 'closed')").select("fp")
+    return index.select("fp").join(ended, "fp", "left_anti").unionByName(live).distinct()
+
+
 INCIDENT_COLUMNS = [c.strip().split(" ")[0] for c in INCIDENT.split(",")]
 
 LABELS = {"recurring-failure": "recurring failure", "error-spike": "error spike", "flapping": "flapping", "pipeline-dead-letter": "dead letters"}

@@ -144,6 +144,19 @@ def labels(cfg: Config) -> Column:
     return F.filter(wanted, lambda x: x.isNotNull())
 
 
+#: Colours of severity labels.
+SEVERITY_COLOURS = {"critical": "b60205", "high": "d93f0b", "medium": "fbca04", "low": "c2e0c6"}
+
+
+def label_specs(requests: DataFrame, cfg: Config) -> DataFrame:
+    """``(repo, name, color, description)`` of every label that the requests need, once for each repository."""
+    each = requests.select("repo", F.explode(labels(cfg)).alias("name"))
+    severity = F.regexp_extract("name", "^severity:(.+)$", 1)
+    colour = F.coalesce(*(F.when(severity == k, v) for k, v in SEVERITY_COLOURS.items()), F.lit("ededed"))
+    told = F.when(severity != "", F.concat(F.lit("severity "), severity)).when(F.col("name").startswith("signal:"), F.concat(F.lit("detected by the rule "), F.regexp_replace("name", "^signal:", ""))).otherwise("set by the stability pipeline")
+    return each.distinct().select("repo", "name", colour.alias("color"), told.alias("description"))
+
+
 def issue_json(cfg: Config) -> Column:
     body = with_provenance(F.col("body_md"), provenance_marker(F.col("repo"), F.col("title")))
     return F.to_json(F.struct(F.col("title"), body.alias("body"), labels(cfg).alias("labels")))

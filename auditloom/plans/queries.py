@@ -431,6 +431,23 @@ def outbox_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.acknowledge(merged, acks).select("repo", "issue_number", "phase")
 
 
+@query("""SELECT 'org/r'||(user_id%3) AS repo,count(*) FILTER (user_id%4<>2) AS open_used,count(*) AS used,'2024-01-01' AS day FROM (SELECT DISTINCT user_id FROM events WHERE user_id%4<>0) GROUP BY 1""")
+def issue_budget_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    issues = _issue_tables(spark, sf_dir)[1]
+    return IS.open_counts(issues, CFG).join(IS.created_by_day(issues, "bot", CFG), "repo").select("repo", "open_used", "used", "day")
+
+
+@query("""SELECT DISTINCT 'org/r'||(user_id%3) AS repo,n AS name,CASE n WHEN 'severity:high' THEN 'd93f0b' ELSE 'ededed' END AS color FROM events CROSS JOIN (SELECT unnest(['stability','signal:error-spike','severity:high']) AS n) WHERE event_type='error' UNION
+ SELECT DISTINCT 'org/r'||(user_id%3),'severity:urgent','ededed' FROM events WHERE event_type='error' AND event_id%53=0""")
+def label_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return IS.label_specs(_issue_tables(spark, sf_dir)[0], CFG).select("repo", "name", "color")
+
+
+@query("SELECT c_custkey AS number FROM customer WHERE c_custkey>0 AND c_custkey%12 NOT IN (1,3)")
+def drop_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.drop_candidates(_drop_tables(spark, sf_dir)[0], CFG).select("number")
+
+
 @query("SELECT c_custkey AS number FROM customer WHERE c_custkey%3<>0 AND c_custkey>0")
 def content_change_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer")

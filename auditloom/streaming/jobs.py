@@ -18,6 +18,7 @@ from ..functions import scalars as S
 from ..operators import alerts as A
 from ..operators import gates as G
 from ..operators import snapshots as SN
+from ..operators import stability as ST
 from ..operators.batching import make_batches
 from ..operators.incidents import TTL_SECONDS
 from ..sources import logs as L
@@ -77,6 +78,29 @@ def bucket_stream(records: DataFrame, cfg: Config, delay: str = "2 hours") -> Da
     return counted.select("family", "scope", "rtype", S.bucket_of(F.unix_seconds("w.start"), cfg.bucket_seconds).alias("bucket"), "fails", "total")
 
 
+def scan_job(buckets: DataFrame, folder: str, checkpoint: str, cfg: Config, once: bool = True) -> StreamingQuery:
+    """Closed buckets join the bucket table, and the rules that need no single events are evaluated for its newest bucket.
+
+    Only the lookback's buckets are read again. ``covered`` are the buckets from the table's first to its last, so a
+    component that is silent in the newest one is quiet, not unknown.
+    """
+    spark = buckets.sparkSession
+
+    def each(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/buckets/run={batch}")
+        table = spark.read.parquet(f"{folder}/buckets").drop("run").groupBy(*ST.GROUP, "bucket").agg(F.sum("fails").alias("fails"), F.sum("total").alias("total"))
+        first, last = table.agg(F.min("bucket"), F.max("bucket")).first()
+        if last is None:
+            return
+        recent = table.where(F.col("bucket") > last - cfg.lookback_buckets)
+        covered = spark.createDataFrame([(max(first, last - cfg.lookback_buckets + 1), last)], "covered_first bigint, covered_last bigint")
+        grid = ST.calendar(recent, covered).select(*ST.GROUP, "bucket", "fails", "total")
+        told = [r.where(F.col("bucket") == last).select(F.lit(s).alias("signal"), *ST.GROUP, "bucket", "fired", (F.col("fails") == 0).alias("quiet_ok")) for s, r in (("recurring-failure", ST.recurring(grid, cfg)), ("error-spike", ST.error_spike(grid, cfg)))]
+        told[0].unionByName(told[1]).write.mode("overwrite").parquet(f"{folder}/candidates/run={batch}")
+
+    return _start(buckets, checkpoint, each, once=once)
+
+
 def unseen_stream(records: DataFrame, ttl: str = "7 days") -> DataFrame:
     """Records whose (source, id) didn't come in the last seven days of event time."""
     return records.withColumn("ts", F.timestamp_seconds(S.epoch_of("occurredAtUtc"))).where("id <> '' and ts is not null").withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["source_id", "id"]).drop("ts")

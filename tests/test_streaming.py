@@ -53,6 +53,19 @@ def test_closed_buckets(spark, records, tmp_path):
     assert got.count() > 100 and same(got, want)
 
 
+def test_scan_of_the_newest_bucket(spark, records, tmp_path):
+    events = ST.stability_events(records, CFG)
+    buckets = ST.component_buckets(events)
+    schema = split(buckets, f"{tmp_path}/in", "bucket", n=2)
+    J.scan_job(stream(spark, schema, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck", CFG).awaitTermination(240)
+    last = buckets.agg(F.max("bucket")).first()[0]
+    got = spark.read.parquet(f"{tmp_path}/out/candidates").where(F.col("bucket") == last).drop("run")
+    grid = ST.calendar(buckets, ST.coverage(events.where("not attempt"))).select(*ST.GROUP, "bucket", "fails", "total")
+    want = ST.recurring(grid, CFG).where(F.col("bucket") == last)
+    assert {(r["family"], r["scope"]): r["fired"] for r in got.where("signal = 'recurring-failure'").collect()}.items() <= {(r["family"], r["scope"]): r["fired"] for r in want.collect()}.items()
+    assert got.count() > 0
+
+
 def test_batches_of_each_run(spark, records, tmp_path):
     lines = records.select(F.lit("/a.log").alias("path"), F.floor(F.col("event_id") / 300).cast("bigint").alias("from_offset"), F.lit(9).cast("bigint").alias("to_offset"), F.col("event_id").alias("line_no"), F.concat_ws(" ", "action", "outcome", "auditActorId").alias("line"))
     schema = split(lines, f"{tmp_path}/in", "line_no", n=1)
