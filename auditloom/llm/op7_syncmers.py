@@ -112,7 +112,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("key"), docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     cuts = sorted({int(x) for x in rows.where("doc_id is not null").stat.approxQuantile("key", [i / n for i in range(1, n)], 1 / (8 * n))})
     steps = max(1, len(cuts)).bit_length()
-    bounds = F.array(*map(F.lit, cuts), *[F.lit((1 << 63) - 1)] * ((1 << steps) - len(cuts)))
+    bounds = F.lit(np.array(cuts + [(1 << 63) - 1] * ((1 << steps) - len(cuts)), np.int64))  # one literal, however many cuts
     search = F.aggregate(F.array(*[F.lit(1 << i) for i in reversed(range(steps))]), F.lit(0), lambda low, step: F.when(F.element_at(bounds, low + step) <= F.col("key"), low + step).otherwise(low))
     rows = rows.withColumn("bucket", search if cuts else F.lit(0))
     # at most n rows of numbers: one for each range
