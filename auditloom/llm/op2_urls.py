@@ -109,4 +109,34 @@ def op2_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def _rank_sql(name: str, edges: str, seeds: str) -> str:
+    """Common table expressions of a propagation with its rounds written out; the last one is called ``name``."""
+    parts = [
+        f"{name}_o AS (SELECT src, sum(w) AS t FROM {edges} GROUP BY src)",
+        f"{name}_s AS (SELECT src, dst, w/t AS share FROM {edges} JOIN {name}_o USING (src) UNION ALL SELECT host, host, 1.0 FROM (SELECT host FROM {seeds} UNION SELECT dst FROM {edges}) WHERE host NOT IN (SELECT src FROM {edges}))",
+        f"{name}_0 AS (SELECT host, seed AS score FROM {seeds})",
+    ]
+    for k in range(ROUNDS):
+        to = name if k == ROUNDS - 1 else f"{name}_{k + 1}"
+        moved = f"SELECT dst AS host, score*share*{DAMPING} AS x FROM {name}_{k} JOIN {name}_s ON src=host UNION ALL SELECT host, seed*{1 - DAMPING} FROM {seeds}"
+        parts.append(f"{to} AS (SELECT host, sum(x) AS score FROM ({moved}) GROUP BY host)")
+    return ", ".join(parts)
+
+
+def _oracle() -> str:
+    lower = "translate(coalesce(regexp_extract({0}, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    longest = sorted(RULES, key=lambda r: -len(r[1]) - len(r[2]))
+    pick = lambda i: "CASE " + " ".join(f"WHEN (host='{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{(kind, h + p)[i]}'" for kind, h, p in longest) + " END"
+    links = r"""unnest(list_distinct(regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]+)', 1)))"""
+    return f"""WITH p AS (SELECT page_id, html, {lower.format("url")} AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages), r AS (SELECT *, {pick(1)} AS rule, {pick(0)} AS ruled FROM p),
+ h AS (SELECT host, count(*) AS n, (count(*) FILTER (ruled='allow'))::DOUBLE AS good, (count(*) FILTER (ruled='block'))::DOUBLE AS bad FROM r GROUP BY host),
+ l AS (SELECT host AS src, {lower.format("'x://' || regexp_extract(u, '//(.*)$', 1)")} AS dst FROM (SELECT host, {links} AS u FROM r)),
+ up AS (SELECT host AS a, substr(host, instr(host, '.') + 1) AS b FROM h WHERE host LIKE '%.%.%'),
+ e AS (SELECT src, dst, sum(w)::DOUBLE AS w FROM (SELECT src, dst, 1 AS w FROM l WHERE src<>'' AND dst<>'' AND src<>dst UNION ALL SELECT a, b, 1 FROM up UNION ALL SELECT b, a, 1 FROM up) GROUP BY ALL), back AS (SELECT dst AS src, src AS dst, w FROM e),
+ sg AS (SELECT host, good AS seed FROM h WHERE good>0), sb AS (SELECT host, bad AS seed FROM h WHERE bad>0), {_rank_sql("trust", "e", "sg")}, {_rank_sql("distrust", "back", "sb")},
+ v AS (SELECT h.host, coalesce(d.score, 0)/n >= {THRESHOLD} AND coalesce(d.score, 0) > coalesce(t.score, 0) AS blocked FROM h LEFT JOIN trust t USING (host) LEFT JOIN distrust d USING (host))
+ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN v USING (host)"""
+
+
 QUERIES = {"op2_url_graph": op2_url_graph}
+ORACLE_SQL = {"op2_url_graph": _oracle()}

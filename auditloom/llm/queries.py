@@ -8,5 +8,5 @@ QUERIES = {
     for name, query in module.QUERIES.items()
 }
 
-#: None of these has an equal in SQL: see the README for what each is tested against.
-ORACLE_SQL: dict[str, str] = {}
+#: The others have no equal in SQL: see the README for what each is tested against.
+ORACLE_SQL: dict[str, str] = dict(op2_urls.ORACLE_SQL)

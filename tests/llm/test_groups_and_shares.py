@@ -54,6 +54,20 @@ def test_propagation_equals_power_iteration(spark):
     assert got == pytest.approx(dict(zip(names, score, strict=True)))
 
 
+def test_urls_equal_the_sql(spark, pages, tmp_path):
+    import duckdb
+
+    made = [(i, u, h) for i, (u, h) in enumerate([("http://bad.net/x", None)] * 9 + [("http://friend.test/a", '<a href="http://bad.net/1"><img src=//c.d.org/2>')] * 3 + [("http://A.b.ok.org/fr/1", "<a href='http://friend.test/'>")] * 5 + [("http://b.ok.org/x", None), (None, None), ("x", "")] * 2)]
+    given = spark.createDataFrame(made, "page_id long, url string, html string")
+    for name, frame in (("hand", given), ("table", spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))):
+        frame.write.parquet(f"{tmp_path}/{name}")
+        c = duckdb.connect()
+        c.execute(f"create view pages as select * from '{tmp_path}/{name}/*.parquet'")
+        want = c.execute(op2_urls.ORACLE_SQL["op2_url_graph"]).df()[["page_id", "host", "path", "rule", "verdict"]]
+        got = op2_urls.judge(frame).toPandas()
+        assert sorted(map(str, want.astype(object).where(want.notna(), None).values.tolist())) == sorted(map(str, got.astype(object).where(got.notna(), None).values.tolist()))
+
+
 def test_pages_without_rows_or_links(pages):
     assert op2_urls.judge(pages([(1, "x", None)]).limit(0)).count() == 0
     assert op2_urls.judge(pages([(None, None, None), (None, None, None)])).count() == 2
