@@ -205,11 +205,8 @@ def groups(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, segments: int
     linked = joined.join(least, "root").select("fp", "component_id")  # only fingerprints that have links and a root other than themselves
     linked = linked.unionByName(least.join(joined.select("root").distinct(), "root", "left_semi").select(F.col("root").alias("fp"), "component_id"))
     own = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    # equal fingerprints may be a third of all rows: such rows meet their component under several salts
-    salts = 32
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    own = own.select("fp", "component_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    return salted.join(own, ["fp", "salt"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # equal fingerprints may be a third of all rows: adaptive execution splits such a partition of this inner join
+    return rows.join(own, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
