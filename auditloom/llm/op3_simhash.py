@@ -41,28 +41,42 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[min(size, len(words)) - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def fingerprint(text: str, size: int = SHINGLE) -> int:
-    """A bit is set if over half of the shingles' hashes set it; no words give 0."""
+def _view(hashes: np.ndarray, view: int) -> np.ndarray:
+    """The hashes as another view sees them: view 0 takes them as they are, others mix them anew."""
+    if not view:
+        return hashes
+    x = hashes ^ np.uint64(0x9E3779B97F4A7C15 * view & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str, size: int = SHINGLE, views: int = 1) -> list[int]:
+    """A fingerprint for each view: a bit is set if over half of the shingles' hashes set it; no words give 0."""
     words = text.encode().lower().split()
     if not words:
-        return 0
-    n, sums = max(1, len(words) - size + 1), np.zeros(64, np.int64)
+        return [0] * views
+    n, sums = max(1, len(words) - size + 1), np.zeros((views, 64), np.int64)
     for i in range(0, n, BLOCK):
         hashes = shingle_hashes(words[i : i + BLOCK + size - 1], size)
-        sums += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(sums * 2 > n, bitorder="little").tobytes(), "little")
+        for v in range(views):
+            bits = np.unpackbits(_view(hashes, v).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            sums[v] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(sums * 2 > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)``, fp as a signed long; a null text is an empty one."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, views: int = 1) -> DataFrame:
+    """``(doc_id, fp[, fp1, ...])``, a signed long for each view; a null text is an empty one."""
+    names = [f"fp{v or ''}" for v in range(views)]
 
     def run(batches):
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                found = np.array([fingerprint(t or "", size) for t in part.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+                found = np.array([fingerprint(t or "", size, views) for t in part.column(1).to_pylist()], np.uint64).reshape(-1, views)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(found[:, v].copy().view(np.int64)) for v in range(views))], ["doc_id", *names])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, fp long")
+    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, schema)
 
 
 def _turn(x: np.ndarray, start: int) -> np.ndarray:
@@ -190,23 +204,38 @@ def links(fps: DataFrame, bits: int = BITS, segments: int = SEGMENTS) -> DataFra
     return few.unionByName(stars).distinct()
 
 
-def groups(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, segments: int = SEGMENTS) -> DataFrame:
+def _links_of_view(rows: DataFrame, name: str, bits: int, segments: int) -> DataFrame:
+    """Links ``(a, b)`` between first fingerprints whose documents are near each other in another view."""
+    pairs = written(rows.select("fp", name).distinct(), name)
+    least = written(pairs.groupBy(name).agg(F.min("fp").alias("rep")), f"{name}-least")
+    equal = pairs.join(least, name).where("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b"))
+    near = links(least.select(F.col(name).alias("fp")), bits, segments)
+    ends = [least.select(F.col(name).alias(c), F.col("rep").alias(f"to_{c}")) for c in ("a", "b")]
+    near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+    return equal.unionByName(near)
+
+
+def groups(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, segments: int = SEGMENTS, views: int = 1) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs(doc_id, text)``.
 
     Fingerprints within ``bits`` bits are linked, and linked groups grow together; component_id is the least doc_id
-    reached. Nulls: a null text is an empty one (fingerprint 0); a null doc_id is kept, and is the component_id only
+    reached. With more ``views``, each an independent fingerprint of the same shingles, documents are linked that are
+    within ``bits`` in any of them: edits that flip a few bits too many in one view are caught by another.
+    Nulls: a null text is an empty one (fingerprint 0); a null doc_id is kept, and is the component_id only
     if its group has no other. Repeated rows: a row each. Empty table: no rows. Other columns are not read.
     """
-    rows = written(fingerprints(docs, size), "fingerprints")
+    rows = written(fingerprints(docs, size, views), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    joined = components(links(distinct, bits, segments)).withColumnsRenamed({"node": "fp", "component": "root"})
+    linked = links(distinct, bits, segments)  # equal first fingerprints are one node
+    for v in range(1, views):
+        linked = linked.unionByName(_links_of_view(rows, f"fp{v}", bits, segments))
+    joined = components(linked).withColumnsRenamed({"node": "fp", "component": "root"})
     rooted = distinct.join(joined, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = joined.join(least, "root").select("fp", "component_id")  # only fingerprints that have links and a root other than themselves
-    linked = linked.unionByName(least.join(joined.select("root").distinct(), "root", "left_semi").select(F.col("root").alias("fp"), "component_id"))
-    own = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    rooted = written(rooted, "rooted")
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    grouped = written(rooted.join(least, "root").select("fp", "component_id"), "grouped")
     # equal fingerprints may be a third of all rows: adaptive execution splits such a partition of this inner join
-    return rows.join(own, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(grouped, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,19 +45,20 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(node, component)``, component = the smallest node reached.
 
     Alternates the large-star and small-star steps; each round is written to the shared folder, so a round's work
-    is never repeated. Minima are taken by partial aggregation and the join back to the edges can be split by
-    adaptive execution, so a hub with very many neighbours doesn't land in one task. Nulls and self-links are
-    ignored; no edges give no rows. Ends when a round changes nothing; more than ``rounds`` rounds is an error.
+    is never repeated. Minima are taken by partial aggregation and written, so that the join back to the edges is one of
+    two plain inputs, which adaptive execution can split: a hub with very many neighbours doesn't land in one task.
+    Nulls and self-links are ignored; no edges give no rows. Ends when a round changes nothing; more than ``rounds``
+    rounds is an error.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     e = written(e.where("u is not null and v is not null and u <> v").distinct(), "links")
     before = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large.where("u <> v").distinct(), "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         star = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = written(star, "star")

@@ -112,11 +112,33 @@ def test_simhash_groups_equal_brute_force(docs, prose, odd):
     assert {r["component_id"] for r in found if r["doc_id"] in (1, 2, 9, 11)} == {1} and {r["component_id"] for r in found if r["doc_id"] in (5, 6)} == {5}
 
 
-def flipped(r, n):
-    x = r.getrandbits(64)
-    for b in r.sample(range(64), n):
-        x ^= 1 << b
-    return x
+def test_more_views_link_more_near_copies(docs, prose):
+    r = random.Random(11)
+    rows = []
+    for i in range(40):
+        words = prose(220, i).split()
+        other = list(words)
+        for k in r.sample(range(len(other)), 2):
+            other[k] = "changed"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    one = {x["doc_id"]: x["component_id"] for x in op3_simhash.groups(docs(rows)).collect()}
+    four = {x["doc_id"]: x["component_id"] for x in op3_simhash.groups(docs(rows), views=4).collect()}
+    caught = [sum(g[2 * i + 1] == 2 * i for i in range(40)) for g in (one, four)]
+    assert caught[1] > caught[0] and caught[1] >= 30
+    fps = [op3_simhash.fingerprint(t, views=4) for _, t in rows]
+    root = list(range(80))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(80):
+        for j in range(i):
+            if any((a ^ b).bit_count() <= 3 for a, b in zip(fps[i], fps[j], strict=True)):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert [four[i] for i in range(80)] == [find(i) for i in range(80)]
 
 
 def signed(x):
