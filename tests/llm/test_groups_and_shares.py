@@ -38,20 +38,36 @@ def test_distrust_flows_to_hosts_that_link_to_blocked_ones(pages):
     assert {rows[100 + i] for i in range(4)} == {"block"} and {rows[200 + i] for i in range(4)} == {"allow"}
 
 
-def test_propagation_equals_power_iteration(spark):
-    edges = [("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 1.0), ("d", "a", 3.0), ("c", "d", 1.0), ("c", "e", 1.0)]
-    got = {r["host"]: r["score"] for r in op2_urls.propagate(spark.createDataFrame(edges, "src string, dst string, w double"), spark.createDataFrame([("a", 3.0), ("z", 1.0)], "host string, seed double")).collect()}
-    names = ["a", "b", "c", "d", "e", "z"]
-    move = np.zeros((6, 6))
+def test_propagation_equals_the_settled_ranks(spark):
+    edges = [("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 1.0), ("d", "a", 3.0), ("c", "d", 1.0), ("c", "e", 1.0), ("p", "q", 1.0), ("q", "p", 1.0)]
+    seeds = [("a", 3.0), ("z", 1.0), ("p", 12.0)]
+    frames = [[("one", *x) for x in edges] + [("other", "a", "z", 1.0)], [("one", *x) for x in seeds] + [("other", "a", 8.0)]]
+    got = {(r["kind"], r["host"]): r["score"] for r in op2_urls.propagate(spark.createDataFrame(frames[0], "kind string, src string, dst string, w double"), spark.createDataFrame(frames[1], "kind string, host string, seed double")).collect()}
+    names = ["a", "b", "c", "d", "e", "z", "p", "q"]
+    move = np.zeros((8, 8))
     for s, d, w in edges:
         move[names.index(d), names.index(s)] = w / sum(x for a, _, x in edges if a == s)
     for end in ("e", "z"):
         move[names.index(end), names.index(end)] = 1
-    seed = np.array([3, 0, 0, 0, 0, 1.0])
-    score = seed
-    for _ in range(op2_urls.ROUNDS):
-        score = op2_urls.DAMPING * move @ score + (1 - op2_urls.DAMPING) * seed
-    assert got == pytest.approx(dict(zip(names, score, strict=True)))
+    seed = np.array([dict(seeds).get(n, 0.0) for n in names])
+    want = np.linalg.solve(np.eye(8) - op2_urls.DAMPING * move, (1 - op2_urls.DAMPING) * seed)
+    assert {k[1]: v for k, v in got.items() if k[0] == "one"} == pytest.approx(dict(zip(names, want, strict=True)), abs=op2_urls.TOLERANCE)
+    assert {k[1]: v for k, v in got.items() if k[0] == "other"} == pytest.approx({"a": 4.0, "z": 4.0}, abs=op2_urls.TOLERANCE)
+
+
+def test_scores_reach_hosts_that_are_many_links_away_and_ancestors_without_pages(pages):
+    chain = [(i, f"http://h{i}.test/a", f'<a href="http://h{i + 1}.test/1">') for i in range(12)] + [(50 + i, "http://h12.test/", '<a href="//bad.net/">') for i in range(2)]
+    rows = {r["page_id"]: r for r in op2_urls.judge(pages(chain + [(100 + i, "http://bad.net/x", None) for i in range(3000)])).collect()}
+    assert all(0 < rows[i]["distrust"] < rows[i + 1]["distrust"] for i in range(1, 11)) and rows[0]["distrust"] > 0
+    site = [(1, "http://example.com/de/x", None), (2, "http://a.b.c.example.com/", None), (3, "http://other.test/", None)]
+    rows = {r["page_id"]: r for r in op2_urls.judge(pages(site)).collect()}
+    assert rows[2]["distrust"] > 0 and rows[3]["distrust"] == 0
+
+
+def test_very_long_urls_and_pages(pages):
+    long = [(1, "http://a.net/" + "x" * 200_000 + "?q", None), (2, "http://" + "h." * 500 + "test/p", "<p>" * 200_000 + '<a href="//b.net/">'), (3, "http://b.net/", None)]
+    rows = {r["page_id"]: r for r in op2_urls.judge(pages(long)).collect()}
+    assert len(rows[1]["path"]) == 200_001 and rows[1]["rule"] == "net/" and rows[2]["distrust"] > 0
 
 
 def test_urls_equal_the_sql(spark, pages, tmp_path):
@@ -63,7 +79,7 @@ def test_urls_equal_the_sql(spark, pages, tmp_path):
         frame.write.parquet(f"{tmp_path}/{name}")
         c = duckdb.connect()
         c.execute(f"create view pages as select * from '{tmp_path}/{name}/*.parquet'")
-        want = c.execute(op2_urls.ORACLE_SQL["op2_url_graph"]).df()[["page_id", "host", "path", "rule", "verdict"]]
+        want = c.execute(op2_urls.ORACLE_SQL["op2_url_graph"]).df()[["page_id", "host", "path", "rule", "verdict", "trust", "distrust"]]
         got = op2_urls.judge(frame).toPandas()
         assert sorted(map(str, want.astype(object).where(want.notna(), None).values.tolist())) == sorted(map(str, got.astype(object).where(got.notna(), None).values.tolist()))
 
