@@ -192,41 +192,85 @@ def test_held_out_documents_are_told_apart(languages):
     assert {r["lang_pred"] for r in rows if r["doc_id"] in (1000, 1001, 1002)} == {"und"}
 
 
-def test_probabilities_are_those_of_interpolated_kneser_ney():
-    texts = ["abab abba", "aabb"]
-    counts = {}
-    for lang, text in zip("xy", texts, strict=True):
-        counts[lang] = np.unique(op9_language.grams(text), return_counts=True)
-    model = op9_language.Model(counts)
-    alphabet = sorted({int(g) & 0xFFFF for gs, _ in counts.values() for g in gs.tolist()})
-
-    def p(lang, context, c):  # from the definition
-        full = {tuple((int(g) >> s & 0xFFFF) for s in (48, 32, 16, 0)): int(n) for g, n in zip(*counts[lang], strict=True)}
-        table, k = full, 4
-        tables = {4: full}
-        while k > 1:
+def kneser_ney(texts, floor):
+    """p(lang, context, character) from the definition, with texts as lists of characters after three zeros."""
+    full = {lang: {} for lang in texts}
+    for lang, own in texts.items():
+        for s in own:
+            for i in range(3, len(s)):
+                g = tuple(s[i - 3 : i + 1])
+                full[lang][g] = full[lang].get(g, 0) + 1
+
+    def tables(lang):
+        found = {4: full[lang]}
+        for k in (3, 2, 1):
             lower = {}
-            for g in table:
+            for g in found[k + 1]:
                 lower[g[1:]] = lower.get(g[1:], 0) + 1
-            k, table = k - 1, lower
-            tables[k] = lower
-
-        def prob(h, m):
-            t = {g: n for g, n in tables[m].items() if g[:-1] == h}
-            below = prob(h[1:], m - 1) if m > 1 else model.floor
-            if not t:
-                return below
-            return (max(t.get((*h, c), 0) - 0.75, 0) + 0.75 * len(t) * below) / sum(t.values())
-
-        return prob(tuple(context), 4)
-
-    for context in ((0, 97, 98), (97, 98, 97), (98, 98, 98), (0, 0, 0)):
-        gram = np.array([sum(v << s for v, s in zip((*context, c), (48, 32, 16, 0), strict=True)) for c in alphabet], np.uint64)
-        got = np.exp(model.log_probabilities(gram))
-        for row, c in zip(got, alphabet, strict=True):
+            found[k] = lower
+        return found
+
+    known = {lang: tables(lang) for lang in texts}
+
+    def prob(lang, h, c, m):
+        t = {g: n for g, n in known[lang][m].items() if g[:-1] == h}
+        below = prob(lang, h[1:], c, m - 1) if m > 1 else floor
+        return (max(t.get((*h, c), 0) - 0.75, 0) + 0.75 * len(t) * below) / sum(t.values()) if t else below
+
+    return lambda lang, context, c: prob(lang, tuple(context), c, 4)
+
+
+def ids_of(fold, n):
+    return [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == fold][:n]
+
+
+def test_probabilities_are_those_of_interpolated_kneser_ney(docs):
+    texts = {"x": ["abab abba", "ab \U0001e922\U0001e923"], "y": ["aabb"]}  # two letters beyond U+FFFF
+    ids = iter(ids_of(2, 9))
+    model = op9_language.train(docs([(next(ids), t, lang) for lang, own in texts.items() for t in own]))
+    plain = {lang: [op9_language.symbols(t).tolist() for t in own] for lang, own in texts.items()}
+    alphabet = sorted({c for own in plain.values() for s in own for c in s[3:]})
+    assert model.langs == ["x", "y"] and model.floor == 1 / (1 + len(alphabet)) and 0x1E922 in alphabet
+    p = kneser_ney(plain, model.floor)
+    for context in ((0, 97, 98), (97, 98, 97), (98, 98, 98), (0, 0, 0), (98, 0, 0x1E922)):
+        rows = np.concatenate([op9_language.hashes(np.array([*context, c], np.uint64)) for c in alphabet], axis=1)
+        for row, c in zip(np.exp(model.log_probabilities(rows)), alphabet, strict=True):
             assert row == pytest.approx([p(lang, context, c) for lang in "xy"], rel=1e-4)
 
 
+def test_a_small_model_keeps_sums_of_one_and_most_predictions(languages):
+    whole, small = op9_language.train(languages), op9_language.train(languages, cells=1200)
+    assert sum(len(o[0]) for o in small.orders) < sum(len(o[0]) for o in whole.orders) / 3
+    letters = [0, *sorted({c for r in languages.collect() if r["text"] for c in op9_language.symbols(r["text"]).tolist()[3:]} - {0})]
+    rows = np.concatenate([op9_language.hashes(np.array([0, 97, 110, c], np.uint64)) for c in letters], axis=1)
+    assert np.exp(small.log_probabilities(rows)).sum(axis=0) == pytest.approx(np.exp(whole.log_probabilities(rows)).sum(axis=0), abs=0.05)
+    truth = {r["doc_id"]: r["lang"] for r in languages.collect()}
+    rows = [r for r in op9_language.predict(languages, small).collect() if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 300]
+    assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in rows]) > 0.9
+
+
+def test_symbols_that_are_no_letters_are_undetermined(docs, prose):
+    learned = [(i, prose(30, i), "en") for i in ids_of(2, 8)]
+    texts = ["😀 🎉🎉", "123 !?", "\u0661\u0662", "", None]
+    rows = collected(op9_language.predict(docs([(1000 + i, t, None) for i, t in enumerate(texts)] + [(2000, "😀 the word", None)]), op9_language.train(docs(learned))))
+    assert [(r["lang_pred"], r["score"]) for r in rows] == [("und", 0.0)] * 5 + [("en", 1.0)]
+
+
+def test_odd_documents_and_long_texts_have_a_row_each(odd, monkeypatch):
+    model = op9_language.train(odd)
+    rows = collected(op9_language.predict(odd, model))
+    assert len(rows) == odd.count() and rows[4] == rows[5]
+    whole = model.cross_entropy(["wörd " * 4_000])
+    monkeypatch.setattr(op9_language, "BLOCK", 1000)
+    assert model.cross_entropy(["wörd " * 4_000]) == pytest.approx(whole)
+
+
+def test_calibration_sees_other_documents_and_covers_every_language(docs, prose):
+    rows = [(i, prose(40, i), "en") for i in ids_of(2, 10) + ids_of(1, 10)] + [(i, "ein wort und noch " * 5 + str(i), "de") for i in ids_of(3, 5)] + [(i, "solo una palabra " * 4, "es") for i in ids_of(1, 40)[30:]]
+    model = op9_language.train(docs(rows))
+    assert model.langs == ["de", "en", "es"] and set(model.reject) == {"de", "en", "es"}
+
+
 def test_nothing_learned_is_undetermined(empty, docs):
     model = op9_language.train(empty)
     assert [r["lang_pred"] for r in op9_language.predict(docs([(1, "abc")]), model).collect()] == ["und"]
