@@ -1,20 +1,22 @@
-"""Secret scans: fixed patterns, and dictionary-primed zstandard novelty for the strings that they miss.
+"""Secret scans: fixed patterns, and dictionary-primed zstandard novelty.
 
-A candidate stands near a sensitive word. Its marginal size is what a zstandard frame of the surrounding text grows by
-when the candidate is added, with a dictionary trained on the identifiers of the corpus. Words and code that the
-surroundings or the dictionary know add few bytes; random strings add nearly as many as they have.
+A candidate is a whole run of key characters in a sensitive context: near a sensitive word, before or after it, or inside
+a PEM block. Its marginal size is what a zstandard frame of the surrounding text grows by when the candidate is added, with
+a dictionary trained on the corpus' own lines and identifiers. Words and code that the surroundings or the dictionary know
+add few bytes; secrets add nearly as many as a random string in their place. No length or mix of characters decides.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, written
 
 #: Fixed patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -22,36 +24,45 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-SENSITIVE = "passw|secret|token|api_?key|credential|private_?key|auth|bearer"
+SENSITIVE = r"passw|secret|token|api[_ ]?key|credential|private[_ ]?key|auth|bearer"
 NEAR = re.compile(SENSITIVE, re.I | re.A)
-CANDIDATE = re.compile(r"(?<![@A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,512}(?![@A-Za-z0-9+/_=-])")
-#: Characters after a sensitive word in which a candidate begins; characters around it that count as its surroundings.
+PEM = re.compile(r"-----BEGIN [A-Z ]+-----(.*?)-----END ", re.S)
+#: Runs that are looked at, of so many characters at least; an equals sign parts a name from its value.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.-]{12,}=*")
+#: Characters between a sensitive word and a candidate; characters around a candidate that count as its surroundings.
 REACH, AROUND = 64, 160
-#: Marginal bytes a character from which a candidate counts as incompressible (random hex digits need 0.5).
-LEAST_BYTES = 0.5
-#: Identifiers that prime the dictionary: the most frequent ones, in so many documents at least.
-IDENTIFIERS, IN_DOCUMENTS = 8192, 2
+#: A candidate is incompressible from this share of what a seeded random string of its length (at most the last number)
+#: adds to the same surroundings.
+LEAST_SHARE, SEED, RANDOM_LENGTH = 0.72, 11, 4096
+#: What primes the dictionary: identifiers on so many different lines at least, lines without their runs, and its bytes.
+IDENTIFIERS, ON_LINES, LINES, DICTIONARY = 8192, 3, 2048, 16_384
 
 
-def identifiers(docs: DataFrame) -> list[str]:
-    """The identifiers most documents have on lines with a sensitive word, over the whole corpus; at most IDENTIFIERS."""
-    lines = docs.where(docs["text"].rlike(f"(?i){SENSITIVE}")).select(F.explode(F.regexp_extract_all("text", F.lit(rf"(?i)[^\n]{{0,{REACH}}}(?:{SENSITIVE})[^\n]{{0,{REACH}}}"), F.lit(0))).alias("line"))
+def surroundings(docs: DataFrame) -> tuple[list[str], list[str]]:
+    """Identifiers and lines around sensitive words: the most frequent ones over the whole corpus, IDENTIFIERS and LINES at most.
+
+    A line counts once, however many copies of its document there are, so a secret that is copied stays unknown; and lines
+    lose their long runs before they count.
+    """
+    near = F.regexp_extract_all("text", F.lit(rf"(?i)[^\n]{{0,{REACH}}}(?:{SENSITIVE})[^\n]{{0,{REACH}}}"), F.lit(0))
+    lines = written(docs.select(docs["text"].cast("string").alias("text")).where(F.col("text").rlike(f"(?i){SENSITIVE}")).select(F.explode(F.array_distinct(near)).alias("line")).distinct(), "lines")
     words = lines.select(F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"[A-Za-z_]{3,32}(?![A-Za-z0-9_+/=])"), F.lit(0)))).alias("word"))
-    top = words.groupBy("word").count().where(F.col("count") >= IN_DOCUMENTS).orderBy(F.desc("count"), "word").limit(IDENTIFIERS)
-    return [r[0] for r in top.collect()]
+    top = words.groupBy("word").count().where(F.col("count") >= ON_LINES).orderBy(F.desc("count"), "word").limit(IDENTIFIERS)
+    bare = lines.groupBy(F.regexp_replace("line", "[A-Za-z0-9+/_.=-]{12,}", " ").alias("line")).count().orderBy(F.desc("count"), F.xxhash64("line"), "line").limit(LINES)
+    return [r[0] for r in top.collect()], [r[0] for r in bare.collect()]
 
 
-def novelty_dictionary(words: list[str]) -> bytes:
-    """A zstandard dictionary: trained where there are enough identifiers, otherwise the identifiers themselves."""
+def novelty_dictionary(words: list[str], lines: list[str]) -> bytes:
+    """A zstandard dictionary: trained where there is enough to train on, otherwise the words and lines themselves."""
     import zstandard
 
-    code = [f"{a} = {b}\n{a}({b}): return self.{a}\n".encode() for a, b in zip(words, words[1:] + words[:1], strict=True)]
-    if len(code) >= 256:
+    samples = [x.encode() for x in lines] + [(" ".join(words[i : i + 8]) + "\n").encode() for i in range(0, len(words), 8)]
+    if len(samples) >= 64:
         try:
-            return zstandard.train_dictionary(16_384, code).as_bytes()
+            return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
         except zstandard.ZstdError:
             pass
-    return b"".join(code)[-16_384:]
+    return b"\n".join(samples)[-DICTIONARY:]
 
 
 class Scanner:
@@ -60,11 +71,18 @@ class Scanner:
 
         primed = zstandard.ZstdCompressionDict(dictionary) if len(dictionary) >= 8 else None
         self.squeeze = zstandard.ZstdCompressor(level=6, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+        self.random = "".join(random.Random(SEED).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=RANDOM_LENGTH))
+
+    def novelty(self, text: str, start: int, end: int) -> float:
+        """Marginal bytes a character of text[start:end], as a share of those of a random string in its place.
 
-    def marginal(self, text: str, start: int, end: int) -> float:
-        """Bytes a character that the candidate adds to its surroundings, the dictionary known."""
-        before, after = text[max(0, start - AROUND) : start].encode(), text[end : end + AROUND].encode()
-        return (len(self.squeeze(before + after + text[start:end].encode())) - len(self.squeeze(before + after))) / (end - start)
+        Copies of the candidate in the surroundings don't make it known.
+        """
+        candidate = text[start:end]
+        around = (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).replace(candidate, "").encode()
+        other, known = self.random[: end - start], len(self.squeeze(around))
+        own, usual = ((len(self.squeeze(around + x.encode())) - known) / len(x) for x in (candidate, other))
+        return own / usual if usual > 0 else 0.0
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind, end) of the fixed patterns, leftmost and non-overlapping for each kind."""
@@ -74,24 +92,28 @@ class Scanner:
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
         return sorted(found)
 
-    def novel(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Incompressible candidates near sensitive words that no fixed pattern covers."""
+    def novel(self, text: str) -> list[tuple[int, int, int]]:
+        """Incompressible whole runs in sensitive contexts, whatever the fixed patterns say of them."""
+        zones = [(m.start() - REACH, m.end() + REACH) for m in NEAR.finditer(text)]
+        if "-----BEGIN " in text:
+            zones = sorted(zones + [m.span(1) for m in PEM.finditer(text)])
         found, done = [], 0
-        for near in NEAR.finditer(text):
-            at = max(near.end(), done)
-            while m := CANDIDATE.search(text, at, near.end() + REACH + 512):
-                if m.start() > near.end() + REACH:
+        for low, high in zones:
+            at = max(low, done)
+            while at > done and (text[at - 1].isalnum() or text[at - 1] in "+/_.-"):  # a run that reaches into the zone is taken whole
+                at -= 1
+            while m := CANDIDATE.search(text, at):
+                if m.start() >= high:
                     break
                 at = done = m.end()
-                if any(s < m.end() and m.start() < e for s, _, e in base):
-                    continue
-                if self.marginal(text, m.start(), m.end()) >= LEAST_BYTES and re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group()):
-                    found.append((m.start(), 3, m.end()))
+                start, end = m.start(), m.start() + len(m.group().rstrip(".-"))
+                if end - start >= 12 and text[start - 1 : start] != "@" and text[end : end + 1] != "@" and self.novelty(text, start, end) >= LEAST_SHARE:
+                    found.append((start, 3, end))
         return found
 
     def scan(self, text: str) -> tuple[list, list]:
         base = self.base(text)
-        return base, sorted(base + self.novel(text, base))
+        return base, sorted(base + self.novel(text))
 
 
 def spans_text(spans: list[tuple[int, int, int]]) -> str:
@@ -108,16 +130,17 @@ def _scanner(shared) -> Scanner:
 
 
 def _primed(docs: DataFrame):
-    """The dictionary, broadcast: 16 KiB at most."""
-    return docs.sparkSession.sparkContext.broadcast(novelty_dictionary(identifiers(docs)))
+    """The dictionary, broadcast: DICTIONARY bytes at most."""
+    return docs.sparkSession.sparkContext.broadcast(novelty_dictionary(*surroundings(docs)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Secrets of every whole text: counts by kind, the digest of the fixed patterns' spans, and all spans.
 
-    Positions are code points, ends exclusive; a span of kind assign covers the whole match. Nulls: a null text is an
-    empty one; a null doc_id is kept. Ties: spans that start together go by kind. Repeated rows: a row each, with
-    equal results. Empty table: no rows. Other columns are not read.
+    Positions are code points, ends exclusive; a span of kind assign covers the whole match; one of kind novel is a run that
+    the method reports, also where a fixed pattern has it. Nulls: a null text is an empty one; a null doc_id is kept. Very
+    long texts and candidates: whole. Ties: spans that start together go by kind. Repeated rows: a row each, with equal
+    results. Empty table: no rows. Other columns are not read.
     """
     shared = _primed(docs)
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"]
@@ -141,7 +164,8 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each secret replaced by ``[SECRET]`` (overlapping spans by one) and n_chars counted anew.
 
-    An assignment keeps its name and operator. Other columns pass through; a null text stays null.
+    An assignment keeps its name and operator. Other columns pass through, whatever their names; a null text stays null, an
+    empty one empty. Very long texts and secrets: whole. Repeated rows stay and are changed alike. Empty table: no rows.
     """
     shared = _primed(docs)
 

@@ -101,9 +101,9 @@ def host_verdicts(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     scores = propagate(edges, written(seeds, "seeds")).groupBy("host").agg(*(F.sum(F.when(F.col("kind") == kind, F.col("score"))).alias(kind) for kind in ("trust", "distrust")))
     both = counts.join(scores, "host", "left").select("host", "n", *(F.coalesce(kind, F.lit(0.0)).alias(kind) for kind in ("trust", "distrust")))
     both = written(both, "ranked")
-    usual = both.agg(F.round(F.sum("distrust") / F.sum("n") * threshold, DIGITS).alias("usual"))  # one row
-    each = both.select("host", *(F.round(F.col(kind) / F.col("n"), DIGITS).alias(kind) for kind in ("trust", "distrust"))).crossJoin(F.broadcast(usual))
-    return each.select("host", "trust", "distrust", F.when((F.col("distrust") > F.col("usual")) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow").alias("verdict"))
+    usual = both.agg(F.round(F.sum("distrust") / F.sum("n") * threshold, DIGITS)).first()[0] or 0.0  # one number
+    each = both.select("host", *(F.round(F.col(kind) / F.col("n"), DIGITS).alias(kind) for kind in ("trust", "distrust")))
+    return each.withColumn("verdict", F.when((F.col("distrust") > usual) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow"))
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, threshold: float = THRESHOLD) -> DataFrame:
