@@ -337,6 +337,40 @@ def test_quality_without_labels_accepts_all(labelled, odd, empty):
     assert op5_quality.score(odd, good).count() == odd.count() and op5_quality.score(empty, good).count() == 0
 
 
+def test_co_training_equals_plain_numpy_over_all_unlabelled_documents(labelled, monkeypatch):
+    monkeypatch.setattr(op5_quality, "EXCHANGED", 20)
+    monkeypatch.setattr(op5_quality, "SURE", 0.8)
+    frame, labels = labelled
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] is not None and r["quality"] in (0, 1)}
+    rows = frame.collect()
+    see = lambda r: np.concatenate([op5_quality.content_view(r["text"] or ""), op5_quality.metadata_view(r["source"], r["lang"], r["n_chars"])]).astype(np.float32).astype(np.float64)
+    x, y = np.array([see(r) for r in rows if r["doc_id"] in truth]), np.array([truth[r["doc_id"]] for r in rows if r["doc_id"] in truth])
+    order = np.lexsort(np.column_stack([x, y]).T)
+    x, y = x[order], y[order]
+    pool = np.unique(np.array([see(r) for r in rows if r["doc_id"] not in truth]), axis=0)
+    mean, spread, hold = x.mean(axis=0), x.std(axis=0) + 1e-3, np.arange(len(y)) % 4 == 0
+    fit = lambda own: [op5_quality.fit_logistic(a[:, v], b, w) for (a, b, w), v in zip(own, op5_quality.VIEWS, strict=True)]
+    own, free = [((x[~hold] - mean) / spread, y[~hold], np.ones((~hold).sum()))] * 2, [np.ones(len(pool), bool) for _ in range(2)]
+    beta, exchanged = fit(own), 0
+    for _ in range(op5_quality.ROUNDS):
+        given = []
+        for learner in (0, 1):
+            v = op5_quality.VIEWS[1 - learner]
+            p = 1 / (1 + np.exp(-(((pool - mean) / spread)[:, v] @ beta[1 - learner][:-1] + beta[1 - learner][-1])))
+            for label, sure in ((0, 1 - p), (1, p)):
+                given.append((learner, label, sorted(np.flatnonzero(free[learner] & (sure >= 0.8)), key=lambda i: -sure[i])[:20]))
+        for learner, label, best in given:
+            free[learner][best] = False
+            a, b, w = own[learner]
+            own[learner] = np.concatenate([a, (pool[best] - mean) / spread]), np.concatenate([b, np.full(len(best), label)]), np.concatenate([w, np.full(len(best), op5_quality.WEIGHT)])
+            exchanged += len(best)
+        beta = fit(own)
+    model = op5_quality.train(frame, labels)
+    assert exchanged > 60
+    for got, want in zip(model.beta, beta, strict=True):
+        assert np.allclose(got, want, atol=0.02)
+
+
 def test_views_of_long_texts_go_in_blocks(monkeypatch, prose):
     text = prose(500, 3)
     whole = op5_quality.content_view(text)
