@@ -60,8 +60,18 @@ def fingerprint(text: str, size: int = SHINGLE, views: int = 1) -> list[int]:
     for i in range(0, n, BLOCK):
         hashes = shingle_hashes(words[i : i + BLOCK + size - 1], size)
         for v in range(views):
-            bits = np.unpackbits(_view(hashes, v).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            sums[v] += bits.sum(axis=0, dtype=np.int64)
+            sums[v] += set_bits(_view(hashes, v))
+    return majority(sums, n)
+
+
+def set_bits(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes set each bit."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
+def majority(sums: np.ndarray, n: int) -> list[int]:
+    """A fingerprint of each row of sums over n hashes: bits that over half of them set."""
     return np.packbits(sums * 2 > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
@@ -222,7 +232,8 @@ def groups(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, segments: int
     reached. With more ``views``, each an independent fingerprint of the same shingles, documents are linked that are
     within ``bits`` in any of them: edits that flip a few bits too many in one view are caught by another.
     Nulls: a null text is an empty one (fingerprint 0); a null doc_id is kept, and is the component_id only
-    if its group has no other. Repeated rows: a row each. Empty table: no rows. Other columns are not read.
+    if its group has no other. Very long texts: whole, in blocks. Ties: a hash set in just half of the shingles leaves the bit
+    0; equal fingerprints are one node. Repeated rows: a row each. Empty table: no rows. Other columns are not read.
     """
     rows = written(fingerprints(docs, size, views), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")

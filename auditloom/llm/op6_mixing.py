@@ -106,11 +106,11 @@ def _plan(frame: pd.DataFrame) -> pd.DataFrame:
 def mix(docs: DataFrame, seed: int = SEED, carry: bool = False) -> DataFrame:
     """``(doc_id, size, source_size, target, taken, copies)`` for every row of ``docs(doc_id, text, source)``.
 
-    ``taken`` is ``size`` times ``copies``, and copies are 2 at most; with ``carry`` the rows keep the columns of
-    ``docs`` and gain ``_copies`` only. Nulls: a null text has no words; null is a source of its own, after all others;
+    ``taken`` is ``size`` times ``copies``, and copies are 2 at most; with ``carry`` there are
+    ``copies`` and the whole row of ``docs`` as the struct ``_row`` only. Nulls: a null text has no words; null is a source of its own, after all others;
     a null doc_id is kept. Documents without words fit any budget and go along with each whole pass (once if all of a
     source's are empty). Ties and repeated rows: the seeded hash of doc_id and text decides, and which of two equal
-    rows is taken makes no difference. Empty table: no rows. Other columns are not read, or pass through.
+    rows is taken makes no difference. Very long texts: whole. Empty table: no rows. Other columns are not read, or pass through.
     """
     rows = docs.select(
         *([F.struct(*(docs[c] for c in docs.columns)).alias("_row")] if carry else []),
@@ -130,14 +130,17 @@ def mix(docs: DataFrame, seed: int = SEED, carry: bool = False) -> DataFrame:
     chosen = rows.drop("source").withColumn("rank", rank).join(quotas, ["skey", "size", "part"])
     copies = (F.col("passes") + F.when(F.col("rank") <= F.col("quota"), 1).otherwise(0)).cast("int")
     if carry:
-        return chosen.select("_row.*", copies.alias("_copies"))
+        return chosen.select("_row", copies.alias("copies"))
     return chosen.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with its columns."""
-    rows = mix(docs, seed, carry=True)
-    return rows.where("_copies > 0").withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copies")
+    """The mix itself: each row of ``docs`` as often as it is taken, one after the other, with its columns whatever their names.
+
+    Odd rows go as in ``mix``.
+    """
+    rows = mix(docs, seed, carry=True).where("copies > 0")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("_row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

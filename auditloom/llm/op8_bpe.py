@@ -164,8 +164,8 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def encode_digest(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Encode and decode every whole text and return the digests of both, block by block in bounded memory.
 
-    Nulls: a null text is an empty one (no tokens, digests of nothing); a null doc_id is kept. Ties and repeated
-    rows: a row each, with equal results. Empty table: no rows. Other columns are not read.
+    Nulls: a null text is an empty one (no tokens, digests of nothing); a null doc_id is kept. Very long texts: whole. Ties
+    and repeated rows: a row each, with equal results. Empty table: no rows. Other columns are not read.
     """
     shared = _vocabulary(docs.sparkSession, path, pattern)
 
@@ -180,10 +180,14 @@ def encode_digest(docs: DataFrame, path: str | None = None, pattern: str | None
         return n, ids_hash.hexdigest(), data_hash.hexdigest()
 
     def run(batches):
-        codec = _codec(shared)
+        codec, last = _codec(shared), (None, None)  # a text and what it gave: rows of one document taken twice follow each other
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                found = [one(codec, t or "") for t in part.column(1).to_pylist()]
+                found = []
+                for text in part.column(1).to_pylist():
+                    if (text or "") != last[0]:
+                        last = text or "", one(codec, text or "")
+                    found.append(last[1])
                 columns = [part.column(0), *(pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
