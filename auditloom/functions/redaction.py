@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .scalars import text
+from .scalars import let, text
 
 #: What a sensitive key contains, once it is lower-cased and only letters and digits are left.
 SENSITIVE = ("token", "secret", "password", "passwd", "apikey", "authorization", "cookie", "credential", "privatekey", "signature", "webhook")
@@ -61,10 +61,18 @@ def _escaped(key: str) -> str:
     return rf'(?<!\\)(\\"{key}\\"\s*:\s*\\")(?:(?!(?<!\\)\\").)*?((?<!\\)\\")'
 
 
+#: Without one of these no rule changes a line: signs between keys and values, and what blobs begin with.
+_MAY_CHANGE = r"[=:]|[Bb][Ee][Aa][Rr][Ee][Rr]\s|github_pat_|gh[pousr]_|eyJ|AKIA|[0-9A-Fa-f]{32}"
+
+
+def _where_needed(column: Column, rules: list[tuple[str, str]], more: str = "") -> Column:
+    return let(column, lambda v: F.when(v.rlike(_MAY_CHANGE + more), _chain(v, rules)).otherwise(v))
+
+
 def mask_log_line(column) -> Column:
     """Rules 1 to 9 for a log line: all but identity values."""
     key = sensitive_key()
-    return _chain(
+    return _where_needed(
         text(column),
         [
             # an unquoted value has no certain end, so the rest of the line goes
@@ -149,10 +157,11 @@ def redact_outbound(column, extra_patterns: tuple = (), extra_keys: tuple = (),
     words = SENSITIVE + tuple(re.sub("[^a-z0-9]", "", k.lower()) for k in extra_keys if re.search("[A-Za-z0-9]", k))
     key, end = sensitive_key(words, "inside"), r"""[^\s&,;"')]+"""
     short = "|".join(_needle(re.sub("[^a-z0-9]", "", k.lower())) for k in shortened)
-    return _chain(
+    extra = [p for p in extra_patterns if safe_pattern(p)]
+    return _where_needed(
         text(column),
         [
-            *((p, "***") for p in extra_patterns if safe_pattern(p)),
+            *((p, "***") for p in extra),
             (rf'(?i)("{key}"\s*:\s*")(?:\\.|[^"\\])*(")', "$1***$2"),
             (f"(?i){_escaped(key)}", "$1***$2"),
             (rf'(?i){_START}({key}\s*=\s*")[^"\n]*(")', "$1***$2"),
@@ -169,4 +178,5 @@ def redact_outbound(column, extra_patterns: tuple = (), extra_keys: tuple = (),
             (r"""(?i)(?<![A-Za-z0-9_.-])(resource=[^\s&,;"')/]+/[^\s&,;"')…]{8})[^\s&,;"')…][^\s&,;"')]*""", "$1…"),
             (rf"""(?i)(?<![A-Za-z0-9_.-])((?!resource=[^\s&,;"')/]+/){_KEY}*(?:{short}){_KEY}*=[^\s&,;"')…]{{8}})[^\s&,;"')…][^\s&,;"')]*""", "$1…"),
         ],
+        "".join(f"|{p}" for p in extra),
     )

@@ -71,20 +71,14 @@ def bounded_key(column, limit: int = 512) -> Column:
 
 def truncate_bytes(column, limit: int = LINE_BYTES) -> Column:
     """The longest prefix of at most ``limit`` bytes that ends between characters."""
-    value = text(column)
-    data = F.encode(value, "utf-8")
-    byte = lambda i: F.conv(F.hex(F.substring(data, i, 1)), 16, 10).cast("int")
-    # a byte 10xxxxxx after the limit means that a character is cut: step back to its first byte
-    inside = lambda i: (byte(i) >= 128) & (byte(i) < 192)
-    end = F.when(~inside(limit + 1), limit)
-    for back in range(3):
-        end = end.when(~inside(limit - back), limit - back - 1) if limit - back > 0 else end
-    return F.when(F.octet_length(data) <= limit, value).otherwise(F.decode(F.substring(data, F.lit(1), F.greatest(F.lit(0), F.coalesce(end, F.lit(max(0, limit - 4))))), "utf-8"))
+    # the cut may leave up to three bytes of a character behind: the longest of four cuts that is valid text
+    cut = lambda v, back: F.try_validate_utf8(F.substring(F.encode(v, "utf-8"), 1, max(0, limit - back)).cast("string"))
+    return let(text(column), lambda v: F.when(F.octet_length(v) <= limit, v).otherwise(F.coalesce(*(cut(v, k) for k in range(4)), F.lit(""))))
 
 
 def truncate_marked(column, limit: int = BODY_BYTES) -> Column:
     """Cut at ``limit`` bytes and marked with an ellipsis, for closing comments."""
-    return F.when(F.octet_length(text(column)) <= limit, text(column)).otherwise(F.concat(truncate_bytes(column, limit), F.lit("…")))
+    return let(text(column), lambda v: F.when(F.octet_length(v) <= limit, v).otherwise(F.concat(truncate_bytes(v, limit), F.lit("…"))))
 
 
 def key_segment(column, limit: int = 120, keep: str = "head") -> Column:
@@ -219,12 +213,23 @@ def field(column, name: str) -> Column:
     return F.when(found != "", F.regexp_replace(F.regexp_replace(found, rf"^\s?{name}=", ""), "^'|'$", ""))
 
 
+def pairs(column) -> Column:
+    """All ``key=value`` pairs of a line, in order, as ``key=value`` texts."""
+    return F.regexp_extract_all(text(column), F.lit(r"([A-Za-z_][A-Za-z0-9_]*)=('[^']*'|\S+)"), F.lit(0))
+
+
+def value_of(found: Column, name: str) -> Column:
+    """The last value of a key among ``pairs``; null if there is none."""
+    last = F.try_element_at(F.filter(found, lambda p: p.startswith(f"{name}=")), F.lit(-1))
+    return F.regexp_replace(F.substring(last, len(name) + 2, 1 << 30), "^'|'$", "")
+
+
 def fields(column) -> Column:
     """All ``key=value`` pairs of a line as a map; of equal keys the last one counts."""
-    pairs = F.regexp_extract_all(text(column), F.lit(r"([A-Za-z_][A-Za-z0-9_]*)=('[^']*'|\S+)"), F.lit(0))
-    entry = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.regexp_replace(F.regexp_replace(p, "^[^=]*=", ""), "^'|'$", "").alias("value")))
-    last = F.filter(entry, lambda e, i: ~F.exists(F.slice(entry, i + 2, F.greatest(F.size(entry), F.lit(1))), lambda x: x["key"] == e["key"]))
-    return F.map_from_entries(last)
+    key = lambda p: F.substring_index(p, "=", 1)
+    entry = lambda p: F.struct(key(p).alias("key"), F.regexp_replace(F.regexp_replace(p, "^[^=]*=", ""), "^'|'$", "").alias("value"))
+    # read from the end, the first of equal keys is the last one of the line
+    return let(F.reverse(pairs(column)), lambda found: let(F.transform(found, key), lambda names: F.map_from_entries(F.transform(F.filter(found, lambda p, i: F.array_position(names, key(p)) == i + 1), entry))))
 
 
 def summary_line(column) -> Column:

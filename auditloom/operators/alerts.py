@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DAY
 from ..functions import scalars as S
 from .gates import alert_error, filed_alert_key, issue_address, quarantine
+from .walk import walk
 
 SENT_TTL, FILED_TTL = DAY, 31 * DAY
 
@@ -15,20 +16,17 @@ SENT_TTL, FILED_TTL = DAY, 31 * DAY
 def suppress(alerts: DataFrame, ttl: int = SENT_TTL, filed_ttl: int = FILED_TTL) -> DataFrame:
     """``alerts(dedup_key, category, at, seq)`` with ``sent``: the first of a key, and the next one after its time has run out.
 
-    The time counts from the last sending and duplicates don't extend it, except for alerts about filed issues. A key's
-    times are folded in order; a key that comes very often is first thinned: of equal seconds only the first can be sent.
+    The time counts from the last sending and duplicates don't extend it, except for alerts about filed issues. Of equal
+    seconds only the first can be sent, so a key has at most a row a second; these are walked in order with one number in hand.
     """
     filed = F.col("category") == "issue-filed"
     firsts = alerts.groupBy("dedup_key", "at").agg(F.min("seq").alias("seq"), F.min_by(filed, "seq").alias("filed"))
-    times = firsts.groupBy("dedup_key").agg(F.array_sort(F.collect_list(F.struct("at", "seq", "filed"))).alias("t"))
-    start = F.struct(F.lit(None).cast("bigint").alias("mark"), F.array().cast("array<bigint>").alias("seqs"))
 
-    def fold(acc: Column, x: Column) -> Column:
-        limit = F.when(x["filed"], filed_ttl).otherwise(ttl)
-        send = acc["mark"].isNull() | (x["at"] >= acc["mark"] + limit)
-        return F.struct(F.when(send | x["filed"], x["at"]).otherwise(acc["mark"]).alias("mark"), F.when(send, F.concat(acc["seqs"], F.array(x["seq"].cast("bigint")))).otherwise(acc["seqs"]).alias("seqs"))
+    def step(mark, at, filed):
+        send = mark is None or at >= mark + (filed_ttl if filed else ttl)
+        return (at if send or filed else mark), (send,)
 
-    sent = times.select("dedup_key", F.explode(F.aggregate("t", start, fold)["seqs"]).alias("seq")).withColumn("_sent", F.lit(True))
+    sent = walk(firsts, ["dedup_key"], ["at", "seq"], ["at", "filed"], lambda: None, step, "_sent boolean").where("_sent").select("dedup_key", "seq", "_sent")
     return alerts.join(sent, ["dedup_key", "seq"], "left").withColumn("sent", F.coalesce("_sent", F.lit(False))).drop("_sent")
 
 

@@ -2,41 +2,29 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BATCH_BYTES
 from ..functions import scalars as S
 from ..functions.redaction import redact_log_line
+from .walk import walk
 
 
 def chunk_numbers(lines: DataFrame, keys: list[str], order: list[str], limit: int = BATCH_BYTES) -> DataFrame:
     """``lines`` with ``chunk`` (0, 1, ...): a new one begins where a line would pass ``limit`` bytes, each line costing one more.
 
-    The running sum starts anew with each chunk, so it follows no window frame: rows are dealt by ``keys``, sorted, and
-    walked in order with three numbers in hand. A key's lines are one file's, and pass through in batches.
+    The running sum starts anew with each chunk, so it follows no window frame; a key's lines are those of one bounded read.
     """
-    names = lines.columns
-    rows = lines.withColumn("_bytes", (F.octet_length("line") + 1).cast("long")).withColumn("_key", F.xxhash64(*keys))
-    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
-
-    def run(batches):
-        key, chunk, used = None, 0, 0
-        for batch in batches:
-            out = []
-            for k, size in zip(batch.column("_key").to_pylist(), batch.column("_bytes").to_pylist(), strict=True):
-                if k != key:
-                    key, chunk, used = k, 0, 0
-                elif used and used + size > limit:
-                    chunk, used = chunk + 1, 0
-                used += size
-                out.append(chunk)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.int64())], [*names, "chunk"])
-
-    schema = lines.select(*names, F.lit(0).cast("long").alias("chunk")).schema
-    return dealt.mapInArrow(run, schema)
+
+    def step(state, size):
+        chunk, used = state
+        if used and used + size > limit:
+            chunk, used = chunk + 1, 0
+        return (chunk, used + size), (chunk,)
+
+    rows = lines.withColumn("_bytes", (F.octet_length("line") + 1).cast("long"))
+    return walk(rows, keys, order, ["_bytes"], lambda: (0, 0), step, "chunk long").drop("_bytes")
 
 
 def make_batches(lines: DataFrame) -> DataFrame:

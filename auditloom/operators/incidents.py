@@ -1,8 +1,8 @@
 """Incidents: a hysteresis state machine over ticks, and the requests that its transitions make.
 
-Opening takes two firing ticks, closing takes a run of quiet buckets, and what isn't covered moves nothing. The machine is
-one function over struct columns, folded over each fingerprint's ticks in order; the stream in ``streaming`` takes the
-same steps row by row.
+Opening takes two firing ticks, closing takes a run of quiet buckets, and what isn't covered moves nothing. One scan moves
+all incidents by an expression over struct columns (``step``); a backtest and the stream walk each fingerprint's ticks in
+order and take the same steps (``next_state``).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from ..config import BODY_BYTES, EVIDENCE_LINES, TITLE_BYTES, Config
 from ..functions import scalars as S
 from ..schemas import INCIDENT
 from .stability import rate_text
+from .walk import walk
 
 STATE = "struct<state: string, open_bucket: string, last_fired_tick: string, quiet_count: int, last_quiet_bucket: string, action: string>"
 TTL_SECONDS, REEMIT_SECONDS = 14 * 86_400, 600
@@ -46,16 +47,53 @@ def step(s: Column, tick: Column, cfg: Config) -> Column:
     )
 
 
+FIELDS = ("state", "open_bucket", "last_fired_tick", "quiet_count", "last_quiet_bucket")
+NOTHING = ("none", "", "", 0, "")
+
+
+def next_state(old: dict, tick: dict, quiet_windows: int) -> tuple[dict, str]:
+    """One step of the machine on plain values; the same table as ``step``."""
+    new, bucket = dict(old), tick["latest_bucket"]
+    fired, quiet = tick["fired"], tick["quiet_ok"]
+    if fired:
+        new["last_fired_tick"] = tick["tick_id"]
+    match old["state"], fired, quiet:
+        case "none", True, _:
+            new["state"] = "candidate"
+        case "candidate", False, _:
+            return dict(zip(FIELDS, NOTHING, strict=True)), ""
+        case "candidate", True, _ if old["last_fired_tick"] != tick["tick_id"]:
+            return new | {"state": "open", "open_bucket": bucket}, "open"
+        case "open", False, True:
+            new |= {"state": "recovering", "quiet_count": 1, "last_quiet_bucket": bucket}
+        case "recovering", True, _:
+            return new | {"state": "open", "quiet_count": 0, "last_quiet_bucket": ""}, "comment"
+        case "recovering", False, True:
+            if bucket != old["last_quiet_bucket"]:
+                new |= {"quiet_count": old["quiet_count"] + 1, "last_quiet_bucket": bucket}
+            if new["quiet_count"] >= quiet_windows:
+                return new | {"state": "closed"}, "close"
+        case "recovering", False, False if bucket and bucket != old["last_quiet_bucket"]:
+            new |= {"quiet_count": 0, "last_quiet_bucket": ""}
+        case "closed", True, _:
+            new |= {"state": "candidate", "open_bucket": "", "quiet_count": 0, "last_quiet_bucket": ""}
+    return new, ""
+
+
 def timeline(ticks: DataFrame, cfg: Config) -> DataFrame:
     """Every tick's state: ``ticks(fp, seq, tick_id, fired, quiet_ok, latest_bucket)`` to rows with state and action.
 
-    A fingerprint's ticks (one a bucket) are gathered and folded in order; each step appends its state.
+    A fingerprint's ticks (one a bucket) are walked in order with one state in hand, so their number doesn't matter.
     """
-    tick = F.struct("seq", "tick_id", F.coalesce("fired", F.lit(False)).alias("fired"), F.coalesce("quiet_ok", F.lit(False)).alias("quiet_ok"), F.coalesce("latest_bucket", F.lit("")).alias("latest_bucket"))
-    rows = ticks.groupBy("fp").agg(F.array_sort(F.collect_list(tick)).alias("ticks"))
-    folded = F.aggregate("ticks", F.array(start_state()).cast(f"array<{STATE}>"), lambda acc, t: F.concat(acc, F.array(step(F.element_at(acc, -1), t, cfg))))
-    zipped = rows.select("fp", F.explode(F.arrays_zip("ticks", F.slice(folded, 2, F.size("ticks")).alias("states"))).alias("x"))
-    return zipped.select("fp", F.col("x.ticks.seq").alias("seq"), F.col("x.ticks.tick_id").alias("tick_id"), F.col("x.ticks.fired").alias("fired"), F.col("x.ticks.quiet_ok").alias("quiet_ok"), F.col("x.ticks.latest_bucket").alias("latest_bucket"), "x.states.*")
+    quiet_windows, reads = cfg.quiet_windows, ["tick_id", "fired", "quiet_ok", "latest_bucket"]
+
+    def one(state, *given):
+        now, action = next_state(state, dict(zip(reads, given, strict=True)), quiet_windows)
+        return now, (*(now[f] for f in FIELDS), action)
+
+    rows = ticks.select("fp", "seq", "tick_id", F.coalesce("fired", F.lit(False)).alias("fired"), F.coalesce("quiet_ok", F.lit(False)).alias("quiet_ok"), F.coalesce("latest_bucket", F.lit("")).alias("latest_bucket"))
+    adds = "state string, open_bucket string, last_fired_tick string, quiet_count int, last_quiet_bucket string, action string"
+    return walk(rows, ["fp"], ["seq", *reads], reads, lambda: dict(zip(FIELDS, NOTHING, strict=True)), one, adds)
 
 
 def ticks_of(candidates: DataFrame, cfg: Config) -> DataFrame:

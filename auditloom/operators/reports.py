@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,7 @@ def issue_line(line) -> Column:
     value = S.text(line)
     marker = F.regexp_extract(value, MARKER, 1)
     rest = F.regexp_extract(value, f"{MARKER}(.*)$", 2)
-    return F.when(marker != "", S.let(S.fields(rest), lambda f: _issue_row(marker, rest, f)))
+    return F.when(value.rlike(MARKER), S.let(F.struct(marker.alias("marker"), rest.alias("rest"), S.fields(rest).alias("f")), lambda x: _issue_row(x["marker"], x["rest"], x["f"])))
 
 
 def _issue_row(marker: Column, rest: Column, f: Column) -> Column:
@@ -66,12 +67,17 @@ def _incident_row(f: Column) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), F.struct(get("fp").alias("fp"), get("signal").alias("signal"), before.alias("from_state"), after.alias("to_state"), _int(get("fails")).alias("fails"), _int(get("total")).alias("total"), _int(buckets).alias("buckets")))
 
 
+def facts(rows: DataFrame, parse: Callable[[str], Column], line: str = "line") -> DataFrame:
+    """``rows`` with ``i``, what ``parse`` reads from the line; lines without are left out. Each line is parsed once."""
+    return rows.select("*", F.explode(F.filter(F.array(parse(line)), lambda i: i.isNotNull())).alias("i"))
+
+
 def log_lines(logs: DataFrame) -> DataFrame:
     return logs.select("file", "service", "epoch", "mtime", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
 
 
 def incident_entries(logs: DataFrame) -> DataFrame:
-    return log_lines(logs.where("service = 'sentinel'")).withColumn("i", incident_line("line")).where("i is not null").select("file", "epoch", "mtime", "line_no", "i.*")
+    return facts(log_lines(logs.where("service = 'sentinel'")), incident_line).select("file", "epoch", "mtime", "line_no", "i.*")
 
 
 def latest_incidents(entries: DataFrame, order: list[str]) -> DataFrame:
@@ -82,7 +88,7 @@ def latest_incidents(entries: DataFrame, order: list[str]) -> DataFrame:
 
 def issue_activity(logs: DataFrame) -> DataFrame:
     """Rows of the issue log, newest first, at most 80."""
-    rows = log_lines(logs.where("service = 'issues'")).withColumn("i", issue_line("line")).where("i is not null")
+    rows = facts(log_lines(logs.where("service = 'issues'")), issue_line)
     return rows.select("file", "epoch", "mtime", "line_no", "i.*").orderBy(F.desc("mtime"), F.desc("file"), F.desc("line_no")).limit(CAP)
 
 

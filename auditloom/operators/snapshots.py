@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +41,14 @@ def switch(spark: SparkSession, folder: str, path: str) -> None:
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The current version, or None before the first one; a version that can't be read is an error."""
     try:
-        return spark.read.parquet(spark.read.text(f"{folder.rstrip('/')}/current").first()[0])
-    except Exception:  # noqa: BLE001 - no version yet
+        pointer = spark.read.text(f"{folder.rstrip('/')}/current")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
+    return spark.read.parquet(pointer.first()[0])
 
 
 def unseen(records: DataFrame, ledger: DataFrame, now: int, revision: str = "risk-v2") -> DataFrame:

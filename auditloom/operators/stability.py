@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import EVIDENCE_LINES, Config
 from ..functions import scalars as S
 from ..sources.adapter import evidence_line
+from ..sources.staging import staged
 from .gates import is_attempt, is_failure
 
 GROUP = ["family", "scope", "rtype"]
@@ -75,27 +76,51 @@ def error_spike(grid: DataFrame, cfg: Config) -> DataFrame:
     return rated.withColumn("fired", floors & (F.col("prior").isNull() | (F.col("rate") >= bar)))
 
 
-def flapping(events: DataFrame, grid: DataFrame, cfg: Config) -> DataFrame:
-    """Changes between failure and success over the last buckets, by time and line; the first event of a range has no predecessor.
+def bucket_counts(events: DataFrame) -> DataFrame:
+    """Everything the rules need of a component's bucket, in one pass over ``events`` with lines.
 
-    Changes inside a bucket are counted bucket by bucket, so a busy component is split over its buckets. A bucket's first
-    event may differ from the last one of the bucket before it that has events: that change is kept with the distance,
-    and counts for ranges that reach back so far.
+    ``(family, scope, rtype, bucket, attempt, fails, total, inside, first, last)``: inside counts changes between failure and
+    success by time and line, first and last are the outcomes at the bucket's ends. Attempts are rows of their own, for
+    coverage. A busy component is split over its buckets.
     """
-    order = Window.partitionBy(*GROUP, "bucket").orderBy("epoch", "line")
-    told = events.where("not attempt").withColumn("_was", F.lag("failed").over(order))
-    at = F.struct("epoch", "line")
-    by = told.groupBy(*GROUP, "bucket").agg(F.count_if(F.col("_was") != F.col("failed")).alias("inside"), F.min_by("failed", at).alias("_first"), F.max_by("failed", at).alias("_last"))
-    along = Window.partitionBy(*GROUP).orderBy("bucket")
-    by = by.select(*GROUP, "bucket", "inside", F.when(F.lag("_last").over(along) != F.col("_first"), F.col("bucket") - F.lag("bucket").over(along)).alias("gap"))
-    rows = grid.join(by, [*GROUP, "bucket"], "left").fillna(0, ["inside"])
+    keys, at = [*GROUP, "bucket", "attempt"], F.struct("epoch", "line")
+    told = events.withColumn("_was", F.lag("failed").over(Window.partitionBy(*keys).orderBy("epoch", "line")))
+    return told.groupBy(*keys).agg(
+        F.count_if("failed").alias("fails"), F.count(F.lit(1)).alias("total"), F.count_if(F.col("_was") != F.col("failed")).alias("inside"),
+        F.min_by("failed", at).alias("first"), F.max_by("failed", at).alias("last"),
+    )
+
+
+def with_flapping(grid: DataFrame, cfg: Config) -> DataFrame:
+    """The grid (with ``inside``, ``first`` and ``last``) with ``changes``, ``flap_fails`` and ``flap_ok`` over the last buckets.
+
+    The first event of a range has no predecessor. A bucket's first event may differ from the last one of the bucket
+    before it that has events: that change is kept with the distance, and counts for ranges that reach back so far.
+    """
+    before = Window.partitionBy(*GROUP).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    was, at = F.last("last", True).over(before), F.last(F.when(F.col("total") > 0, F.col("bucket")), True).over(before)
+    rows = grid.withColumn("gap", F.when(was != F.col("first"), F.col("bucket") - at))
     w = _window(cfg.flap_buckets)
     # a change across buckets counts if its predecessor's bucket is in the range as well
     crossing = F.collect_list(F.when(F.col("gap").isNotNull(), F.struct("bucket", "gap"))).over(w)
-    first = F.col("bucket") - F.lit(cfg.flap_buckets - 1)
-    changes = F.sum("inside").over(w) + F.size(F.filter(crossing, lambda x: x["bucket"] - x["gap"] >= first))
-    counted = rows.select(*grid.columns, changes.alias("changes"), F.sum("fails").over(w).alias("sum_fails"), F.sum(F.col("total") - F.col("fails")).over(w).alias("sum_ok"))
-    return counted.withColumn("fired", (F.col("changes") >= cfg.flap_transitions) & (F.col("sum_fails") >= cfg.flap_min_each) & (F.col("sum_ok") >= cfg.flap_min_each))
+    start = F.col("bucket") - F.lit(cfg.flap_buckets - 1)
+    changes = F.sum(F.coalesce("inside", F.lit(0))).over(w) + F.size(F.filter(crossing, lambda x: x["bucket"] - x["gap"] >= start))
+    return rows.select(*grid.columns, changes.alias("changes"), F.sum("fails").over(w).alias("flap_fails"), F.sum(F.col("total") - F.col("fails")).over(w).alias("flap_ok"))
+
+
+def _flaps(cfg: Config) -> Column:
+    return (F.col("changes") >= cfg.flap_transitions) & (F.col("flap_fails") >= cfg.flap_min_each) & (F.col("flap_ok") >= cfg.flap_min_each)
+
+
+def flapping(counts: DataFrame, cfg: Config) -> DataFrame:
+    """Changes between failure and success over the last buckets, as of each bucket, from ``bucket_counts``."""
+    rows = with_flapping(dense(counts), cfg)
+    return rows.select(*GROUP, "bucket", "fails", "total", "changes", F.col("flap_fails").alias("sum_fails"), F.col("flap_ok").alias("sum_ok"), _flaps(cfg).alias("fired"))
+
+
+def dense(counts: DataFrame) -> DataFrame:
+    """``bucket_counts`` on the calendar of all covered buckets, attempts gone."""
+    return calendar(counts.where("not attempt").drop("attempt"), counts.agg(F.min("bucket").alias("covered_first"), F.max("bucket").alias("covered_last"))).drop("covered_first", "covered_last")
 
 
 def dead_letter_bursts(letters: DataFrame, scan_epoch: int, cfg: Config) -> DataFrame:
@@ -130,18 +155,52 @@ def evidence(events: DataFrame, cfg: Config, newest: int = EVIDENCE_LINES) -> Da
     return kept.select(*GROUP, place.cast("bigint").alias("place"), "epoch", "failed", "line")
 
 
-def candidates(records: DataFrame, cfg: Config) -> DataFrame:
-    """Every rule as of every bucket: ``(signal, family, scope, rtype, bucket, fp, fired, quiet_ok, fails, total, buckets)``."""
-    events = stability_events(records, cfg, line=True)
-    buckets = component_buckets(events)
-    grid = calendar(buckets, coverage(events)).select(*GROUP, "bucket", "fails", "total")
-    summed = group_summary(grid, cfg).select(*GROUP, "bucket", F.col("sum_fails").alias("all_fails"), F.col("sum_total").alias("all_total"), "buckets")
-    told = None
-    for signal, rows in (("recurring-failure", recurring(grid, cfg)), ("error-spike", error_spike(grid, cfg)), ("flapping", flapping(events, grid, cfg))):
-        one = rows.select(F.lit(signal).alias("signal"), *GROUP, "bucket", "fired", (F.col("fails") == 0).alias("quiet_ok"))
-        told = one if told is None else told.unionByName(one)
-    fp = S.fingerprint(F.col("signal"), F.col("family"), F.col("scope"), F.col("rtype"))
-    return told.join(summed, [*GROUP, "bucket"]).withColumn("fp", fp)
+def dead_letter_windows(letters: DataFrame, cfg: Config, last: Column | None = None, degraded: bool = False) -> DataFrame:
+    """Dead letters as of the end of each bucket: ``(family, scope, rtype, bucket, fired, quiet_ok, all_fails, all_total, buckets)``.
+
+    A scan at a bucket's last second counts the letters of the window that ends there, both ends included: each letter is
+    counted for the buckets whose scan still sees it. Quiet is a bucket without letters, and never so if their source is
+    ``degraded``. Buckets go from the first letter's to ``last``, or to the last letter's.
+    """
+    size, window = cfg.bucket_seconds, cfg.dlq_window_minutes * 60
+    seen = letters.select(F.col("queue").alias("family"), F.col("error_class").alias("scope"), S.bucket_of(F.col("epoch"), size).alias("own"), (S.bucket_of(F.col("epoch") + window + 1, size) - 1).alias("until"))
+    seen = seen.groupBy("family", "scope", "own", "until").agg(F.count(F.lit(1)).alias("n"))
+    counted = seen.where("until >= own").select("family", "scope", F.explode(F.sequence("own", "until")).alias("bucket"), "n", "own").groupBy("family", "scope", "bucket").agg(F.sum("n").alias("all_fails"), F.sum(F.when(F.col("own") == F.col("bucket"), F.col("n")).otherwise(0)).alias("fails"))
+    covered = seen.agg(F.min("own").alias("covered_first"), F.max("own").alias("covered_last"))
+    if last is not None:
+        covered = covered.withColumn("covered_last", F.greatest("covered_last", last))
+    groups = seen.select("family", "scope").distinct().crossJoin(F.broadcast(covered)).select("family", "scope", F.explode(F.sequence("covered_first", "covered_last")).alias("bucket"))
+    rows = groups.join(counted, ["family", "scope", "bucket"], "left").fillna(0, ["all_fails", "fails"])
+    first = S.bucket_of((F.col("bucket") + 1) * size - 1 - window, size)
+    return rows.select("family", "scope", F.lit("framework-log").alias("rtype"), "bucket", (F.col("all_fails") >= cfg.dlq_threshold).alias("fired"), ((F.col("fails") == 0) & F.lit(not degraded)).alias("quiet_ok"), "all_fails", F.col("all_fails").alias("all_total"), (F.col("bucket") - first + 1).alias("buckets"))
+
+
+def rules(counts: DataFrame, cfg: Config) -> DataFrame:
+    """The three rules for audit records as of every bucket, from ``bucket_counts``: one row for each signal.
+
+    All windows share one partitioning and order, so the counts are dealt and sorted once.
+    """
+    grid = with_flapping(error_spike(recurring(dense(counts), cfg).withColumnRenamed("fired", "recurs"), cfg).withColumnRenamed("fired", "spikes"), cfg)
+    w = _window(cfg.lookback_buckets)
+    summed = grid.select(*GROUP, "bucket", "fails", "recurs", "spikes", _flaps(cfg).alias("flaps"), F.sum("fails").over(w).alias("all_fails"), F.sum("total").over(w).alias("all_total"), F.count(F.lit(1)).over(w).alias("buckets"))
+    told = F.explode(F.array(*(F.struct(F.lit(signal).alias("signal"), F.col(c).alias("fired")) for signal, c in zip(S.SIGNALS, ("recurs", "spikes", "flaps"), strict=False))))
+    return summed.select(*GROUP, "bucket", "fails", "all_fails", "all_total", "buckets", told.alias("t")).select("t.signal", *GROUP, "bucket", "t.fired", (F.col("fails") == 0).alias("quiet_ok"), "all_fails", "all_total", "buckets")
+
+
+def candidates(records: DataFrame, cfg: Config, letters: DataFrame | None = None, degraded: bool = False) -> DataFrame:
+    """Every rule as of every bucket: ``(signal, family, scope, rtype, bucket, fp, fired, quiet_ok, all_fails, all_total, buckets)``.
+
+    Records are read once and dead letters ``(epoch, queue, error_class)`` once: the counts by bucket, which are far fewer,
+    are written, and all rules start from them.
+    """
+    counts = staged(bucket_counts(stability_events(records, cfg, line=True)), "bucket-counts")
+    told = rules(counts, cfg)
+    if letters is not None:
+        end = counts.agg(F.max("bucket")).first()[0]
+        told = told.unionByName(dead_letter_windows(letters, cfg, F.lit(end) if end is not None else None, degraded).withColumn("signal", F.lit(S.SIGNALS[3])))
+    keys = told.select("signal", *GROUP).distinct()
+    named = keys.withColumn("fp", S.fingerprint(F.col("signal"), F.col("family"), F.col("scope"), F.col("rtype")))
+    return told.join(named, ["signal", *GROUP])
 
 
 def candidate_order(rows: DataFrame) -> DataFrame:

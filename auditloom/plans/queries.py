@@ -22,9 +22,10 @@ from ..operators.batching import make_batches
 from ..sources import audit as AU
 from ..sources import logs as L
 from ..sources.adapter import audit_line, audit_records, dead_letters, event_epoch, table
+from ..sources.staging import staged
 
 #: One bucket a day: the driver's events are spread over 30 days.
-CFG = Config.of(bucket_minutes=1440)
+CFG = Config.of(bucket_minutes=1440, dlq_window_minutes=1440, dlq_threshold=15)
 SCAN = 1_705_320_000  # 2024-01-15 12:00 UTC
 
 QUERIES: dict = {}
@@ -98,9 +99,11 @@ def suspicious_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- stability ---------------------------------------------------------------------------------------------------------
 
 
-def _stability(spark, sf_dir, line=False):
-    events = ST.stability_events(_records(spark, sf_dir), CFG, line)
-    return events, ST.calendar(ST.component_buckets(events), ST.coverage(events)).select(*ST.GROUP, "bucket", "fails", "total")
+def _grid(spark, sf_dir):
+    """Failures and totals on the dense calendar; records are read once, and only their counts by bucket are written."""
+    events = ST.stability_events(_records(spark, sf_dir), CFG)
+    counts = staged(events.groupBy(*ST.GROUP, "bucket", "attempt").agg(F.count_if("failed").alias("fails"), F.count(F.lit(1)).alias("total")), "counts")
+    return ST.dense(counts)
 
 
 @query(f"WITH {EV} SELECT family,scope,rtype,bucket,count(*) FILTER (failed) AS fails,count(*) AS total FROM ev WHERE NOT attempt GROUP BY ALL")
@@ -110,7 +113,7 @@ def component_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {GRID} SELECT family,scope,rtype,bucket,fails,total,CASE WHEN total>0 THEN printf('%.1f%%',fails*1.0/total*100) ELSE '-' END AS rate,sum(fails) OVER w::BIGINT AS sum_fails,sum(total) OVER w::BIGINT AS sum_total,count(*) OVER w AS buckets FROM grid WINDOW w AS ({W} ROWS 7 PRECEDING)")
 def bucket_calendar_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ST.group_summary(_stability(spark, sf_dir)[1], CFG)
+    return ST.group_summary(_grid(spark, sf_dir), CFG)
 
 
 RECURRING = f"SELECT *, fail_buckets>=3 AND sum_fails>=5 AS fired FROM (SELECT family,scope,rtype,bucket,fails,total,count(*) FILTER (fails>0) OVER w AS fail_buckets,sum(fails) OVER w::BIGINT AS sum_fails FROM grid WINDOW w AS ({W} ROWS 7 PRECEDING))"
@@ -118,7 +121,7 @@ RECURRING = f"SELECT *, fail_buckets>=3 AND sum_fails>=5 AS fired FROM (SELECT f
 
 @query(f"WITH {GRID} SELECT * FROM ({RECURRING}) WHERE fired")
 def recurring_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ST.recurring(_stability(spark, sf_dir)[1], CFG).where("fired")
+    return ST.recurring(_grid(spark, sf_dir), CFG).where("fired")
 
 
 SPIKE = f"""SELECT *, total>=10 AND fails>=5 AND (prior IS NULL OR rate>=round(greatest(prior*3.0,prior+0.25),9)) AS fired FROM (SELECT family,scope,rtype,bucket,fails,total,
@@ -127,7 +130,7 @@ SPIKE = f"""SELECT *, total>=10 AND fails>=5 AND (prior IS NULL OR rate>=round(g
 
 @query(f"WITH {GRID} {SPIKE}")
 def error_spike(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ST.error_spike(_stability(spark, sf_dir)[1], CFG)
+    return ST.error_spike(_grid(spark, sf_dir), CFG)
 
 
 FLAP = """SELECT g.family,g.scope,g.rtype,g.bucket,g.fails,g.total,coalesce(x.changes,0)::BIGINT AS changes,coalesce(x.f,0)::BIGINT AS sum_fails,coalesce(x.ok,0)::BIGINT AS sum_ok, coalesce(x.changes,0)>=6 AND coalesce(x.f,0)>=3 AND coalesce(x.ok,0)>=3 AS fired
@@ -138,13 +141,12 @@ FLAP = """SELECT g.family,g.scope,g.rtype,g.bucket,g.fails,g.total,coalesce(x.ch
 
 @query(f"WITH {GRID} {FLAP}")
 def flapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events, grid = _stability(spark, sf_dir, line=True)
-    return ST.flapping(events, grid, CFG)
+    return ST.flapping(staged(ST.bucket_counts(ST.stability_events(_records(spark, sf_dir), CFG, line=True)), "bucket-counts"), CFG)
 
 
 @query(f"SELECT event_type AS queue,'class-'||(user_id%5) AS error_class,count(*) FILTER (floor(epoch(ts)) BETWEEN {SCAN}-604800 AND {SCAN}) AS letters,count(*) AS all_letters,count(*) FILTER (floor(epoch(ts)) BETWEEN {SCAN}-604800 AND {SCAN})>=3 AS fired FROM events GROUP BY ALL")
 def burst_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ST.dead_letter_bursts(dead_letters(_events(spark, sf_dir)), SCAN, CFG.but(dlq_window_minutes=10_080))
+    return ST.dead_letter_bursts(dead_letters(_events(spark, sf_dir)), SCAN, CFG.but(dlq_window_minutes=10_080, dlq_threshold=3))
 
 
 @query(f"""WITH l AS (SELECT event_type AS queue,'class-'||(user_id%5) AS error_class,floor(epoch(ts))::BIGINT AS ep FROM events), g AS (SELECT DISTINCT queue,error_class FROM l),
@@ -152,7 +154,7 @@ def burst_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT g.queue,g.error_class,c.bucket::BIGINT AS bucket,strftime(make_timestamp((c.bucket*86400)::BIGINT*1000000),'%Y-%m-%dT%H%M') AS label,coalesce(fails,0) AS fails,coalesce(fails,0) AS total,CASE WHEN coalesce(fails,0)>0 THEN '100.0%' ELSE '-' END AS rate
  FROM g CROSS JOIN c LEFT JOIN n ON n.queue=g.queue AND n.error_class=g.error_class AND n.bucket=c.bucket""")
 def dead_letter_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ST.dead_letter_summary(dead_letters(_events(spark, sf_dir)), SCAN, CFG.but(dlq_window_minutes=10_080))
+    return ST.dead_letter_summary(dead_letters(_events(spark, sf_dir)), SCAN, CFG.but(dlq_window_minutes=10_080, dlq_threshold=3))
 
 
 @query("""SELECT floor(epoch(ts))::BIGINT AS epoch, event_type AS queue, 'class-'||(user_id%5) AS error_class, count(*) AS n FROM events GROUP BY ALL""")
@@ -171,12 +173,15 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {EV}, r AS (SELECT family,scope,rtype,ep,failed,line,row_number() OVER (PARTITION BY family,scope,rtype ORDER BY ep DESC,line DESC) AS k FROM ev WHERE NOT attempt AND bucket>(SELECT max(bucket) FROM ev)-8)
  SELECT family,scope,rtype,row_number() OVER (PARTITION BY family,scope,rtype ORDER BY k DESC) AS place,ep AS epoch,failed,line FROM r WHERE k<=20""")
 def evidence_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ST.evidence(_stability(spark, sf_dir, line=True)[0], CFG)
+    return ST.evidence(ST.stability_events(_records(spark, sf_dir), CFG, line=True), CFG)
 
 
 # --- incidents ---------------------------------------------------------------------------------------------------------
 
-TICKS = f"""{GRID}, t0 AS (SELECT 'recurring-failure' AS signal,family,scope,rtype,bucket,fired,fails=0 AS q FROM ({RECURRING}) UNION ALL SELECT 'error-spike',family,scope,rtype,bucket,fired,fails=0 FROM ({SPIKE}) UNION ALL SELECT 'flapping',family,scope,rtype,bucket,fired,fails=0 FROM ({FLAP})),
+LETTERS = """SELECT g.queue,g.error_class,c.bucket,count(l.ep) FILTER (l.ep BETWEEN c.bucket*86400-1 AND c.bucket*86400+86399) AS letters,count(l.ep) FILTER (l.ep//86400=c.bucket) AS own FROM (SELECT DISTINCT queue,error_class FROM dl) g CROSS JOIN (SELECT unnest(generate_series(min(ep)//86400,max(ep)//86400)) AS bucket FROM dl) c
+ LEFT JOIN dl l ON l.queue=g.queue AND l.error_class=g.error_class AND l.ep//86400 IN (c.bucket,c.bucket-1) GROUP BY ALL"""
+
+TICKS = f"""{GRID}, dl AS (SELECT event_type AS queue,'class-'||(user_id%5) AS error_class,floor(epoch(ts))::BIGINT AS ep FROM events), t0 AS (SELECT 'recurring-failure' AS signal,family,scope,rtype,bucket,fired,fails=0 AS q FROM ({RECURRING}) UNION ALL SELECT 'error-spike',family,scope,rtype,bucket,fired,fails=0 FROM ({SPIKE}) UNION ALL SELECT 'flapping',family,scope,rtype,bucket,fired,fails=0 FROM ({FLAP}) UNION ALL SELECT 'pipeline-dead-letter',queue,error_class,'framework-log',bucket,letters>=15,own=0 FROM ({LETTERS})),
  k AS (SELECT signal,family,scope,rtype,{FP} AS fp FROM (SELECT DISTINCT signal,family,scope,rtype FROM t0)),
  t AS (SELECT fp,bucket,fired,q,strftime(make_timestamp((bucket*86400)::BIGINT*1000000),'%Y-%m-%dT%H%M') AS lab,row_number() OVER (PARTITION BY fp ORDER BY bucket) AS n FROM t0 JOIN k USING (signal,family,scope,rtype))"""
 
@@ -193,8 +198,13 @@ MACHINE = """st AS (SELECT fp,0::BIGINT AS n,NULL::BIGINT AS bucket,false AS fir
  FROM st s JOIN t ON t.fp=s.fp AND t.n=s.n+1)"""
 
 
+def _candidates(spark, sf_dir):
+    """All four rules; records and dead letters are each read once."""
+    return staged(ST.candidates(_records(spark, sf_dir), CFG, dead_letters(_events(spark, sf_dir))), "candidates")
+
+
 def _timeline(spark, sf_dir):
-    return I.timeline(I.ticks_of(ST.candidates(_records(spark, sf_dir), CFG), CFG), CFG)
+    return I.timeline(I.ticks_of(_candidates(spark, sf_dir), CFG), CFG)
 
 
 @query(f"WITH RECURSIVE {TICKS}, {MACHINE} SELECT fp,bucket AS seq,bucket::VARCHAR AS tick_id,fired,q AS quiet_ok,lab AS latest_bucket,state,opened AS open_bucket,lastf AS last_fired_tick,cnt AS quiet_count,quiet AS last_quiet_bucket,action FROM st WHERE n>0")
@@ -213,10 +223,10 @@ def incident_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {TICKS}, {MACHINE}, k2 AS (SELECT fp,signal,family FROM k) SELECT action AS kind,fp AS fingerprint,signal,CASE WHEN signal='flapping' THEN 'medium' ELSE 'high' END AS severity,
- '[stability] '||CASE signal WHEN 'recurring-failure' THEN 'recurring failure' WHEN 'error-spike' THEN 'error spike' ELSE signal END||': '||family||' (fp:'||fp||')' AS title,fp||'-'||opened AS incident_id,
- CASE WHEN action='comment' THEN 'stability-issue/comment/'||fp||'/'||opened||'/'||(bucket*86400//21600) ELSE 'stability-issue/'||action||'/'||fp||'/'||opened END AS dedup_key,'org/platform' AS repo,'1' AS devloop_enabled FROM st JOIN k2 USING (fp) WHERE action<>''""")
+ '[stability] '||CASE signal WHEN 'recurring-failure' THEN 'recurring failure' WHEN 'error-spike' THEN 'error spike' WHEN 'pipeline-dead-letter' THEN 'dead letters' ELSE signal END||': '||family||' (fp:'||fp||')' AS title,fp||'-'||opened AS incident_id,
+ CASE WHEN action='comment' THEN 'stability-issue/comment/'||fp||'/'||opened||'/'||(bucket*86400//21600) ELSE 'stability-issue/'||action||'/'||fp||'/'||opened END AS dedup_key,CASE WHEN signal='pipeline-dead-letter' THEN 'org/pipeline' ELSE 'org/platform' END AS repo,CASE WHEN signal='pipeline-dead-letter' THEN '' ELSE '1' END AS devloop_enabled FROM st JOIN k2 USING (fp) WHERE action<>''""")
 def issue_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = ST.candidates(_records(spark, sf_dir), CFG)
+    rules = _candidates(spark, sf_dir)
     acted = I.timeline(I.ticks_of(rules, CFG), CFG).where("action <> ''").join(rules.select("fp", F.col("bucket").alias("seq"), "signal", "family", "all_fails", "all_total"), ["fp", "seq"])
     row = F.array(F.struct(F.col("latest_bucket").alias("label"), F.col("all_fails").alias("fails"), F.col("all_total").alias("total")))
     ready = acted.withColumn("epoch", F.col("seq") * CFG.bucket_seconds).withColumn("rows", row).withColumn("lines", F.array().cast("array<string>"))
@@ -248,27 +258,30 @@ def shown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.shown_words(rows).select("conv_id", "turn", "suspicious", S.sha_hex("line").alias("sha"))
 
 
+#: Bytes of one read of a file, and events that it stands for here.
+READ, READ_EVENTS = 1 << 20, 4096
+
 CUT = "CASE WHEN length({0})>8 THEN left({0},8)||'...' ELSE {0} END"
 BATCH_LINE = f"""'audit event id='||{CUT.format("id")}||' scope='||{CUT.format("scope")}||' actor='||{CUT.format("actor")}||' identityKey='||ikey||' action='||action||' outcome='||CASE WHEN outcome='' THEN '-' ELSE outcome END||' occurredAt='||tm||' resource=workflow/'||rid||' correlation='||{CUT.format("('corr-'||event_id)")}"""
 PATHS = "'/var/log/audit-'||(user_id%8)||'.log'"
 
 
 def _batches(spark, sf_dir):
-    records = _records(spark, sf_dir)
-    lines = records.select(F.concat(F.lit("/var/log/audit-"), F.regexp_extract("auditActorId", r"(\d+)", 1).cast("bigint") % 8, F.lit(".log")).alias("path"), F.lit(0).cast("bigint").alias("from_offset"), F.lit(1 << 20).cast("bigint").alias("to_offset"), F.col("event_id").alias("line_no"), audit_line(CFG).alias("line"))
+    records, part = _records(spark, sf_dir), F.floor(F.col("event_id") / READ_EVENTS)
+    lines = records.select(F.concat(F.lit("/var/log/audit-"), F.regexp_extract("auditActorId", r"(\d+)", 1).cast("bigint") % 8, F.lit(".log")).alias("path"), (part * READ).alias("from_offset"), ((part + 1) * READ).alias("to_offset"), F.col("event_id").alias("line_no"), audit_line(CFG).alias("line"))
     return make_batches(G.suspicious_lines(lines))
 
 
-@query(f"""WITH RECURSIVE {REC}, l AS (SELECT {PATHS} AS path,event_id,{BATCH_LINE} AS line FROM rec), o AS (SELECT *,row_number() OVER (PARTITION BY path ORDER BY event_id) AS n,length(line)+1 AS sz FROM l),
- c AS (SELECT path,n,line,event_id,sz AS used,0::BIGINT AS chunk FROM o WHERE n=1 UNION ALL SELECT o.path,o.n,o.line,o.event_id,CASE WHEN c.used+o.sz>8192 THEN o.sz ELSE c.used+o.sz END,CASE WHEN c.used+o.sz>8192 THEN c.chunk+1 ELSE c.chunk END FROM c JOIN o ON o.path=c.path AND o.n=c.n+1),
- b AS (SELECT path,chunk,count(*)::INT AS line_count,string_agg(line,chr(10) ORDER BY n) AS content FROM c GROUP BY ALL)
- SELECT path AS source_path,line_count,content,sha256(content) AS content_checksum,'v3-'||regexp_replace(path,'[^A-Za-z0-9._-]','_','g')||'-'||printf('%08x',{djb2_sql('path')})||'-0-1048576-'||chunk||'-'||substr(sha256(content),1,16) AS batch_id FROM b""")
+@query(f"""WITH RECURSIVE {REC}, l AS (SELECT {PATHS} AS path,event_id//{READ_EVENTS} AS part,event_id,{BATCH_LINE} AS line FROM rec), o AS (SELECT *,row_number() OVER (PARTITION BY path,part ORDER BY event_id) AS n,length(line)+1 AS sz FROM l),
+ c AS (SELECT path,part,n,line,event_id,sz AS used,0::BIGINT AS chunk FROM o WHERE n=1 UNION ALL SELECT o.path,o.part,o.n,o.line,o.event_id,CASE WHEN c.used+o.sz>8192 THEN o.sz ELSE c.used+o.sz END,CASE WHEN c.used+o.sz>8192 THEN c.chunk+1 ELSE c.chunk END FROM c JOIN o ON o.path=c.path AND o.part=c.part AND o.n=c.n+1),
+ b AS (SELECT path,part,chunk,count(*)::INT AS line_count,string_agg(line,chr(10) ORDER BY n) AS content FROM c GROUP BY ALL)
+ SELECT path AS source_path,line_count,content,sha256(content) AS content_checksum,'v3-'||regexp_replace(path,'[^A-Za-z0-9._-]','_','g')||'-'||printf('%08x',{djb2_sql('path')})||'-'||part*1048576||'-'||(part+1)*1048576||'-'||chunk||'-'||substr(sha256(content),1,16) AS batch_id FROM b""")
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _batches(spark, sf_dir).select("source_path", "line_count", "content", "content_checksum", "batch_id")
 
 
 def _finding_tables(spark, sf_dir):
-    made = _batches(spark, sf_dir)
+    made = staged(_batches(spark, sf_dir), "batches")
     lines = made.select("batch_id", F.posexplode(F.split("content", "\n")).alias("k", "line"))
     severity = F.element_at(F.array(*map(F.lit, S.SEVERITIES)), (F.col("k") % 4 + 1).cast("int"))
     copied = F.when(F.col("k") % 5 == 0, F.col("line")).when(F.col("k") % 7 == 0, F.concat(F.lit("x"), F.col("line")))
@@ -276,8 +289,8 @@ def _finding_tables(spark, sf_dir):
     return told, made
 
 
-@query(f"""WITH RECURSIVE {REC}, l AS (SELECT {PATHS} AS path,event_id,{BATCH_LINE} AS line FROM rec), o AS (SELECT *,row_number() OVER (PARTITION BY path ORDER BY event_id) AS n,length(line)+1 AS sz FROM l),
- c AS (SELECT path,n,line,sz AS used,0::BIGINT AS chunk,0::BIGINT AS k FROM o WHERE n=1 UNION ALL SELECT o.path,o.n,o.line,CASE WHEN c.used+o.sz>8192 THEN o.sz ELSE c.used+o.sz END,CASE WHEN c.used+o.sz>8192 THEN c.chunk+1 ELSE c.chunk END,CASE WHEN c.used+o.sz>8192 THEN 0 ELSE c.k+1 END FROM c JOIN o ON o.path=c.path AND o.n=c.n+1)
+@query(f"""WITH RECURSIVE {REC}, l AS (SELECT {PATHS} AS path,event_id//{READ_EVENTS} AS part,event_id,{BATCH_LINE} AS line FROM rec), o AS (SELECT *,row_number() OVER (PARTITION BY path,part ORDER BY event_id) AS n,length(line)+1 AS sz FROM l),
+ c AS (SELECT path,part,n,line,sz AS used,0::BIGINT AS chunk,0::BIGINT AS k FROM o WHERE n=1 UNION ALL SELECT o.path,o.part,o.n,o.line,CASE WHEN c.used+o.sz>8192 THEN o.sz ELSE c.used+o.sz END,CASE WHEN c.used+o.sz>8192 THEN c.chunk+1 ELSE c.chunk END,CASE WHEN c.used+o.sz>8192 THEN 0 ELSE c.k+1 END FROM c JOIN o ON o.path=c.path AND o.part=c.part AND o.n=c.n+1)
  SELECT path AS source_path,CASE WHEN k%4=3 THEN 'critical' ELSE 'high' END AS severity,'auth.failure' AS category,'copied' AS summary,line AS evidence,'look' AS action FROM c WHERE k%5=0 AND k%4 IN (2,3)""")
 def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     told, made = _finding_tables(spark, sf_dir)
@@ -495,7 +508,7 @@ def issue_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(head, F.when(v == 0, F.concat(F.lit("ISSUE_FILED kind=open fp="), fp, F.lit(" number="), n, F.lit(" url=https://x/y/z/issues/"), n)).when(v == 1, F.concat(F.lit("ISSUE_SKIP kind=open fp="), fp, F.lit(" reason=muted")))
         .when(v == 2, F.concat(F.lit("ISSUE_OUTBOUND mode=dry-run kind=open fp="), fp, F.lit(" severity=high signal=error-spike repo=a/b title='[stability] x y'"))).when(v == 3, "ISSUE_PROBE kind=auth ok=1 detail=all is well")
         .when(v == 4, "ISSUE_BUDGET_EXCEEDED scope=day used=5 cap=5").otherwise("ISSUE_FILED kind=open fp=zz number=x"))
-    rows = _events(spark, sf_dir).select("event_id", R.issue_line(line).alias("i")).where("i is not null")
+    rows = R.facts(_events(spark, sf_dir).select("event_id", line.alias("line")), R.issue_line)
     return rows.select("event_id", "i.fp", "i.action", "i.number", "i.reason", "i.detail")
 
 
@@ -503,7 +516,7 @@ def issue_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incident_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     line = F.concat(F.lit("MSG=sentinel INCIDENT fp="), _issue_fp(), F.lit(" signal=error-spike state=s"), n % 4, F.lit("->s"), (n + 1) % 4, F.lit(" fails="), n % 10, F.lit(" total=12 buckets=6-covered"))
-    rows = _events(spark, sf_dir).select(n.alias("epoch"), R.incident_line(line).alias("i")).where("i is not null").select("epoch", "i.*")
+    rows = R.facts(_events(spark, sf_dir).select(n.alias("epoch"), line.alias("line")), R.incident_line).select("epoch", "i.*")
     return R.latest_incidents(rows, ["epoch"]).select("fp", "state", "transitions", "fails")
 
 

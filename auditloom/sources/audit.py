@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import AUDIT_FIELDS
-from .adapter import project_fields
+from .logs import lossy_text, read_files
 
 _RECORD = ", ".join(f"{f}: string, {f[0].upper() + f[1:]}: string" for f in AUDIT_FIELDS)
 _RECORDS = f"array<struct<{_RECORD}>>"
@@ -34,13 +36,15 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     """Landed pages ``(source_id, window_id, page_no, body)`` with ``page_records``, ``next_cursor`` and ``watermark``.
 
     Records come from the first of records, Records, data.records, data.Records and items that is there. Control fields:
-    camelCase, then PascalCase, then nested; an empty one is null.
+    camelCase, then PascalCase, then nested; an empty one is null. ``whole`` says whether the body is a JSON object: a page
+    that isn't has failed.
     """
     with _case_sensitive(pages.sparkSession):
         page = pages.withColumn("_page", F.from_json("body", PAGE))
         pick = lambda *names: F.coalesce(*(F.nullif(F.trim(f"_page.{n}"), F.lit("")) for n in names))
+        whole = F.coalesce(F.try_parse_json("body").isNotNull() & F.ltrim("body").startswith("{"), F.lit(False)).alias("whole")
         return page.select(
-            *pages.columns, F.coalesce(*(F.col(f"_page.{n}") for n in ("records", "Records", "data.records", "data.Records", "items")), F.array().cast(_RECORDS)).alias("page_records"),
+            *pages.columns, whole, F.coalesce(*(F.col(f"_page.{n}") for n in ("records", "Records", "data.records", "data.Records", "items")), F.array().cast(_RECORDS)).alias("page_records"),
             pick("nextCursor", "NextCursor", "data.nextCursor", "data.NextCursor").alias("next_cursor"),
             pick("queryWatermark", "QueryWatermark", "data.queryWatermark", "data.QueryWatermark").alias("watermark"),
         )
@@ -59,51 +63,66 @@ def page_records(parsed: DataFrame) -> DataFrame:
 def window_checkpoints(parsed: DataFrame) -> DataFrame:
     """``(source_id, window_id, pages, records, exhausted, watermark)`` for each fixed window of pages.
 
-    A window is exhausted once a page has no next cursor, and only then does its watermark count: the first one
-    reported in the window. A page that could not be parsed never landed, so pages are whole or not there.
+    A window is exhausted once its last page, one without a next cursor, is there, and only then does its watermark count:
+    the first one reported in the window. A page that has failed blocks its window, and adds nothing.
     """
     first = F.min_by(F.col("watermark"), F.when(F.col("watermark").isNotNull(), F.col("page_no")))
-    groups = parsed.groupBy("source_id", "window_id").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.size("page_records")).alias("records"), F.bool_or(F.col("next_cursor").isNull()).alias("exhausted"), first.alias("watermark"))
+    last = F.bool_or(F.col("whole") & F.col("next_cursor").isNull()) & F.bool_and("whole")
+    groups = parsed.groupBy("source_id", "window_id").agg(F.count_if("whole").alias("pages"), F.sum(F.size("page_records")).alias("records"), last.alias("exhausted"), first.alias("watermark"))
     return groups.withColumn("watermark", F.when(F.col("exhausted"), F.col("watermark")))
 
 
 def pages_within_budget(parsed: DataFrame, records: int = 1000, pages: int = 12) -> DataFrame:
-    """Whole pages of each window until the budget is met: a page starts only while fewer records have been taken."""
-    from pyspark.sql import Window
-
+    """Whole pages of each window until the budget is met: a page starts only while fewer records have been taken, and none after a failed one."""
     before = Window.partitionBy("source_id", "window_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
     size = F.size("page_records")
-    kept = parsed.withColumn("_taken", F.coalesce(F.sum(size).over(before), F.lit(0))).withColumn("_pages", F.count(F.lit(1)).over(before))
-    return kept.where((F.col("_taken") < records) & (F.col("_pages") < pages)).drop("_taken", "_pages")
+    kept = parsed.withColumn("_taken", F.coalesce(F.sum(size).over(before), F.lit(0))).withColumn("_pages", F.count(F.lit(1)).over(before)).withColumn("_failed", F.coalesce(F.bool_or(~F.col("whole")).over(before), F.lit(False)))
+    return kept.where(F.col("whole") & ~F.col("_failed") & (F.col("_taken") < records) & (F.col("_pages") < pages)).drop("_taken", "_pages", "_failed")
 
 
-def strict_snapshot(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records and status of snapshot files ``lines(file, line_no, line, terminated)``.
+def strict_snapshot(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records and status of whole snapshot files ``files(file, content)``: ``(file, lines, error, valid)`` for each.
 
     An unterminated last line, an empty line or one that isn't a JSON object rejects its whole file, with the reason and
-    number of the first such line; a file of no lines is valid. ``terminated`` says whether a newline follows.
+    number of the first such line; an empty file is valid and has no records.
     """
-    parsed = F.try_parse_json("line")
-    bad = F.when(~F.coalesce("terminated", F.lit(True)), "unterminated-line").when(F.trim("line") == "", F.concat(F.lit("empty-line-"), "line_no")).when(
-        parsed.isNull() | ~F.trim("line").startswith("{"), F.concat(F.lit("invalid-json-line-"), "line_no"))
+    text = lossy_text("content")
+    ended = F.col("_text").endswith("\n")
+    split = F.split(F.when(ended, F.expr("left(_text, length(_text) - 1)")).otherwise(F.col("_text")), "\n", -1)
+    whole = files.select("file", text.alias("_text"))
+    lines = whole.where("_text <> ''").select("file", ended.alias("_ended"), F.size(split).alias("_size"), F.posexplode(split).alias("_at", "line"))
+    number, parsed = F.col("_at") + 1, F.try_parse_json("line")
+    bad = F.when(~F.col("_ended") & (number == F.col("_size")), "unterminated-line").when(F.trim("line") == "", F.concat(F.lit("empty-line-"), number)).when(
+        parsed.isNull() | ~F.trim("line").startswith("{"), F.concat(F.lit("invalid-json-line-"), number))
     marked = lines.withColumn("_bad", bad)
-    status = marked.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.min_by("_bad", F.when(F.col("_bad").isNotNull(), F.col("line_no"))).alias("error"))
-    status = status.withColumn("valid", F.col("error").isNull())
-    good = lines.join(status.where("valid").select("file"), "file", "left_semi")
+    told = marked.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.min_by("_bad", F.when(F.col("_bad").isNotNull(), F.col("_at"))).alias("error"))
+    status = files.select("file").join(told, "file", "left").fillna(0, ["lines"]).withColumn("valid", F.col("error").isNull())
+    good = lines.join(told.where("error is null").select("file"), "file", "left_semi")
     return json_records(good), status
 
 
+def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``strict_snapshot`` of the files at ``path``; an empty file, which the reader passes over, is a valid one."""
+    found = read_files(spark, path)
+    named = [(re.sub("^file:/+", "file:/", unquote(x)), b"") for x in found.inputFiles()]  # a row a file
+    content = found.select(F.regexp_replace("path", "^file:/+", "file:/").alias("file"), F.col("content").alias("_content"))
+    files = spark.createDataFrame(named, "file string, content binary").join(content, "file", "left")
+    return strict_snapshot(files.select("file", F.coalesce("_content", "content").alias("content")))
+
+
 def json_records(lines: DataFrame) -> DataFrame:
-    """The fifteen fields of JSON lines; lines that aren't objects are skipped."""
-    objects = lines.where(F.try_parse_json("line").isNotNull() & F.trim("line").startswith("{"))
-    get = lambda f: F.get_json_object("line", f"$.{f}")
-    flat = lambda c: F.when(c.rlike(r"^\s*[\[{]"), "").otherwise(c)
-    return objects.select(*(F.coalesce(flat(get(f)), flat(get(f[0].upper() + f[1:])), F.lit("")).alias(f) for f in AUDIT_FIELDS))
+    """The fifteen fields of JSON lines, in either spelling; lines that aren't objects are skipped. A line is parsed once."""
+    with _case_sensitive(lines.sparkSession):
+        objects = lines.where(F.coalesce(F.try_parse_json("line").isNotNull(), F.lit(False)) & F.ltrim("line").startswith("{"))
+        rows = objects.select(F.explode(F.array(F.from_json("line", f"struct<{_RECORD}>"))).alias("r"))
+        flat = lambda c: F.when(~c.rlike(r"^\s*[\[{]"), c)
+        value = lambda f: F.coalesce(flat(F.col(f"r.{f}")), flat(F.col(f"r.{f[0].upper() + f[1:]}")), F.lit("")).alias(f)
+        return rows.select(*(value(f) for f in AUDIT_FIELDS))
 
 
 def tolerant_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Records of JSON-lines files, bad lines skipped."""
-    return project_fields(spark.read.option("mode", "DROPMALFORMED").schema(", ".join(f"`{f}` string" for f in AUDIT_FIELDS)).json(path))
+    return json_records(spark.read.text(path).withColumnRenamed("value", "line"))
 
 
 def salvage_records(excerpts: DataFrame) -> DataFrame:

@@ -17,11 +17,13 @@ from ..config import Config
 from ..functions import scalars as S
 from ..operators import alerts as A
 from ..operators import gates as G
+from ..operators import issues as IS
 from ..operators import snapshots as SN
 from ..operators import stability as ST
 from ..operators.batching import make_batches
-from ..operators.incidents import TTL_SECONDS
+from ..operators.incidents import FIELDS, NOTHING, REEMIT_SECONDS, TTL_SECONDS, next_state
 from ..sources import logs as L
+from ..sources.staging import parquet_or_none, staged
 
 
 def read_lines(spark: SparkSession, folder: str, schema: str = "path string, from_offset bigint, to_offset bigint, line_no bigint, line string") -> DataFrame:
@@ -50,16 +52,17 @@ def batches_job(lines: DataFrame, folder: str, checkpoint: str, once: bool = Tru
 def follow_files(spark: SparkSession, logs: str, folder: str) -> int:
     """One pass over growing files: new complete lines since the ledger become batches, then the ledger moves on.
 
-    The ledger is written under a number of its own after the batches, so a failed pass is done again from the old one.
+    The chunks are written first, and both batches and ledger come from what was written: a line that is appended
+    meanwhile waits for the next pass. The ledger is written under a number of its own after the batches, so a failed
+    pass is done again from the old one.
     """
     versions = f"{folder}/ledger"
-    try:
-        last = spark.read.parquet(versions)
-        number = last.agg(F.max("version")).first()[0]
-        ledger = last.where(F.col("version") == number).drop("version")
-    except Exception:  # noqa: BLE001 - the first pass
-        number, ledger = -1, spark.createDataFrame([], L.LEDGER)
-    chunks = L.new_chunks(L.read_files(spark, logs), ledger)
+    last = parquet_or_none(spark, versions)
+    number = -1 if last is None else last.agg(F.max("version")).first()[0]
+    ledger = spark.createDataFrame([], L.LEDGER) if last is None else last.where(F.col("version") == number).drop("version")
+    landed = f"{folder}/chunks/run={number + 1}"
+    L.new_chunks(L.read_files(spark, logs), ledger).write.mode("overwrite").parquet(landed)
+    chunks = spark.read.parquet(landed)
     make_batches(G.suspicious_lines(L.split_lines(chunks))).write.mode("overwrite").parquet(f"{folder}/batches/run={number + 1}")
     L.next_ledger(ledger, chunks.select("path", "to_offset", "fingerprint")).write.mode("overwrite").parquet(f"{versions}/version={number + 1}")
     return number + 1
@@ -68,37 +71,58 @@ def follow_files(spark: SparkSession, logs: str, folder: str) -> int:
 def bucket_stream(records: DataFrame, cfg: Config, delay: str = "2 hours") -> DataFrame:
     """Failures and totals by component and tumbling event-time bucket, closed once the watermark has passed.
 
-    Records behind the watermark are dropped; Spark counts them in the query's progress (``numRowsDroppedByWatermark``).
-    The batch path has no such limit: it counts all records again each time.
+    Attempts are rows of their own (``attempt``): they count for coverage, not for a component. Records behind the watermark
+    are dropped; Spark counts them in the query's progress (``numRowsDroppedByWatermark``). The batch path has no such
+    limit: it counts all records again each time.
     """
     dated = records.withColumn("_epoch", S.epoch_of("occurredAtUtc")).where("_epoch is not null").withColumn("ts", F.timestamp_seconds("_epoch"))
-    kept = dated.where(~G.is_attempt("action") & (S.text("action") != "")).withWatermark("ts", delay)
-    keys = [S.action_family("action").alias("family"), S.text("scopeId").alias("scope"), S.text("resourceType").alias("rtype"), F.window("ts", f"{cfg.bucket_minutes} minutes").alias("w")]
-    counted = kept.groupBy(*keys).agg(F.count_if(G.is_failure("action", "outcome")).alias("fails"), F.count(F.lit(1)).alias("total"))
-    return counted.select("family", "scope", "rtype", S.bucket_of(F.unix_seconds("w.start"), cfg.bucket_seconds).alias("bucket"), "fails", "total")
+    attempt = (G.is_attempt("action") | (S.text("action") == "")).alias("attempt")
+    keys = [S.action_family("action").alias("family"), S.text("scopeId").alias("scope"), S.text("resourceType").alias("rtype"), attempt, F.window("ts", f"{cfg.bucket_minutes} minutes").alias("w")]
+    counted = dated.withWatermark("ts", delay).groupBy(*keys).agg(F.count_if(G.is_failure("action", "outcome")).alias("fails"), F.count(F.lit(1)).alias("total"))
+    return counted.select("family", "scope", "rtype", S.bucket_of(F.unix_seconds("w.start"), cfg.bucket_seconds).alias("bucket"), "attempt", "fails", "total")
 
 
-def scan_job(buckets: DataFrame, folder: str, checkpoint: str, cfg: Config, once: bool = True) -> StreamingQuery:
-    """Closed buckets join the bucket table, and the rules that need no single events are evaluated for its newest bucket.
+def scan_job(records: DataFrame, folder: str, checkpoint: str, cfg: Config, once: bool = True) -> StreamingQuery:
+    """All rules for audit records as of the newest bucket, after each micro-batch of ``records``.
 
-    Only the lookback's buckets are read again. ``covered`` are the buckets from the table's first to its last, so a
-    component that is silent in the newest one is quiet, not unknown.
+    Events are kept in folders by bucket, and a scan reads those of the lookback only. Everything in them is counted
+    again, so a late record changes its bucket. Attempts extend the coverage, so a component that is silent in the newest
+    bucket is quiet, not unknown.
     """
-    spark = buckets.sparkSession
+    spark, depth = records.sparkSession, max(cfg.lookback_buckets, cfg.flap_buckets)
 
     def each(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{folder}/buckets/run={batch}")
-        table = spark.read.parquet(f"{folder}/buckets").drop("run").groupBy(*ST.GROUP, "bucket").agg(F.sum("fails").alias("fails"), F.sum("total").alias("total"))
-        first, last = table.agg(F.min("bucket"), F.max("bucket")).first()
+        ST.stability_events(df, cfg, line=True).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/events/run={batch}")
+        events = parquet_or_none(spark, f"{folder}/events")
+        last = None if events is None or "bucket" not in events.columns else events.agg(F.max("bucket")).first()[0]
         if last is None:
             return
-        recent = table.where(F.col("bucket") > last - cfg.lookback_buckets)
-        covered = spark.createDataFrame([(max(first, last - cfg.lookback_buckets + 1), last)], "covered_first bigint, covered_last bigint")
-        grid = ST.calendar(recent, covered).select(*ST.GROUP, "bucket", "fails", "total")
-        told = [r.where(F.col("bucket") == last).select(F.lit(s).alias("signal"), *ST.GROUP, "bucket", "fired", (F.col("fails") == 0).alias("quiet_ok")) for s, r in (("recurring-failure", ST.recurring(grid, cfg)), ("error-spike", ST.error_spike(grid, cfg)))]
-        told[0].unionByName(told[1]).write.mode("overwrite").parquet(f"{folder}/candidates/run={batch}")
+        recent = events.where(F.col("bucket") > last - depth).withColumn("bucket", F.col("bucket").cast("bigint"))
+        told = ST.rules(staged(ST.bucket_counts(recent), "scan"), cfg).where(F.col("bucket") == last)
+        fp = S.fingerprint(F.col("signal"), F.col("family"), F.col("scope"), F.col("rtype"))
+        told.withColumn("fp", fp).write.mode("overwrite").parquet(f"{folder}/candidates/run={batch}")
 
-    return _start(buckets, checkpoint, each, once=once)
+    return _start(records, checkpoint, each, once=once)
+
+
+def issues_job(requests: DataFrame, folder: str, checkpoint: str, issues: Callable[[], DataFrame], cfg: Config, login: str = "", once: bool = True) -> StreamingQuery:
+    """Decisions on issue requests, those that wait carried over: each run takes up the pending ones of the run before it.
+
+    A run writes its decisions, then what is done (with the ledger of before), then what still waits; a repeated run starts
+    from the same tables. What was refused for a budget, or waits because nothing is written, comes up again in reconcile order.
+    """
+    spark = requests.sparkSession
+
+    def each(df: DataFrame, batch: int) -> None:
+        waits = parquet_or_none(spark, f"{folder}/pending/run={batch - 1}") if batch else None
+        asked = df if waits is None else waits.unionByName(df)
+        done = (parquet_or_none(spark, f"{folder}/done/run={batch - 1}") if batch else None) or spark.createDataFrame([], "repo string, dedup_key string")
+        decided = staged(IS.decide(asked, issues(), done, cfg, login), "decided")
+        IS.reconcile_order(decided).write.mode("overwrite").parquet(f"{folder}/decisions/run={batch}")
+        done.unionByName(decided.where("decision in ('file', 'comment', 'close', 'skip')").select("repo", "dedup_key")).distinct().write.mode("overwrite").parquet(f"{folder}/done/run={batch}")
+        IS.next_pending(decided).select(*df.columns).write.mode("overwrite").parquet(f"{folder}/pending/run={batch}")
+
+    return _start(requests, checkpoint, each, once=once)
 
 
 def unseen_stream(records: DataFrame, ttl: str = "7 days") -> DataFrame:
@@ -111,59 +135,34 @@ def suppressed_stream(alerts: DataFrame, ttl: str = "24 hours") -> DataFrame:
     return alerts.where("category <> 'issue-filed'").withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["dedup_key"])
 
 
-FIELDS = ["state", "open_bucket", "last_fired_tick", "quiet_count", "last_quiet_bucket"]
 EVENT_SCHEMA = "fp string, seq long, tick_id string, fired boolean, quiet_ok boolean, latest_bucket string, state string, open_bucket string, last_fired_tick string, quiet_count int, last_quiet_bucket string, action string"
-STATE_SCHEMA = "state string, open_bucket string, last_fired_tick string, quiet_count int, last_quiet_bucket string, seq long"
-
-
-def next_state(old: dict, tick: dict, quiet_windows: int) -> tuple[dict, str]:
-    """One step of the incident machine on plain values; the same table as ``operators.incidents.step``."""
-    new, bucket = dict(old), tick["latest_bucket"]
-    fired, quiet = tick["fired"], tick["quiet_ok"]
-    if fired:
-        new["last_fired_tick"] = tick["tick_id"]
-    match old["state"], fired, quiet:
-        case "none", True, _:
-            new["state"] = "candidate"
-        case "candidate", False, _:
-            return dict(zip(FIELDS, ("none", "", "", 0, ""), strict=True)), ""
-        case "candidate", True, _ if old["last_fired_tick"] != tick["tick_id"]:
-            return new | {"state": "open", "open_bucket": bucket}, "open"
-        case "open", False, True:
-            new |= {"state": "recovering", "quiet_count": 1, "last_quiet_bucket": bucket}
-        case "recovering", True, _:
-            return new | {"state": "open", "quiet_count": 0, "last_quiet_bucket": ""}, "comment"
-        case "recovering", False, True:
-            if bucket != old["last_quiet_bucket"]:
-                new |= {"quiet_count": old["quiet_count"] + 1, "last_quiet_bucket": bucket}
-            if new["quiet_count"] >= quiet_windows:
-                return new | {"state": "closed"}, "close"
-        case "recovering", False, False if bucket and bucket != old["last_quiet_bucket"]:
-            new |= {"quiet_count": 0, "last_quiet_bucket": ""}
-        case "closed", True, _:
-            new |= {"state": "candidate", "open_bucket": "", "quiet_count": 0, "last_quiet_bucket": ""}
-    return new, ""
+STATE_SCHEMA = "state string, open_bucket string, last_fired_tick string, quiet_count int, last_quiet_bucket string, seq long, emitted long"
 
 
 def incident_stream(ticks: DataFrame, cfg: Config, seconds_a_tick: int | None = None) -> DataFrame:
     """Every tick's state as it comes: ``ticks(fp, seq, tick_id, fired, quiet_ok, latest_bucket)``.
 
     The state of a fingerprint is one row. With ``seconds_a_tick`` a closed incident is forgotten when a tick comes 14
-    days after its last one, by the ticks' own time, so the job ends when its input does.
+    days after its last one, and an open one that still fires asks to be opened again ten minutes after it last did; both
+    by the ticks' own time, so the job ends when its input does.
     """
-    start = (*("none", "", "", 0, ""), -1)
+    start = (*NOTHING, -1, -1)
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else start
-        now, last = dict(zip(FIELDS, held[:5], strict=True)), held[5]
+        now, last, emitted = dict(zip(FIELDS, held[:5], strict=True)), held[5], held[6]
         rows = []
         for tick in pd.concat(list(frames)).sort_values("seq").to_dict("records"):
             if seconds_a_tick and now["state"] == "closed" and (tick["seq"] - last) * seconds_a_tick > TTL_SECONDS:
-                now = dict(zip(FIELDS, start[:5], strict=True))
+                now = dict(zip(FIELDS, NOTHING, strict=True))
             now, action = next_state(now, tick, cfg.quiet_windows)
             last = tick["seq"]
+            if seconds_a_tick and not action and now["state"] == "open" and tick["fired"] and (last - emitted) * seconds_a_tick >= REEMIT_SECONDS:
+                action = "open"
+            if action == "open":
+                emitted = last
             rows.append({**{k: tick[k] for k in ("fp", "seq", "tick_id", "fired", "quiet_ok", "latest_bucket")}, **now, "action": action})
-        state.update((*(now[f] for f in FIELDS), int(last)))
+        state.update((*(now[f] for f in FIELDS), int(last), int(emitted)))
         yield pd.DataFrame(rows)
 
     return ticks.groupBy("fp").applyInPandasWithState(fold, EVENT_SCHEMA, STATE_SCHEMA, "append", "NoTimeout")

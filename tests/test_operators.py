@@ -22,7 +22,7 @@ from auditloom.operators.batching import chunk_numbers, make_batches
 from auditloom.sources import adapter as AD
 from auditloom.sources import audit as AU
 from auditloom.sources import logs as L
-from auditloom.streaming.jobs import next_state
+from auditloom.operators.incidents import next_state
 
 CFG = Config()
 
@@ -84,12 +84,26 @@ def test_watermark_moves_only_when_a_window_is_exhausted(spark):
 
 def test_strict_and_tolerant_snapshots(spark, tmp_path):
     good = json.dumps(RECORD)
-    files = [("ok", 1, good, True), ("ok", 2, good, True), ("cut", 1, good, False), ("bad", 1, good, True), ("bad", 2, "{x", True), ("list", 1, "[1]", True), ("gap", 1, "", True)]
-    records, status = AU.strict_snapshot(spark.createDataFrame(files, "file string, line_no int, line string, terminated boolean"))
-    assert records.count() == 2
-    assert dict(rows(status.select("file", "error"))) == {"ok": None, "cut": "unterminated-line", "bad": "invalid-json-line-2", "list": "invalid-json-line-1", "gap": "empty-line-1"}
-    (tmp_path / "x.jsonl").write_text(f"{good}\nnot json\n{good}\n")
-    assert AU.tolerant_jsonl(spark, str(tmp_path)).count() == 2
+    pascal = json.dumps({k[0].upper() + k[1:]: v for k, v in RECORD.items()})
+    files = {"ok": f"{good}\n{pascal}\n", "cut": good, "bad": f"{good}\n{{x\n", "list": "[1]\n", "gap": "\n", "late": f"{good}\n\n{good}", "none": ""}
+    records, status = AU.strict_snapshot(spark.createDataFrame([(k, v.encode()) for k, v in files.items()], "file string, content binary"))
+    assert [(r["id"], r["httpStatus"], r["dependency"]) for r in records.collect()] == [("a1", "502", "")] * 2
+    assert dict(rows(status.select("file", "error"))) == {"ok": None, "cut": "unterminated-line", "bad": "invalid-json-line-2", "list": "invalid-json-line-1", "gap": "empty-line-1", "late": "empty-line-2", "none": None}
+    assert {r["file"]: (r["lines"], r["valid"]) for r in status.collect()}["none"] == (0, True)
+    (tmp_path / "x.jsonl").write_text(f"{good}\nnot json\n{pascal}\n")
+    (tmp_path / "y.jsonl").write_text("")
+    assert [(r["id"], r["outcome"]) for r in AU.tolerant_jsonl(spark, str(tmp_path)).collect()] == [("a1", "Denied")] * 2
+    assert {r["error"] for r in AU.read_snapshot(spark, str(tmp_path))[1].collect()} == {"invalid-json-line-2", None}
+
+
+def test_a_failed_page_blocks_its_window(spark):
+    page = lambda n, body: ("s", "w", n, body)
+    good = json.dumps({"records": [RECORD], "nextCursor": "c", "queryWatermark": "m1"})
+    last = json.dumps({"records": [RECORD]})
+    for pages, want in (([page(0, good), page(1, "<html>")], (1, 1, False, None)), ([page(0, good), page(1, None)], (1, 1, False, None)), ([page(0, good), page(1, "oops"), page(2, last)], (2, 2, False, None)), ([page(0, good), page(1, last)], (2, 2, True, "m1"))):
+        parsed = AU.parse_pages(spark.createDataFrame(pages, "source_id string, window_id string, page_no int, body string"))
+        assert rows(AU.window_checkpoints(parsed).select("pages", "records", "exhausted", "watermark")) == [want]
+        assert AU.pages_within_budget(parsed).count() == (2 if want[2] else 1)
 
 
 def test_salvage_stops_at_the_cut(spark):
@@ -118,7 +132,7 @@ def test_dead_letters_and_a_missing_source(spark, tmp_path):
 
 def test_watch_events(spark, tmp_path):
     (tmp_path / "auth.log").write_text("Jan  1 10:00:00 h sshd[1]: Failed password for root from 10.0.0.9\n\nJan  1 10:00:01 h sudo:  eve : user NOT in sudoers ; COMMAND=/bin/sh\n")
-    got = L.watch_events(L.read_files(spark, str(tmp_path))).orderBy("line_no").collect()
+    got = L.watch_events(L.newest_files(spark, str(tmp_path), 20)).orderBy("line_no").collect()
     assert [(r["actor"], r["ip"], r["action"], r["outcome"], r["suspicious"]) for r in got][0] == ("root", "10.0.0.9", "ssh", "failure", True)
     assert got[1]["command"] == "/bin/sh" and got[1]["actor"] == "eve"
 
@@ -245,10 +259,10 @@ def test_signals(spark, case):
 
 def test_flapping_has_no_predecessor_outside_its_range(spark):
     spec = [(at(0), *OK)] + [(at(120, i), *(BAD if i % 2 == 0 else OK)) for i in range(7)]
-    grid = {r["bucket"]: r["changes"] for r in ST.flapping(*(lambda e: (e, ST.calendar(ST.component_buckets(e), ST.coverage(e)).select(*ST.GROUP, "bucket", "fails", "total")))(ST.stability_events(records(spark, spec), CFG, True)), CFG).collect()}
+    grid = {r["bucket"]: r["changes"] for r in ST.flapping(ST.bucket_counts(ST.stability_events(records(spark, spec), CFG, True)), CFG).collect()}
     assert grid[max(grid)] == 6
     near = [(at(90), *OK)] + spec[1:]
-    grid = {r["bucket"]: r["changes"] for r in ST.flapping(*(lambda e: (e, ST.calendar(ST.component_buckets(e), ST.coverage(e)).select(*ST.GROUP, "bucket", "fails", "total")))(ST.stability_events(records(spark, near), CFG, True)), CFG).collect()}
+    grid = {r["bucket"]: r["changes"] for r in ST.flapping(ST.bucket_counts(ST.stability_events(records(spark, near), CFG, True)), CFG).collect()}
     assert grid[max(grid)] == 7
 
 
@@ -462,7 +476,8 @@ def test_report_over_logs(spark, tmp_path):
     put("analyzer.dead_letter-1700000004.log", "tag=DEAD_LETTER DELIVERY=q/dedup/audit-batch_2f_v3-x WHY=broken\nEXIT=0\n")
     put("watcher.collect-1700000005.log", "MSG=watcher audit-poll mode=x records=5 seen=2 batches=1\nEXIT=1\n")
     put("other-1700000006.log", "EXIT=1\n")
-    logs = L.runtime_logs(L.read_files(spark, str(tmp_path))).cache()
+    assert L.newest_files(spark, str(tmp_path), 2).count() == 2
+    logs = L.runtime_logs(L.newest_files(spark, str(tmp_path), 120)).cache()
     assert logs.count() == 6 and {r["epoch"] for r in logs.collect()} == {1700000000 + i for i in range(6)}
     latest = R.latest_incidents(R.incident_entries(logs), ["mtime", "line_no"]).first()
     assert (latest["state"], latest["transitions"], latest["fails"]) == ("open", 2, 7)
