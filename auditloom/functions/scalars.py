@@ -229,12 +229,12 @@ def fields(column) -> Column:
     key = lambda p: F.substring_index(p, "=", 1)
     entry = lambda p: F.struct(key(p).alias("key"), F.regexp_replace(F.regexp_replace(p, "^[^=]*=", ""), "^'|'$", "").alias("value"))
     # read from the end, the first of equal keys is the last one of the line
-    return let(F.reverse(pairs(column)), lambda found: let(F.transform(found, key), lambda names: F.map_from_entries(F.transform(F.filter(found, lambda p, i: F.array_position(names, key(p)) == i + 1), entry))))
+    return let(F.reverse(pairs(column)), lambda found: let(F.transform(found, key), lambda names: F.map_from_entries(F.reverse(F.transform(F.filter(found, lambda p, i: F.array_position(names, key(p)) == i + 1), entry)))))
 
 
 def summary_line(column) -> Column:
     """The last line that tells of a failure, else the last message, else the last line; 200 characters at most."""
-    lines = F.filter(F.transform(F.split(text(column), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text(column), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     pick = lambda pattern: F.try_element_at(F.filter(lines, lambda x: x.rlike(pattern)), F.lit(-1))
     message = F.regexp_replace(pick(r"(?i)\bMSG=|OUTBOUND|findings=|batches="), "^.*?MSG=", "")
     return F.substring(F.coalesce(pick("(?i)pipeline failed|WHY=|ERROR_CLASS=|webhook-failed"), message, F.try_element_at(lines, F.lit(-1)), F.lit("")), 1, 200)

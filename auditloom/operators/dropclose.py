@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import scalars as S
 from .gates import fp_tokens, has_any_label
-from .incidents import LABELS
+from .incidents import ADVICE, LABELS
 
 SEVERITY_LABELS = tuple(f"severity:{s}" for s in S.SEVERITIES)
 SIGNAL_LABELS = tuple(f"signal:{s}" for s in S.SIGNALS)
@@ -20,6 +20,27 @@ def count_of(body: Column, needle: str) -> Column:
     return (F.length(body) - F.length(F.replace(body, F.lit(needle), F.lit("")))) / F.lit(len(needle))
 
 
+#: A body as ``incidents.detail_body`` makes it: component, evidence, suggestion; its footer is read apart.
+LEGACY = (
+    r"(?s)^## What happened\n\n(?:It fires again while recovering\. )?Component ([^\n]*): \d+ failures of \d+ events in \d+ windows\.\n\n## Numbers\n\n\| window [^`]*?\n\n## Evidence\n\n"
+    r"```\n(.+?)\n```\n\n## What to do\n\n([^\n]*)\n\n---\nfp:[0-9a-f]{8} · incident_id: \S+ · detector \S+ · dedup_key \S+\s*$"
+)
+SECTIONS = ("## What happened\n", "## Numbers\n", "## Evidence\n", "## What to do\n", "---\nfp:")
+
+
+def legacy_agrees(body: Column, title: Column, signal: Column) -> Column:
+    """Whether a body without marker has each section once and in order, with evidence, and says what its title says."""
+    parts = F.struct(*(F.regexp_extract(body, LEGACY, i).alias(n) for i, n in ((1, "component"), (2, "evidence"), (3, "suggestion"))))
+    advice = F.coalesce(*(F.when(signal == k, v) for k, v in ADVICE.items()))
+    named = F.regexp_extract(title, r"^\[[^\]]+\] [^:]+: (.*) \(fp:[0-9a-f]{8}\)$", 1)
+    once = F.lit(True)
+    for section in SECTIONS:
+        once &= count_of(body, section) == 1
+    # a title may hold the beginning of a long component only
+    agrees = S.let(parts, lambda p: (p["component"] != "") & p["component"].startswith(named) & (F.trim(p["evidence"]) != "") & (p["suggestion"] == advice))
+    return F.coalesce(once & (named != "") & agrees, F.lit(False))
+
+
 def provenance(issues: DataFrame) -> DataFrame:
     """Issues with ``p_fp, p_incident, p_dedup, p_signal`` and ``p_error``: the marker in the body, or what an old body says."""
     body = S.text("body")
@@ -32,8 +53,7 @@ def provenance(issues: DataFrame) -> DataFrame:
     fp = F.when(marked, F.col("_fp")).otherwise(F.regexp_extract(body, r"(?m)^fp:([0-9a-f]{8}) · incident_id: ", 1))
     incident = F.when(marked, F.col("_incident")).otherwise(F.regexp_extract(body, r"(?m)^fp:[0-9a-f]{8} · incident_id: (\S+) · detector ", 1))
     dedup = F.when(marked, F.col("_dedup")).otherwise(F.regexp_extract(body, r"(?m) · dedup_key (\S+)\s*$", 1))
-    sections = [r"## What happened\n", r"## Numbers\n", r"## Evidence\n", r"## What to do\n", r"---\nfp:"]
-    legacy = body.rlike("(?s)^" + ".*".join(sections)) & (count_of(body, "## What happened\n") == 1) & (count_of(body, "---\nfp:") == 1)
+    legacy = legacy_agrees(body, F.col("title"), signal)
     rows = named.withColumn("p_fp", fp).withColumn("p_incident", incident).withColumn("p_dedup", dedup).withColumn("p_signal", signal)
     checksum = request_checksum_of(F.col("repo"), F.col("p_fp"), F.col("p_incident"), F.col("p_dedup"), F.col("title"))
     label = F.when(marked, bucket).otherwise(F.regexp_extract(S.text("p_incident"), r"^[0-9a-f]{8}-(.+)$", 1))

@@ -19,7 +19,7 @@ def reserve(requests: DataFrame) -> DataFrame:
 
 def finalize(requests: DataFrame) -> DataFrame:
     """Final records for requests whose issue has a ``number``; a number below 1 is an error."""
-    number = F.when(F.col("number") >= 1, F.col("number").cast("bigint")).otherwise(F.raise_error(F.lit("an issue number must be positive")).cast("bigint"))
+    number = F.when(F.col("number") >= 1, F.col("number").cast("bigint")).otherwise(F.raise_error(F.lit("a filed issue needs a number of 1 or more")).cast("bigint"))
     return reserve(requests.withColumn("issue_number", number)).drop("issue_number", "alert_dedup_key", "phase").join(
         requests.select(F.col("repo"), F.col("dedup_key").alias("request_dedup_key"), number.cast("string").alias("issue_number")), ["repo", "request_dedup_key"]).withColumn("alert_dedup_key", filed_alert_key(F.col("repo"), F.col("issue_number"))).withColumn("phase", F.lit("finalized")).select(*COLUMNS)
 

@@ -143,15 +143,21 @@ def collapse_alerts(entries: DataFrame) -> DataFrame:
     return entries.groupBy("dedup_key", "mode").agg(F.count(F.lit(1)).alias("n"), newest.alias("l"), first.alias("f")).select("dedup_key", "mode", "n", "l.*", "f.*")
 
 
-def finding_logs(logs: DataFrame, fresh_results: DataFrame | None = None) -> DataFrame:
-    """Findings that analyzer logs tell of, and one for the batches that were dropped and not recovered since."""
+def told_findings(logs: DataFrame) -> DataFrame:
+    """One row for each analyzer log that tells of findings or alerts."""
     text = F.col("text")
     number = lambda k: F.coalesce(_int(F.nullif(F.regexp_extract(text, rf"{k}=(\d+)", 1), F.lit(""))), F.lit(0))
-    rows = logs.where("service = 'analyzer'").withColumn("n", number("findings")).withColumn("alerts", number("alerts"))
-    told = rows.where("n > 0 or alerts > 0").select(F.concat(F.lit("finding-"), "file").alias("id"), F.coalesce(F.nullif(F.regexp_extract(text, r"batch=(\S+)", 1), F.lit("")), "file").alias("batch_id"), F.when(F.col("alerts") > 0, "high").otherwise("medium").alias("severity"), F.lit("analysis").alias("category"), F.concat(F.coalesce(F.nullif("n", F.lit(0)), "alerts"), F.lit(" findings, "), "alerts", F.lit(" alerts")).alias("summary"), text.rlike("(?i)cached_result=true").alias("cached"))
-    dead = unresolved(dead_letter_batches(rows), fresh_results).agg(F.count(F.lit(1)).alias("n"), F.max_by("why", "epoch").alias("why")).where("n > 0")
-    health = dead.select(F.lit("finding-pipeline-health").alias("id"), F.lit("pipeline-health").alias("batch_id"), F.lit("high").alias("severity"), F.lit("pipeline_health").alias("category"), F.concat("n", F.lit(" batches were dropped: "), F.coalesce("why", F.lit(""))).alias("summary"), F.lit(False).alias("cached"))
-    return told.unionByName(health).limit(CAP)
+    rows = logs.where("service = 'analyzer'").withColumn("n", number("findings")).withColumn("alerts", number("alerts")).where("n > 0 or alerts > 0")
+    batch = F.coalesce(F.nullif(F.regexp_extract(text, r"batch=(\S+)", 1), F.lit("")), "file")
+    told = F.concat(F.coalesce(F.nullif("n", F.lit(0)), "alerts"), F.lit(" findings, "), "alerts", F.lit(" alerts"))
+    return rows.select(F.concat(F.lit("finding-"), "file").alias("id"), batch.alias("batch_id"), F.when(F.col("alerts") > 0, "high").otherwise("medium").alias("severity"), F.lit("analysis").alias("category"), told.alias("summary"), text.rlike("(?i)cached_result=true").alias("cached"), F.col("epoch").alias("at"))
+
+
+def finding_logs(logs: DataFrame, fresh_results: DataFrame | None = None) -> DataFrame:
+    """Findings that analyzer logs tell of, and one for the batches that were dropped and not recovered since; the newest 80."""
+    dead = unresolved(dead_letter_batches(logs.where("service = 'analyzer'")), fresh_results).agg(F.count(F.lit(1)).alias("n"), F.max_by("why", "epoch").alias("why"), F.max("epoch").alias("at")).where("n > 0")
+    health = dead.select(F.lit("finding-pipeline-health").alias("id"), F.lit("pipeline-health").alias("batch_id"), F.lit("high").alias("severity"), F.lit("pipeline_health").alias("category"), F.concat("n", F.lit(" batches were dropped: "), F.coalesce("why", F.lit(""))).alias("summary"), F.lit(False).alias("cached"), "at")
+    return told_findings(logs).unionByName(health).orderBy(F.desc("at"), "id").limit(CAP)
 
 
 def dead_letter_batches(logs: DataFrame) -> DataFrame:

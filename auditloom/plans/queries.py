@@ -238,18 +238,41 @@ def issue_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 SENSITIVE_SQL = "|".join("[_.-]*".join(w) for w in ("token", "secret", "password", "passwd", "apikey", "authorization", "cookie", "credential", "privatekey", "signature", "webhook"))
 
 
-@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)),1)-1 AS line_no FROM documents WHERE text IS NOT NULL)
+DOC_LINES = "l AS (SELECT doc_id, unnest(string_split(coalesce(text,''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text,''), chr(10)),1)-1 AS line_no FROM documents)"
+
+
+def _document_lines(spark, sf_dir):
+    """Lines of all documents; a null text is one empty line."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+
+
+@query(f"""WITH {DOC_LINES}
  SELECT doc_id, line_no::INT AS line_no, regexp_replace(regexp_replace(regexp_replace(line,'(?i)(^|[^A-Za-z0-9_.-])((?:[A-Za-z0-9_.-]*(?:{SENSITIVE_SQL})[A-Za-z0-9_.-]*|[_.-]*a[_.-]*u[_.-]*t[_.-]*h[_.-]*)[ \\t]*[=:][ \\t]*).*$','\\1\\2***'),
  '([A-Za-z][A-Za-z0-9+.-]*://)[^@/\\s]+@','\\1','g'),'(^|[^A-Za-z0-9])([0-9A-Fa-f]{{8}})[0-9A-Fa-f]{{24,}}([^A-Za-z0-9]|$)','\\1\\2...\\3','g') AS line FROM l""")
 def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", mask_log_line("line").alias("line"))
+    return _document_lines(spark, sf_dir).select("doc_id", "line_no", mask_log_line("line").alias("line"))
+
+
+def _outbound_sql(line: str) -> str:
+    """The outbound rules one after the other; a key's left edge is a group here, where Spark looks behind."""
+    word = "[A-Za-z0-9_.-]"
+    key = f"{word}*(?:{SENSITIVE_SQL}|a[_.-]*u[_.-]*t[_.-]*h){word}*"
+    short = "|".join("[_.-]*".join(w) for w in ("id", "actor", "identitykey", "correlation", "scope", "resource"))
+    left, end, stop = "(^|[^A-Za-z0-9_.-])", """[^\\s&,;"'')]+""", """[^\\s&,;"'')…]"""
+    rules = (
+        (f'(?i)("{key}"\\s*:\\s*")(?:\\\\.|[^"\\\\])*(")', "\\1***\\2"), (f'(?i){left}({key}\\s*=\\s*")[^"]*(")', "\\1\\2***\\3"), (f"(?i){left}({key}\\s*=\\s*'')[^'']*('')", "\\1\\2***\\3"),
+        (f"(?i){left}({key}\\s*=\\s*)\\([^()]*\\)", "\\1\\2***"), (f"(?i){left}({key}\\s*=\\s*)bearer\\s+{end}", "\\1\\2***"), (f"(?i){left}({key}\\s*=\\s*){end}", "\\1\\2***"), (f"(?i)^(\\s*{key}:\\s*).*$", "\\1***"),
+        ("(?i)\\bbearer\\s+\\S+", "Bearer ***"), ("(^|[^A-Za-z0-9])gh[pousr]_[A-Za-z0-9_-]+", "\\1***github-token***"), ("([A-Za-z][A-Za-z0-9+.-]*://)[^@/\\s]+@", "\\1"), ("eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", "***jwt***"),
+        ("(^|[^A-Za-z0-9])([0-9A-Fa-f]{8})[0-9A-Fa-f]{24,}([^A-Za-z0-9]|$)", "\\1\\2…\\3"), (f"(?i){left}({word}*(?:{short}){word}*={stop}{{8}}){stop}[^\\s&,;\"'')]*", "\\1\\2…"),
+    )
+    for pattern, to in rules:
+        line = f"regexp_replace({line},'{pattern}','{to}','g')"
+    return line
 
 
-@query()
+@query(f"WITH {DOC_LINES} SELECT doc_id, line_no::INT AS line_no, {_outbound_sql('line')} AS line FROM l")
 def outbound_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", redact_outbound("line").alias("line"))
+    return _document_lines(spark, sf_dir).select("doc_id", "line_no", redact_outbound("line").alias("line"))
 
 
 @query("""SELECT conv_id, turn, regexp_matches(text,'(?i)(failed password|not in sudoers|denied|forbidden|unauthorized|critical|suspicious|brute|shadow|token|secret)') AS suspicious, sha256(text) AS sha FROM conversations""")
@@ -456,7 +479,7 @@ def label_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IS.label_specs(_issue_tables(spark, sf_dir)[0], CFG).select("repo", "name", "color")
 
 
-@query("SELECT c_custkey AS number FROM customer WHERE c_custkey>0 AND c_custkey%12 NOT IN (1,3)")
+@query("SELECT c_custkey AS number FROM customer WHERE c_custkey>0 AND c_custkey%14 NOT IN (1,3)")
 def drop_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.drop_candidates(_drop_tables(spark, sf_dir)[0], CFG).select("number")
 
@@ -470,16 +493,22 @@ def content_change_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IS.changed_issues(issues, ledger, CFG, SCAN).select("number")
 
 
+def _old_body(signal):
+    """The body of an issue that was filed before there were markers, with the advice for a signal."""
+    row = F.array(F.struct(F.lit("2024-01-05T0000").alias("label"), F.lit(7).cast("bigint").alias("fails"), F.lit(9).cast("bigint").alias("total")))
+    return I.detail_body(F.lit("open"), F.lit(signal), F.lit("svc"), row, F.array(F.lit("audit event id=1")), F.col("dedup_key"), F.col("fingerprint"), F.col("incident_id"))
+
+
 def _drop_tables(spark, sf_dir):
     n = F.col("c_custkey")
-    v = n % 12
+    v = n % 14
     base = table(spark, sf_dir, "customer").where("c_custkey > 0").select(n, F.lpad(F.lower(F.hex(F.pmod(n * 2654435761, F.lit(1 << 32)))), 8, "0").alias("fingerprint"), F.lit("org/app").alias("repo"))
     named = base.withColumn("incident_id", F.concat("fingerprint", F.lit("-2024-01-05T0000"))).withColumn("dedup_key", F.concat(F.lit("stability-issue/open/"), "fingerprint", F.lit("/2024-01-05T0000"))).withColumn("title", F.concat(F.lit("[stability] error spike: svc (fp:"), "fingerprint", F.lit(")")))
     marker = IS.provenance_marker(F.col("repo"), F.when(v == 7, "another title").otherwise(F.col("title")))
     labels = F.array_union(F.array(F.lit("stability"), F.lit("autodev:enabled"), F.lit("severity:high"), F.lit("signal:error-spike")), F.when(v == 3, F.array(F.lit("x"))).otherwise(F.array(F.lit("autodev:blocked"))))
     labels = F.when(v == 4, F.concat(labels, F.array(F.lit("stability")))).when(v == 5, F.concat(labels, F.array(F.lit("muted")))).otherwise(labels)
     issues = named.select(
-        "repo", n.alias("number"), "title", F.when(v == 11, "no marker").otherwise(IS.with_provenance(F.lit("text\n\n---\nfooter"), marker)).alias("body"), F.when(v == 1, "closed").otherwise("open").alias("state"), F.when(v == 2, "someone").otherwise("bot").alias("author"), labels.alias("labels"),
+        "repo", n.alias("number"), "title", F.when(v == 11, "no marker").when(v == 12, _old_body("error-spike")).when(v == 13, _old_body("flapping")).otherwise(IS.with_provenance(F.lit("text\n\n---\nfooter"), marker)).alias("body"), F.when(v == 1, "closed").otherwise("open").alias("state"), F.when(v == 2, "someone").otherwise("bot").alias("author"), labels.alias("labels"),
         F.when(v == 6, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("bot"))).alias("assignees"), F.lit("").alias("created_at"), F.lit(False).alias("is_pull_request"),
     )
     proposal = F.concat(F.lit("workflow/issue/org/app/"), n)
@@ -492,7 +521,7 @@ def _drop_tables(spark, sf_dir):
     return issues, comment(1, F.concat(state, F.lit("\n"), drop)).unionByName(comment(2, later))
 
 
-@query("""SELECT c_custkey AS number,(['close','issue-not-open','issue-author-untrusted','required-labels','duplicate-label','muted','issue-claim-untrusted','audit-provenance-checksum','drop-not-current','state-marker-order-ambiguous','drop-lineage-mismatch','audit-provenance-legacy'])[(c_custkey%12)::INT+1] AS reason FROM customer WHERE c_custkey>0""")
+@query("""SELECT c_custkey AS number,(['close','issue-not-open','issue-author-untrusted','required-labels','duplicate-label','muted','issue-claim-untrusted','audit-provenance-checksum','drop-not-current','state-marker-order-ambiguous','drop-lineage-mismatch','audit-provenance-legacy','close','audit-provenance-legacy'])[(c_custkey%14)::INT+1] AS reason FROM customer WHERE c_custkey>0""")
 def drop_close_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues, comments = _drop_tables(spark, sf_dir)
     return D.drop_close(issues, comments, "bot", CFG).select("number", "reason")
@@ -532,3 +561,7 @@ def log_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 def percent_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.concat_ws(" ", "event_type", "props")
     return _events(spark, sf_dir).select("event_id", S.percent_encode(value).alias("encoded"), (S.percent_decode(S.percent_encode(value)) == value).alias("same"))
+
+
+# queries of other modules register themselves
+from . import contract_queries, log_queries  # noqa: E402, F401
