@@ -3,7 +3,8 @@
 A k-mer of code points is a closed syncmer if the least hash of its s-mers is that of the first or the last one. That
 depends on the k-mer alone, so two texts that share a passage choose the same anchors in it. A fingerprint keeps, for
 each of 64 slots, the least hash of the anchors that fall in it; the share of equal slots estimates the share of
-anchors in common.
+anchors in common. Beside it all anchors are matched by position: how many stay where they were in an edited text, and how
+many another text has at one and the same distance.
 """
 
 from __future__ import annotations
@@ -60,16 +61,42 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-def fingerprint(text: str) -> tuple[str, int]:
-    """64 slots of 8 hex digits (an empty slot is ``--------``), and the number of anchors; a long text goes in blocks."""
-    slots, count = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64), 0
-    for i in range(0, max(1, len(text)), BLOCK):
-        _, found = syncmers(code_points(text[i : i + BLOCK + K - 1])) if i == 0 or len(text) - i >= K else (None, np.zeros(0, np.uint64))
-        np.minimum.at(slots, (found & np.uint64(SLOTS - 1)).astype(np.int64), found >> np.uint64(32))
-        count += len(found)
+def anchored(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of all anchors of a text; a long one goes in blocks."""
+    found = [(0, *syncmers(code_points(text[: BLOCK + K - 1])))]
+    found += [(i, *syncmers(code_points(text[i : i + BLOCK + K - 1]))) for i in range(BLOCK, len(text) - K + 1, BLOCK)]
+    return np.concatenate([at + i for i, at, _ in found]), np.concatenate([h for _, _, h in found])
+
+
+def slots_of(hashes: np.ndarray) -> str:
+    """64 slots of 8 hex digits: the upper halves of the least hashes; an empty slot is ``--------``."""
+    slots = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(slots, (hashes & np.uint64(SLOTS - 1)).astype(np.int64), hashes >> np.uint64(32))
     filled = slots != np.iinfo(np.uint64).max
     digits = slots.astype(">u4").tobytes().hex()
-    return "".join(digits[8 * i : 8 * i + 8] if f else EMPTY for i, f in enumerate(filled.tolist())), count
+    return "".join(digits[8 * i : 8 * i + 8] if f else EMPTY for i, f in enumerate(filled.tolist()))
+
+
+def fingerprint(text: str) -> tuple[str, int]:
+    """The slots of a text's anchors, and how many anchors it has."""
+    _, hashes = anchored(text)
+    return slots_of(hashes), len(hashes)
+
+
+def in_place(a: tuple, b: tuple) -> int:
+    """How many anchors ``(positions, hashes)`` two texts have at the same positions."""
+    least = min(len(a[0]), len(b[0]))
+    if least and (a[0][:least] == b[0][:least]).all():  # the usual edit: the beginning is the same
+        return int((a[1][:least] == b[1][:least]).sum())
+    _, x, y = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    return int((a[1][x] == b[1][y]).sum())
+
+
+def at_one_distance(a: tuple, b: tuple) -> int:
+    """The most anchors that two texts have at one distance between their positions, by the first place of each anchor."""
+    (x, at), (y, to) = (np.unique(h, return_index=True) for _, h in (a, b))
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.unique(b[0][to[j]] - a[0][at[i]], return_counts=True)[1].max()) if len(i) else 0
 
 
 def likeness(a: str, b: str) -> float:
@@ -82,19 +109,25 @@ def likeness(a: str, b: str) -> float:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """``(doc_id, pos, anchor)`` for every closed syncmer of ``docs(doc_id, text)``: a table to match positions in."""
+    """``(doc_id, pos, anchor)`` for every closed syncmer of ``docs(doc_id, text)``: a table to match positions in.
+
+    A null text has none; ties and repeated rows: all anchors of each row. Very long texts: whole.
+    """
 
     def run(batches):
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                at, hashes = syncmers(code_points(text.as_py() or ""))
+                at, hashes = anchored(text.as_py() or "")
                 yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(at), pa.int64()), pa.array(at), pa.array(hashes.view(np.int64))], ["doc_id", "pos", "anchor"])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, pos long, anchor long")
 
 
 def shared_passages(anchor_rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For stated ``pairs(a, b)`` of documents: how many anchors lie at each offset of b's position from a's."""
+    """For stated ``pairs(a, b)`` of documents: how many anchors lie at each offset of b's position from a's.
+
+    An anchor that repeats in a document counts at its first place.
+    """
     left = pairs.join(anchor_rows.withColumnsRenamed({"doc_id": "a", "pos": "pos_a"}), "a").groupBy("a", "b", "anchor").agg(F.min("pos_a").alias("pos_a"))
     right = pairs.join(anchor_rows.withColumnsRenamed({"doc_id": "b", "pos": "pos_b"}), "b").groupBy("a", "b", "anchor").agg(F.min("pos_b").alias("pos_b"))
     return left.join(right, ["a", "b", "anchor"]).groupBy("a", "b", (F.col("pos_b") - F.col("pos_a")).alias("offset")).agg(F.count(F.lit(1)).alias("anchors"))
@@ -129,12 +162,14 @@ def in_order(docs: DataFrame) -> DataFrame:
 def next_edit_digest(docs: DataFrame) -> DataFrame:
     """Fingerprint every text, and the text whose last quarter gives way to the beginning of the next document.
 
-    Nulls: a null text is an empty one; a row with a null doc_id comes before all others. Repeated rows and equal ids:
-    a row each, ordered by text, each followed by the next. A single document is followed by itself. Empty texts have
-    no anchors: alike to each other (1.0), unlike any other (0.0). Empty table: no rows. Other columns are not read.
+    Also how many anchors the text and its edited text have in the same places, and how many the next document has at one
+    distance. Nulls: a null text is an empty one; a row with a null doc_id comes before all others. Very long texts: whole,
+    in blocks. Repeated rows and equal ids: a row each, ordered by text, each followed by the next. A single document is
+    followed by itself. Empty texts have no anchors: alike to each other (1.0), unlike any other (0.0). Empty table: no
+    rows. Other columns are not read.
     """
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_anchors"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_anchors", "in_place_edited", "at_one_distance_next"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
         held = None  # the row that waits for the next one
@@ -142,18 +177,20 @@ def next_edit_digest(docs: DataFrame) -> DataFrame:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 out = []
                 for bucket, doc, text, is_next in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
-                    now = (doc, text, *fingerprint(text))
+                    own = anchored(text)
+                    now = (doc, text, own, slots_of(own[1]))
                     if held is not None and held[0] == bucket:
-                        d, t, f, count = held[1]
+                        d, t, a, f = held[1]
                         quarter = len(t) // 4
                         edited = t[: len(t) - quarter] + text[:quarter]
-                        g = f if edited == t else fingerprint(edited)[0]
-                        out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), f, g, likeness(f, g), likeness(f, now[2]), count))
+                        e = a if edited == t else anchored(edited)
+                        g = slots_of(e[1])
+                        out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), f, g, likeness(f, g), likeness(f, now[3]), len(a[0]), in_place(a, e), at_one_distance(a, own)))
                     held = None if is_next else (bucket, now)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_anchors long"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_anchors long, in_place_edited long, at_one_distance_next long"
     return in_order(docs).select("bucket", "doc_id", "text", "is_next").mapInArrow(run, schema)
 
 

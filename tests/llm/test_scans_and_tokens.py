@@ -181,6 +181,35 @@ def test_blocks_give_the_same_fingerprint(prose, monkeypatch):
     assert op7_syncmers.fingerprint(text) == whole
 
 
+def plain_anchor(points):
+    """The hash of a k-mer in plain integers."""
+    x = sum(p * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, p in enumerate(points)) % (1 << 64)
+    x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 % (1 << 64)
+    x = (x ^ x >> 29) * 0x94D049BB133111EB % (1 << 64)
+    return x ^ x >> 32
+
+
+def test_slots_hold_the_least_hashes_of_the_brute_force_anchors(prose):
+    for text in (prose(60, 5) + "ñ日本😀", prose(3, 1) + "abcabcabc" * 30):
+        slots = {}
+        for at in brute_syncmers(text):
+            h = plain_anchor([ord(c) for c in text[at : at + 12]])
+            slots[h % 64] = min(slots.get(h % 64, 1 << 64), h >> 32)
+        want = "".join(f"{slots[i]:08x}" if i in slots else "-" * 8 for i in range(64))
+        assert op7_syncmers.fingerprint(text) == (want, len(brute_syncmers(text)))
+
+
+def test_positions_of_all_anchors_are_matched(docs, prose):
+    a, b, part = prose(80, 1), prose(80, 2), prose(60, 3)
+    rows = {r["doc_id"]: r for r in collected(op7_syncmers.next_edit_digest(docs([(1, a + part), (2, b[:100] + part), (3, "")])))}
+    where = lambda t: {(i, t[i : i + 12]) for i in brute_syncmers(t)}
+    text, other = a + part, b[:100] + part
+    edited = text[: len(text) - len(text) // 4] + other[: len(text) // 4]
+    assert rows[1]["in_place_edited"] == len(where(text) & where(edited))
+    inside = [i for i in brute_syncmers(text) if i >= len(a)]
+    assert rows[1]["at_one_distance_next"] >= len({text[i : i + 12] for i in inside}) * 0.9 and rows[2]["at_one_distance_next"] == 0
+
+
 def test_every_document_meets_the_next(docs, prose, odd):
     made = docs([(i * 3, prose(40 + i % 7, i)) for i in range(60)])
     for frame in (made, odd.where("doc_id is not null").dropDuplicates(["doc_id"])):
@@ -340,6 +369,49 @@ def test_any_bytes_are_stored_and_decoded_alike(monkeypatch):
     assert (fast == slow).all()
 
 
+def walked_frames(media):
+    """The frames of an AVI, found by walking its chunks and not by its index."""
+    import struct
+
+    at, end, frames = 12, len(media), []
+    while at + 8 <= end:
+        name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
+        if name == b"LIST" and media[at + 8 : at + 12] == b"movi":
+            at += 12
+            continue
+        if name[2:] == b"dc":
+            frames.append(media[at + 8 : at + 8 + size])
+        at += 8 + size + size % 2
+    return frames
+
+
+def test_digest_and_feature_equal_a_plain_reading_of_the_file(docs, prose):
+    texts = [prose(900, 1) + "\x01" * 4000 + "é" * 3000 + prose(400, 2), "x", ""]
+    for row, text in zip(collected(op10_media.media_digest(docs(list(enumerate(texts))))), texts, strict=True):
+        media = op10_media.write_avi(op10_media._payload(text)[1])
+        assert (row["media_bytes"], row["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        decoded = [op10_media._decode_bits(f) for f in walked_frames(media)]
+        back = op10_media.coefficients_to_bytes(np.stack([c.reshape(-1) for c, _ in decoded]).reshape(len(decoded), *op10_media.decode_frames(media, op10_media.read_index(media)[1])[0].shape[1:]))
+        assert hashlib.sha256(back).hexdigest() == row["payload_sha256"]
+        starts = brute_shots(op10_media.luma(*op10_media.decode_frames(media, op10_media.read_index(media)[1])))
+        ends = starts[1:] + [len(decoded)]
+        clips = ",".join(f"{a / op10_media.FPS:.2f}-{b / op10_media.FPS:.2f}" for a, b in zip(starts, ends, strict=True))
+        assert row["feature"] == f"fps={op10_media.FPS};frames={len(decoded)};shots={len(starts)};clips={clips}"
+        assert len(starts) > 1 or len(decoded) < 20
+
+
+def brute_shots(pixels):
+    """Cuts by the definition, frame by frame."""
+    histograms = [[sum(1 for p in frame.tolist() if p // 16 == k) for k in range(16)] for frame in pixels]
+    change = [sum(abs(x - y) for x, y in zip(a, b, strict=True)) // 2 for a, b in zip(histograms, histograms[1:], strict=False)]
+    starts = [0]
+    for i, c in enumerate(change):
+        before = change[max(0, i - op10_media.WINDOW) : i]
+        if before and c >= op10_media.FLOOR and c > np.mean(before) + op10_media.SPREAD * np.std(before):
+            starts.append(i + 1)
+    return starts
+
+
 def test_a_shot_is_cut_where_the_picture_changes():
     frames = np.concatenate([np.full((20, 64), 40, np.uint8), np.full((20, 64), 200, np.uint8), np.full((15, 64), 90, np.uint8)])
     assert op10_media.shots(frames).tolist() == [0, 20, 40]
