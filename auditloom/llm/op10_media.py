@@ -271,7 +271,8 @@ def media_digest(docs: DataFrame) -> DataFrame:
     """Store every text in an AVI, read it back and describe it.
 
     Nulls: a null text is an empty one, stored as 192 spaces; a null doc_id is kept. Repeated rows and equal texts
-    give equal values. Empty table: no rows. Other columns are not read. Long texts: frames decode in blocks.
+    give equal values. Empty table: no rows. Other columns are not read. Very long texts: whole, frames decode in blocks; a
+    file of 4 GiB or more doesn't fit the sizes of RIFF and is an error. Ties between shots can't occur.
     """
 
     def one(text: str | None) -> tuple:

@@ -10,6 +10,7 @@ many another text has at one and the same distance.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -136,27 +137,35 @@ def shared_passages(anchor_rows: DataFrame, pairs: DataFrame) -> DataFrame:
 def in_order(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` dealt by ranges of doc_id, each range followed by a copy of the row that comes next.
 
-    Gives ``bucket, key, doc_id, text, is_next``. Boundaries are approximate quantiles of doc_id (a few numbers); the
-    first row of each range is found by a hash aggregate of ids, so a text moves once. The last range is followed by
-    the first row of all. Null ids come first; equal ids are ordered by text.
+    Gives ``bucket, doc_id, text, is_next``. Boundaries are approximate quantiles of doc_id (a few numbers); an id, or null,
+    that holds several quantiles is parted by its texts' hashes. The first row of each range is found by a hash aggregate,
+    so a text moves once. The last range is followed by the first row of all. Null ids come first; equal ids are ordered by
+    the hash of their text, then by the text.
     """
     spark = docs.sparkSession
     n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("key"), docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    cuts = sorted({int(x) for x in rows.where("doc_id is not null").stat.approxQuantile("key", [i / n for i in range(1, n)], 1 / (8 * n))})
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    quantiles = Counter(int(x) for x in rows.stat.approxQuantile("key", [i / n for i in range(1, n)], 1 / (8 * n)))
+    cuts = sorted(quantiles)
     steps = max(1, len(cuts)).bit_length()
     bounds = F.lit(np.array(cuts + [(1 << 63) - 1] * ((1 << steps) - len(cuts)), np.int64))  # one literal, however many cuts
     search = F.aggregate(F.array(*[F.lit(1 << i) for i in reversed(range(steps))]), F.lit(0), lambda low, step: F.when(F.element_at(bounds, low + step) <= F.col("key"), low + step).otherwise(low))
-    rows = rows.withColumn("bucket", search if cuts else F.lit(0))
-    # at most n rows of numbers: one for each range
-    heads = written(rows.groupBy("bucket").agg(F.min("key").alias("key")), "heads").withColumnsRenamed({"bucket": "own"})
+    hot = {k: c for k, c in quantiles.items() if c > 1}
+    parts = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in hot.items() for x in kv)), F.col("key")), F.lit(1)) if hot else F.lit(1)
+    inside = F.floor(F.col("h") / F.lit(float(1 << 63)) * parts) if hot else F.lit(0)
+    # a cut begins a range, and a hot id is a range of its own: what comes after it in the same range has a larger key
+    after = F.when(F.col("key").isin(*hot), inside).otherwise(n + 1) if hot else F.lit(0)
+    rows = rows.withColumn("bucket", (search if cuts else F.lit(0)).cast("long") * (n + 2) + after)
+    # at most a few times n rows of numbers: one for each range
+    heads = written(rows.groupBy("bucket").agg(F.min(F.struct("key", "h")).alias("head")), "heads").withColumnsRenamed({"bucket": "own"})
     before = Window.orderBy("own")
     last = F.max("own").over(before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    turn = heads.select("key", F.coalesce(F.lag("own").over(before), last).alias("bucket"))
-    firsts = rows.drop("bucket").join(F.broadcast(turn), "key").groupBy("bucket", "key").agg(F.min(F.struct("doc_id", "text")).alias("r"))
-    firsts = firsts.select("bucket", "key", "r.doc_id", "r.text", F.lit(True).alias("is_next"))
-    dealt = rows.select("bucket", "key", "doc_id", "text", F.lit(False).alias("is_next")).unionByName(firsts)
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "is_next", "key", "text")
+    turn = heads.select("head.key", "head.h", F.coalesce(F.lag("own").over(before), last).alias("bucket"))
+    firsts = rows.drop("bucket").join(F.broadcast(turn), ["key", "h"]).groupBy("bucket", "key", "h").agg(F.min(F.struct("doc_id", "text")).alias("r"))
+    firsts = firsts.select("bucket", "key", "h", "r.doc_id", "r.text", F.lit(True).alias("is_next"))
+    dealt = rows.select("bucket", "key", "h", "doc_id", "text", F.lit(False).alias("is_next")).unionByName(firsts)
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "is_next", "key", "h", "text")
 
 
 def next_edit_digest(docs: DataFrame) -> DataFrame:
@@ -164,7 +173,7 @@ def next_edit_digest(docs: DataFrame) -> DataFrame:
 
     Also how many anchors the text and its edited text have in the same places, and how many the next document has at one
     distance. Nulls: a null text is an empty one; a row with a null doc_id comes before all others. Very long texts: whole,
-    in blocks. Repeated rows and equal ids: a row each, ordered by text, each followed by the next. A single document is
+    in blocks. Repeated rows and equal ids: a row each, in order of the texts' hashes, each followed by the next. A single document is
     followed by itself. Empty texts have no anchors: alike to each other (1.0), unlike any other (0.0). Empty table: no
     rows. Other columns are not read.
     """

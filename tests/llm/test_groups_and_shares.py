@@ -448,6 +448,15 @@ def test_mixed_rows_keep_columns_of_any_name(docs, prose):
     assert {(r["_copies"], r["_row"], r["copies"], r["quota"]) for r in rows} == {("c", "r", "k", "q")}
 
 
+def test_many_equal_rows_are_counted_and_dealt_in_chunks(docs, monkeypatch):
+    monkeypatch.setattr(op4_sharding, "CHUNK", 7)
+    frame = docs([(None, "same")] * 50 + [(i, "x") for i in range(30)] + [(5, "x")] * 3)
+    rows = op4_sharding.shards(frame, n=4).collect()
+    assert len(rows) == 83 and sum(r["doc_id"] is None for r in rows) == 50 and sum(r["doc_id"] == 5 for r in rows) == 4
+    by = {k: sorted(r["slot"] for r in rows if r["shard"] == k) for k in range(4)}
+    assert all(v == list(range(len(v))) for v in by.values()) and {len(v) for v in by.values()} == {20, 21}
+
+
 def python_feistel(row, rows, seed):
     """The permutation in plain Python, its keyed hashes by another implementation of XXH64."""
     import math

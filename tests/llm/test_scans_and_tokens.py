@@ -225,6 +225,18 @@ def test_every_document_meets_the_next(docs, prose, odd):
     assert op7_syncmers.next_edit_digest(odd).count() == odd.count()
 
 
+def test_rows_of_one_hot_id_are_parted_and_meet_in_one_ring(spark, docs, prose):
+    import pyspark.sql.functions as F
+
+    made = docs([(None, prose(30, i)) for i in range(40)] + [(7, prose(30, 100 + i)) for i in range(60)] + [(i, prose(30, 500 + i)) for i in range(20)])
+    dealt = op7_syncmers.in_order(made)
+    assert dealt.where("not is_next and doc_id = 7").select("bucket").distinct().count() > 2 and dealt.where("not is_next and doc_id is null").select("bucket").distinct().count() > 1
+    rows = made.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h")).collect()
+    ring = [r["text"] for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))]
+    want = sorted(hashlib.sha256((a[: len(a) - len(a) // 4] + b[: len(a) // 4]).encode()).hexdigest() for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
+    assert sorted(r["edited_sha256"] for r in op7_syncmers.next_edit_digest(made).collect()) == want
+
+
 def test_passages_show_at_their_offset(spark, docs, prose):
     shared = prose(80, 9)
     anchors = op7_syncmers.anchors(docs([(1, prose(20, 1) + shared), (2, prose(50, 2) + shared)]))
