@@ -61,33 +61,42 @@ def _escaped(key: str) -> str:
     return rf'(?<!\\)(\\"{key}\\"\s*:\s*\\")(?:(?!(?<!\\)\\").)*?((?<!\\)\\")'
 
 
-#: Without one of these no rule changes a line: signs between keys and values, and what blobs begin with.
-_MAY_CHANGE = r"[=:]|[Bb][Ee][Aa][Rr][Ee][Rr]\s|github_pat_|gh[pousr]_|eyJ|AKIA|[0-9A-Fa-f]{32}"
+#: What a line must have for the rules on blobs, and for the one on hexadecimal runs.
+_BLOB_SIGNS, _HEX_SIGN = r"[Bb][Ee][Aa][Rr][Ee][Rr]\s|github_pat_|gh[pousr]_|AKIA", "[0-9A-Fa-f]{32}"
 
 
-def _where_needed(column: Column, rules: list[tuple[str, str]], more: str = "") -> Column:
-    return let(column, lambda v: F.when(v.rlike(_MAY_CHANGE + more), _chain(v, rules)).otherwise(v))
+def _needles(words: tuple) -> str:
+    return "(?i)" + "|".join(map(_needle, dict.fromkeys((*words, "auth"))))
+
+
+def _guarded(column: Column, steps: list[tuple[str, list[tuple[str, str]]]]) -> Column:
+    """Chains of rules, each run only on lines with the sign that its rules need; names of keys need a sign after them too."""
+
+    def one(sign: str, rules: list[tuple[str, str]]):
+        if sign.startswith("(?i)"):
+            return lambda v: F.when(v.rlike("[=:]"), F.when(v.rlike(sign), _chain(v, rules)).otherwise(v)).otherwise(v)
+        return lambda v: F.when(v.rlike(sign), _chain(v, rules)).otherwise(v)
+
+    for step in steps:
+        column = let(column, one(*step))
+    return column
 
 
 def mask_log_line(column) -> Column:
     """Rules 1 to 9 for a log line: all but identity values."""
-    key = sensitive_key()
-    return _where_needed(
-        text(column),
-        [
-            # an unquoted value has no certain end, so the rest of the line goes
-            (rf"(?i){_START}({key}\s*[=:]\s*).*$", "$1***"),
-            (rf'(?i)("{key}"\s*:\s*)(?!["\s]).*$', '$1"***"'),
-            # empty fields, so that one doesn't take the next for its value
-            (rf"({_KEY}+)=(?=[ \t]+{_KEY}+=)", "$1=-"),
-            (rf'(?i)("{key}"\s*:\s*")(?:\\.|[^"\\])*(")', "$1***$2"),
-            (f"(?i){_escaped(key)}", "$1***$2"),
-            *_BLOBS[:3],
-            (r"(?<![A-Za-z0-9])AKIA[A-Z0-9]+(?![A-Za-z0-9])", "***access-key***"),
-            *_BLOBS[3:],
-            (r"(?<![A-Za-z0-9])([0-9A-Fa-f]{8})[0-9A-Fa-f]{24,}(?![A-Za-z0-9])", "$1..."),
-        ],
-    )
+    key, named = sensitive_key(), _needles(SENSITIVE)
+    steps = [
+        # an unquoted value has no certain end, so the rest of the line goes
+        (named, [(rf"(?i){_START}({key}\s*[=:]\s*).*$", "$1***"), (rf'(?i)("{key}"\s*:\s*)(?!["\s]).*$', '$1"***"')]),
+        # empty fields, so that one doesn't take the next for its value
+        (r"=[ \t]", [(rf"({_KEY}+)=(?=[ \t]+{_KEY}+=)", "$1=-")]),
+        (named, [(rf'(?i)("{key}"\s*:\s*")(?:\\.|[^"\\])*(")', "$1***$2"), (f"(?i){_escaped(key)}", "$1***$2")]),
+        (_BLOB_SIGNS, [*_BLOBS[:3], (r"(?<![A-Za-z0-9])AKIA[A-Z0-9]+(?![A-Za-z0-9])", "***access-key***")]),
+        ("eyJ", _BLOBS[3:4]),
+        ("://", _BLOBS[4:]),
+        (_HEX_SIGN, [(r"(?<![A-Za-z0-9])([0-9A-Fa-f]{8})[0-9A-Fa-f]{24,}(?![A-Za-z0-9])", "$1...")]),
+    ]
+    return _guarded(text(column), steps)
 
 
 def _prefix(value: str, limit: int = 8) -> str:
@@ -157,11 +166,8 @@ def redact_outbound(column, extra_patterns: tuple = (), extra_keys: tuple = (),
     words = SENSITIVE + tuple(re.sub("[^a-z0-9]", "", k.lower()) for k in extra_keys if re.search("[A-Za-z0-9]", k))
     key, end = sensitive_key(words, "inside"), r"""[^\s&,;"')]+"""
     short = "|".join(_needle(re.sub("[^a-z0-9]", "", k.lower())) for k in shortened)
-    extra = [p for p in extra_patterns if safe_pattern(p)]
-    return _where_needed(
-        text(column),
-        [
-            *((p, "***") for p in extra),
+    steps = [(p, [(p, "***")]) for p in extra_patterns if safe_pattern(p)] + [
+        (_needles(words), [
             (rf'(?i)("{key}"\s*:\s*")(?:\\.|[^"\\])*(")', "$1***$2"),
             (f"(?i){_escaped(key)}", "$1***$2"),
             (rf'(?i){_START}({key}\s*=\s*")[^"\n]*(")', "$1***$2"),
@@ -170,13 +176,14 @@ def redact_outbound(column, extra_patterns: tuple = (), extra_keys: tuple = (),
             (rf"(?i){_START}({key}\s*=\s*)bearer\s+{end}", "$1***"),
             (rf"(?i){_START}({key}\s*=\s*){end}", "$1***"),
             (rf"(?i)^(\s*{key}:\s*).*$", "$1***"),
-            (r"(?i)\bbearer\s+\S+", "Bearer ***"),
-            *_BLOBS[1:3],
-            _BLOBS[4],
-            _BLOBS[3],
-            (r"(?<![A-Za-z0-9])([0-9A-Fa-f]{8})[0-9A-Fa-f]{24,}(?![A-Za-z0-9])", "$1…"),
+        ]),
+        (_BLOB_SIGNS, [(r"(?i)\bbearer\s+\S+", "Bearer ***"), *_BLOBS[1:3]]),
+        ("://", _BLOBS[4:]),
+        ("eyJ", _BLOBS[3:4]),
+        (_HEX_SIGN, [(r"(?<![A-Za-z0-9])([0-9A-Fa-f]{8})[0-9A-Fa-f]{24,}(?![A-Za-z0-9])", "$1…")]),
+        (r"=\S{9}", [
             (r"""(?i)(?<![A-Za-z0-9_.-])(resource=[^\s&,;"')/]+/[^\s&,;"')…]{8})[^\s&,;"')…][^\s&,;"')]*""", "$1…"),
             (rf"""(?i)(?<![A-Za-z0-9_.-])((?!resource=[^\s&,;"')/]+/){_KEY}*(?:{short}){_KEY}*=[^\s&,;"')…]{{8}})[^\s&,;"')…][^\s&,;"')]*""", "$1…"),
-        ],
-        "".join(f"|{p}" for p in extra),
-    )
+        ]),
+    ]
+    return _guarded(text(column), steps)

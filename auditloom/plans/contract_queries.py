@@ -19,7 +19,7 @@ from ..operators import snapshots as SN
 from ..operators import stability as ST
 from ..sources import adapter as AD
 from ..sources.adapter import table
-from ..sources.staging import shared_folder, staged
+from ..sources.staging import shared_folder, spread, staged
 from ..streaming import jobs as J
 from .queries import CFG, EV, ISSUE_FP, MACHINE, ORACLE_SQL, READ_EVENTS, REC, SCAN, TICKS, _candidates, _events, _issue_fp, _issue_tables, _records, djb2_sql, query
 
@@ -252,7 +252,7 @@ def _case_lines(spark, sf_dir):
     for i, (parts, *_) in enumerate(CASES):
         made = F.concat(F.lit(parts[0]), F.lit("") if "ab12cd34" in parts[0] else n.cast("string"), F.lit(parts[1]))
         line = F.when(n % len(CASES) == i, made).otherwise(line)
-    return _events(spark, sf_dir).select("event_id", line.alias("line"))
+    return spread(_events(spark, sf_dir)).select("event_id", line.alias("line"))
 
 
 @query(f"SELECT event_id,{_expected(1)} AS log_line,{_expected(2)} AS outbound,true AS same FROM events")
@@ -266,7 +266,7 @@ def shortened_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = (F.col("event_id") + 10_000).cast("string")
     log = F.concat(F.lit("id=job-"), n, F.lit("-x actor=a"), n, F.lit(" resource=queue/orders-eu-west"))
     out = F.concat(F.lit("id=job-"), n, F.lit("-x ticket no"), n)
-    return _events(spark, sf_dir).select((F.col("event_id") + 10_000).alias("event_id"), RD.redact_log_line(log).alias("log_line"), RD.redact_outbound(out, ("no[0-9]+", "(.*)")).alias("outbound"))
+    return spread(_events(spark, sf_dir)).select((F.col("event_id") + 10_000).alias("event_id"), RD.redact_log_line(log).alias("log_line"), RD.redact_outbound(out, ("no[0-9]+", "(.*)")).alias("outbound"))
 
 
 @query("""SELECT event_id,event_id%6 IN (0,1,2) AS exact,event_id%6 IN (0,1,2,3) AS inside FROM events""")

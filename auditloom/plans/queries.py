@@ -22,7 +22,7 @@ from ..operators.batching import make_batches
 from ..sources import audit as AU
 from ..sources import logs as L
 from ..sources.adapter import audit_line, audit_records, dead_letters, event_epoch, table
-from ..sources.staging import staged
+from ..sources.staging import spread, staged
 
 #: One bucket a day: the driver's events are spread over 30 days.
 CFG = Config.of(bucket_minutes=1440, dlq_window_minutes=1440, dlq_threshold=15)
@@ -200,7 +200,7 @@ MACHINE = """st AS (SELECT fp,0::BIGINT AS n,NULL::BIGINT AS bucket,false AS fir
 
 def _candidates(spark, sf_dir):
     """All four rules; records and dead letters are each read once."""
-    return staged(ST.candidates(_records(spark, sf_dir), CFG, dead_letters(_events(spark, sf_dir))), "candidates")
+    return staged(ST.candidates(audit_records(spread(_events(spark, sf_dir))), CFG, dead_letters(_events(spark, sf_dir))), "candidates")
 
 
 def _timeline(spark, sf_dir):
@@ -243,7 +243,7 @@ DOC_LINES = "l AS (SELECT doc_id, unnest(string_split(coalesce(text,''), chr(10)
 
 def _document_lines(spark, sf_dir):
     """Lines of all documents; a null text is one empty line."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
 
 
 @query(f"""WITH {DOC_LINES}
@@ -290,7 +290,7 @@ PATHS = "'/var/log/audit-'||(user_id%8)||'.log'"
 
 
 def _batches(spark, sf_dir):
-    records, part = _records(spark, sf_dir), F.floor(F.col("event_id") / READ_EVENTS)
+    records, part = audit_records(spread(_events(spark, sf_dir))), F.floor(F.col("event_id") / READ_EVENTS)
     lines = records.select(F.concat(F.lit("/var/log/audit-"), F.regexp_extract("auditActorId", r"(\d+)", 1).cast("bigint") % 8, F.lit(".log")).alias("path"), (part * READ).alias("from_offset"), ((part + 1) * READ).alias("to_offset"), F.col("event_id").alias("line_no"), audit_line(CFG).alias("line"))
     return make_batches(G.suspicious_lines(lines))
 
@@ -502,7 +502,7 @@ def _old_body(signal):
 def _drop_tables(spark, sf_dir):
     n = F.col("c_custkey")
     v = n % 14
-    base = table(spark, sf_dir, "customer").where("c_custkey > 0").select(n, F.lpad(F.lower(F.hex(F.pmod(n * 2654435761, F.lit(1 << 32)))), 8, "0").alias("fingerprint"), F.lit("org/app").alias("repo"))
+    base = spread(table(spark, sf_dir, "customer")).where("c_custkey > 0").select(n, F.lpad(F.lower(F.hex(F.pmod(n * 2654435761, F.lit(1 << 32)))), 8, "0").alias("fingerprint"), F.lit("org/app").alias("repo"))
     named = base.withColumn("incident_id", F.concat("fingerprint", F.lit("-2024-01-05T0000"))).withColumn("dedup_key", F.concat(F.lit("stability-issue/open/"), "fingerprint", F.lit("/2024-01-05T0000"))).withColumn("title", F.concat(F.lit("[stability] error spike: svc (fp:"), "fingerprint", F.lit(")")))
     marker = IS.provenance_marker(F.col("repo"), F.when(v == 7, "another title").otherwise(F.col("title")))
     labels = F.array_union(F.array(F.lit("stability"), F.lit("autodev:enabled"), F.lit("severity:high"), F.lit("signal:error-spike")), F.when(v == 3, F.array(F.lit("x"))).otherwise(F.array(F.lit("autodev:blocked"))))
@@ -537,7 +537,7 @@ def issue_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(head, F.when(v == 0, F.concat(F.lit("ISSUE_FILED kind=open fp="), fp, F.lit(" number="), n, F.lit(" url=https://x/y/z/issues/"), n)).when(v == 1, F.concat(F.lit("ISSUE_SKIP kind=open fp="), fp, F.lit(" reason=muted")))
         .when(v == 2, F.concat(F.lit("ISSUE_OUTBOUND mode=dry-run kind=open fp="), fp, F.lit(" severity=high signal=error-spike repo=a/b title='[stability] x y'"))).when(v == 3, "ISSUE_PROBE kind=auth ok=1 detail=all is well")
         .when(v == 4, "ISSUE_BUDGET_EXCEEDED scope=day used=5 cap=5").otherwise("ISSUE_FILED kind=open fp=zz number=x"))
-    rows = R.facts(_events(spark, sf_dir).select("event_id", line.alias("line")), R.issue_line)
+    rows = R.facts(spread(_events(spark, sf_dir)).select("event_id", line.alias("line")), R.issue_line)
     return rows.select("event_id", "i.fp", "i.action", "i.number", "i.reason", "i.detail")
 
 
@@ -545,7 +545,7 @@ def issue_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incident_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     line = F.concat(F.lit("MSG=sentinel INCIDENT fp="), _issue_fp(), F.lit(" signal=error-spike state=s"), n % 4, F.lit("->s"), (n + 1) % 4, F.lit(" fails="), n % 10, F.lit(" total=12 buckets=6-covered"))
-    rows = R.facts(_events(spark, sf_dir).select(n.alias("epoch"), line.alias("line")), R.incident_line).select("epoch", "i.*")
+    rows = R.facts(spread(_events(spark, sf_dir)).select(n.alias("epoch"), line.alias("line")), R.incident_line).select("epoch", "i.*")
     return R.latest_incidents(rows, ["epoch"]).select("fp", "state", "transitions", "fails")
 
 

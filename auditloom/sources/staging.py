@@ -35,3 +35,9 @@ def parquet_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it was read in fewer parts, as a file of one row group is; heavy expressions follow."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
