@@ -11,6 +11,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections.abc import Iterator
+from heapq import merge
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +28,7 @@ KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = r"passw|secret|token|api[_ ]?key|credential|private[_ ]?key|auth|bearer"
 NEAR = re.compile(SENSITIVE, re.I | re.A)
-PEM = re.compile(r"-----BEGIN [A-Z ]+-----(.*?)-----END ", re.S)
+PEM, PEM_END = re.compile(r"-----BEGIN [A-Z ]+-----"), "-----END "
 #: Runs that are looked at, of so many characters at least; an equals sign parts a name from its value.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.-]{12,}=*")
 #: Characters between a sensitive word and a candidate; characters around a candidate that count as its surroundings.
@@ -65,6 +67,30 @@ def novelty_dictionary(words: list[str], lines: list[str]) -> bytes:
     return b"\n".join(samples)[-DICTIONARY:]
 
 
+def _blocks(text: str) -> Iterator[tuple[int, int]]:
+    """What lies between the marks of PEM blocks."""
+    at = 0
+    while m := PEM.search(text, at):
+        end = text.find(PEM_END, m.end())
+        if end < 0:
+            return
+        yield m.end(), end
+        at = end + len(PEM_END)
+
+
+def contexts(text: str) -> Iterator[tuple[int, int]]:
+    """Where candidates count, in order: around sensitive words and within PEM blocks, what overlaps as one."""
+    zones = merge(((m.start() - REACH, m.end() + REACH) for m in NEAR.finditer(text)), _blocks(text) if "-----BEGIN " in text else ())
+    low, high = next(zones, (0, -1))
+    for a, b in zones:
+        if a > high:
+            yield low, high
+            low = a
+        high = max(high, b) if a <= high else b
+    if high >= 0:
+        yield low, high
+
+
 class Scanner:
     def __init__(self, dictionary: bytes):
         import zstandard
@@ -93,22 +119,20 @@ class Scanner:
         return sorted(found)
 
     def novel(self, text: str) -> list[tuple[int, int, int]]:
-        """Incompressible whole runs in sensitive contexts, whatever the fixed patterns say of them."""
-        zones = [(m.start() - REACH, m.end() + REACH) for m in NEAR.finditer(text)]
-        if "-----BEGIN " in text:
-            zones = sorted(zones + [m.span(1) for m in PEM.finditer(text)])
-        found, done = [], 0
-        for low, high in zones:
-            at = max(low, done)
-            while at > done and (text[at - 1].isalnum() or text[at - 1] in "+/_.-"):  # a run that reaches into the zone is taken whole
-                at -= 1
-            while m := CANDIDATE.search(text, at):
-                if m.start() >= high:
-                    break
-                at = done = m.end()
-                start, end = m.start(), m.start() + len(m.group().rstrip(".-"))
-                if end - start >= 12 and text[start - 1 : start] != "@" and text[end : end + 1] != "@" and self.novelty(text, start, end) >= LEAST_SHARE:
-                    found.append((start, 3, end))
+        """Incompressible whole runs in sensitive contexts, whatever the fixed patterns say of them: one pass over zones and runs."""
+        found, zones = [], contexts(text)
+        low, high = next(zones, (0, -1))
+        for m in CANDIDATE.finditer(text) if high >= 0 else ():
+            while high <= m.start():
+                low, high = next(zones, (0, -1))
+                if high < 0:
+                    return found
+            run = m.group().rstrip("=")
+            if m.start() + len(run) < low:  # a run that reaches into the zone, or up to it, is taken whole
+                continue
+            start, end = m.start(), m.start() + len(m.group().rstrip(".-"))
+            if end - start >= 12 and text[start - 1 : start] != "@" and text[end : end + 1] != "@" and self.novelty(text, start, end) >= LEAST_SHARE:
+                found.append((start, 3, end))
         return found
 
     def scan(self, text: str) -> tuple[list, list]:

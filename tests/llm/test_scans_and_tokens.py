@@ -44,6 +44,30 @@ def random_string(n, seed, letters="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqr
     return "".join(random.Random(seed).choices(letters, k=n))
 
 
+def test_long_texts_are_scanned_in_one_pass():
+    """Ten million characters with a sensitive word in each few, marks of blocks that never end, and one secret at the end."""
+    import time
+
+    scanner, secret = op1_secrets.Scanner(b"token is a word " * 64), random_string(40, 3)
+    began = time.process_time()
+    for filler in ("token is a word ", "-----BEGIN KEY----- x ", "a" * 11 + " "):
+        text = filler * (10_000_000 // len(filler)) + f"the credential {secret} here"
+        at = text.index(secret)
+        assert scanner.scan(text) == ([], [(at, 3, at + len(secret))])
+    assert time.process_time() - began < 60
+
+
+def test_contexts_are_the_union_of_zones():
+    r = random.Random(3)
+    for _ in range(300):
+        text = "".join(r.choice(["token", " " * r.randint(1, 90), "-----BEGIN A-----", "-----END A-----", "word" * r.randint(1, 40)]) for _ in range(r.randint(0, 12)))
+        zones = [(m.start() - op1_secrets.REACH, m.end() + op1_secrets.REACH) for m in op1_secrets.NEAR.finditer(text)] + [m.span(1) for m in re.finditer(r"-----BEGIN [A-Z ]+-----(.*?)-----END ", text, re.S)]
+        found = list(op1_secrets.contexts(text))
+        assert all(a[1] < b[0] for a, b in zip(found, found[1:], strict=False))
+        for i in range(len(text)):
+            assert any(a <= i < b for a, b in zones) == any(a <= i < b for a, b in found)
+
+
 def test_novelty_reports_random_strings_in_sensitive_context_only(docs, prose):
     secret = "q7Zp2Lx9Vb4Nw8Rk3Tj6Hs1D"
     rows = [(i, prose(60, i)) for i in range(50)] + [(100, f"{prose(30, 1)} the credential is {secret} today"), (101, f"{prose(30, 2)} the picture is {secret} today"), (102, "auth for mail at some.user@mail.example.com")]
