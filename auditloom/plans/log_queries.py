@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,35 +13,69 @@ from ..operators import reports as R
 from ..sources import audit as AU
 from ..sources import logs as L
 from ..sources.adapter import table
+from ..sources.staging import shared_folder, staged
+from ..sources.tails import Tails
 from .queries import ISSUE_FP, READ_EVENTS, REC, _events, _issue_fp, _records, query
 
 # --- files -------------------------------------------------------------------------------------------------------------
 
 
+FILE_EVENTS = 65_536
+
+
 def _files(spark, sf_dir):
-    """A file for each user and block of events: a line an event, for some users a line that is no text, and an incomplete last line."""
+    """Files on the shared folder, one for each group of users and block of events: a line an event, for some groups a line that is no text, and an incomplete last line.
+
+    Gives ``path, length``, the file's name, group and content without the incomplete line.
+    """
     line = F.concat_ws(" ", F.col("event_id").cast("string"), "event_type")
-    rows = _events(spark, sf_dir).groupBy("user_id", F.floor(F.col("event_id") / READ_EVENTS).alias("part")).agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("l"))
-    odd = F.when(F.col("user_id") % 5 == 0, F.unhex(F.lit("FF0A"))).otherwise(F.unhex(F.lit("")))
-    content = F.concat(F.concat(F.array_join("l.line", "\n"), F.lit("\n")).cast("binary"), odd, F.lit("not yet").cast("binary"))
-    return rows.select("user_id", F.concat(F.lit("/logs/u"), "user_id", F.lit("-"), "part", F.lit(".log")).alias("path"), content.alias("content"), (F.length(F.element_at("l", 1)["line"]) + 1).alias("first"))
+    rows = _events(spark, sf_dir).groupBy((F.col("user_id") % 40).alias("u"), F.floor(F.col("event_id") / FILE_EVENTS).alias("part")).agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("l"))
+    odd = F.when(F.col("u") % 5 == 0, F.unhex(F.lit("FF0A"))).otherwise(F.unhex(F.lit("")))
+    content = F.concat(F.concat(F.array_join("l.line", "\n"), F.lit("\n")).cast("binary"), odd)
+    rows = staged(rows.select("u", "part", content.alias("content"), (F.length(F.element_at("l", 1)["line"]) + 1).alias("first")), "log-contents")
+    folder = f"{shared_folder(spark).rstrip('/')}/auditloom/logs-{uuid.uuid4().hex}"
+    whole = F.concat("content", F.lit("not yet").cast("binary")).cast("string").alias("value")
+    rows.select("u", "part", whole).write.partitionBy("u", "part").option("lineSep", "~").text(folder)  # a row a file
+    found = L.listed(spark, folder).select("*", *(F.regexp_extract("path", rf"/{c}=(\d+)/", 1).cast("long").alias(c) for c in ("u", "part")))
+    return found.join(rows, ["u", "part"]).withColumn("name", F.concat(F.lit("/logs/u"), "u", F.lit("-"), "part", F.lit(".log")))
+
+
+LOG_FILES = f"l AS (SELECT user_id%40 AS u,event_id//{FILE_EVENTS} AS part,event_id,event_id||' '||event_type AS line FROM events)"
 
 
-@query(f"""WITH l AS (SELECT user_id,event_id//{READ_EVENTS} AS part,string_agg(event_id||' '||event_type,chr(10) ORDER BY event_id)||chr(10) AS head,length(arg_min(event_id||' '||event_type,event_id))+1 AS first FROM events GROUP BY ALL),
- c AS (SELECT *,head||CASE WHEN user_id%5=0 THEN chr(65533)||chr(10) ELSE '' END AS whole,'/logs/u'||user_id||'-'||part||'.log' AS path,CASE WHEN user_id%4=1 THEN first ELSE 0 END AS f,length(head)+CASE WHEN user_id%5=0 THEN 2 ELSE 0 END AS t FROM l) SELECT path,f::BIGINT AS from_offset,t AS to_offset,sha256(substr(whole,f+1)) AS chunk_sha,CASE WHEN user_id%5<>0 THEN 'v2:'||t||':'||sha256(whole) END AS fingerprint FROM c WHERE t>f""")
+@query(f"""WITH {LOG_FILES}, h AS (SELECT u,part,string_agg(line,chr(10) ORDER BY event_id)||chr(10) AS head,length(arg_min(line,event_id))+1 AS first FROM l GROUP BY ALL),
+ c AS (SELECT *,head||CASE WHEN u%5=0 THEN chr(65533)||chr(10) ELSE '' END AS whole,'/logs/u'||u||'-'||part||'.log' AS path,CASE WHEN u%4=1 THEN first ELSE 0 END AS f,length(head)+CASE WHEN u%5=0 THEN 2 ELSE 0 END AS t FROM h) SELECT path,f::BIGINT AS from_offset,t AS to_offset,sha256(substr(whole,f+1)) AS chunk_sha,CASE WHEN u%5<>0 THEN 'v2:'||t||':'||sha256(whole) END AS fingerprint FROM c WHERE t>f""")
 def log_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark, sf_dir).withColumn("length", F.length("content").cast("long"))
-    user = F.col("user_id") % 4
-    offset = F.when(user == 1, F.col("first")).when(user == 2, 5).otherwise(1 << 30).cast("long")
-    ledger = files.where(user > 0).select("path", offset.alias("offset"), F.when(user == 1, S.rotation_fingerprint(F.col("content"), F.col("first"))).otherwise("v2:5:other").alias("fingerprint"))
-    text = F.regexp_extract("path", r"u(\d+)-", 1).cast("int") % 5 != 0
-    return L.new_chunks(files.drop("user_id", "first"), ledger).select("path", "from_offset", "to_offset", S.sha_hex("chunk").alias("chunk_sha"), F.when(text, F.col("fingerprint")).alias("fingerprint"))
+    files = _files(spark, sf_dir)
+    u = F.col("u") % 4
+    offset = F.when(u == 1, F.col("first")).when(u == 2, 5).otherwise(1 << 30).cast("long")
+    ledger = files.where(u > 0).select("path", offset.alias("offset"), F.when(u == 1, S.rotation_fingerprint(F.col("content"), F.col("first"))).otherwise("v2:5:other").alias("fingerprint"))
+    told = L.new_chunks(files, ledger).join(files.select("path", "u", "name"), "path")
+    return told.select(F.col("name").alias("path"), "from_offset", "to_offset", S.sha_hex("chunk").alias("chunk_sha"), F.when(F.col("u") % 5 != 0, F.col("fingerprint")).alias("fingerprint"))
 
 
-@query(f"""WITH l AS (SELECT user_id,event_id//{READ_EVENTS} AS part,event_id,event_type FROM events) SELECT '/logs/u'||user_id||'-'||part||'.log' AS path,row_number() OVER (PARTITION BY user_id,part ORDER BY event_id)-1 AS line_no,event_id||' '||event_type AS line FROM l WHERE user_id%5<>0""")
+@query(f"""WITH {LOG_FILES}, n AS (SELECT u,part,row_number() OVER (PARTITION BY u,part ORDER BY event_id)-1 AS line_no,line FROM l) SELECT '/logs/u'||u||'-'||part||'.log' AS path,line_no,line FROM n
+ UNION ALL SELECT '/logs/u'||u||'-'||part||'.log',count(*),chr(65533) FROM l WHERE u%5=0 GROUP BY u,part""")
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark, sf_dir).where("user_id % 5 <> 0").withColumn("length", F.length("content").cast("long"))
-    return L.split_lines(L.new_chunks(files.drop("user_id", "first"), spark.createDataFrame([], L.LEDGER))).select("path", F.col("line_no").cast("long").alias("line_no"), "line")
+    files = _files(spark, sf_dir)
+    lines = L.split_lines(L.new_chunks(files, spark.createDataFrame([], L.LEDGER))).join(files.select("path", "name"), "path")
+    return lines.select(F.col("name").alias("path"), F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@query(f"""WITH {LOG_FILES} SELECT '/logs/u'||u||'-'||part||'.log' AS path,count(*) AS lines,sum(length(line)+1)::BIGINT AS to_offset FROM l WHERE u%5<>0 GROUP BY ALL""")
+def followed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that are all text, followed by the streaming source; the incomplete last lines wait."""
+    files = _files(spark, sf_dir).where("u % 5 <> 0")
+    where = files.select(F.regexp_extract("path", r"^(.*)/u=", 1)).first()
+    if where is None:
+        return spark.createDataFrame([], "path string, lines bigint, to_offset bigint")
+    spark.dataSource.register(Tails)
+    out = f"{shared_folder(spark).rstrip('/')}/auditloom/followed-{uuid.uuid4().hex}"
+    tails = spark.readStream.format("tails").load(where[0])
+    tails.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).format("parquet").start(f"{out}/rows").awaitTermination()
+    told = spark.read.parquet(f"{out}/rows").withColumn("tail", F.element_at(F.split("path", "/u="), -1))
+    named = told.join(files.select(F.element_at(F.split("path", "/u="), -1).alias("tail"), "name"), "tail")
+    return named.groupBy(F.col("name").alias("path")).agg(F.sum(F.size(F.split("chunk", "\n")) - 1).cast("long").alias("lines"), F.max("to_offset").alias("to_offset"))
 
 
 def _snapshot_files(spark, sf_dir):

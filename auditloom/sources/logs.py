@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import DEAD_LETTER
+from .tails import new_chunks  # noqa: F401
 
 LEDGER = "path string, offset bigint, fingerprint string"
 
@@ -30,40 +31,16 @@ def newest_files(spark: SparkSession, path: str, newest: int) -> DataFrame:
     return read_files(spark, found) if found else read_files(spark, path).limit(0)
 
 
+def listed(spark: SparkSession, path: str | list[str], modified_after: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``(path, length)`` of files; none is read."""
+    return read_files(spark, path, modified_after, pattern).select("path", "length")
+
+
 def lossy_text(content):
     """Text of bytes, invalid ones replaced; offsets stay those of the original bytes."""
     return F.make_valid_utf8(F.col(content).cast("string") if isinstance(content, str) else content.cast("string"))
 
 
-#: Bytes of a file that are packed in one task; a longer addition is several chunks.
-PIECE_BYTES = 8 << 20
-
-
-def new_chunks(files: DataFrame, ledger: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """What files have gained since ``ledger(path, offset, fingerprint)``, up to the last complete line.
-
-    Gives ``path, from_offset, to_offset, chunk, fingerprint``. A file that is shorter than its offset, or whose first
-    bytes no longer match the ledger's fingerprint, has been rotated and is read from its beginning; so is one whose
-    ledger row has an offset but no fingerprint. A file without a new complete line gives no row, and one that has gained
-    more than ``piece_bytes`` gives several. A file is read whole, so it may have 2 GB at most.
-    """
-    both = files.join(ledger, "path", "left")
-    size = F.col("length")
-    prefix = S.rotation_fingerprint(F.col("content"), F.col("offset"))
-    rotated = (F.col("offset") > 0) & (F.col("fingerprint").isNull() | (size < F.col("offset")) | (prefix != F.col("fingerprint")))
-    start = F.when(F.col("offset").isNull() | rotated, F.lit(0)).otherwise(F.col("offset"))
-    tail = both.withColumn("_start", start.cast("bigint")).withColumn("_rest", F.expr("substring(content, cast(_start + 1 as int))"))
-    # pieces of about piece_bytes, each up to a line end: one that has none goes along with the next
-    pieces = tail.select("path", "content", "_start", "_rest", F.explode(F.sequence(F.lit(1), F.ceil(F.length("_rest") / piece_bytes).cast("int"))).alias("_k")).where(F.length("_rest") > 0)
-    window = F.decode(F.expr(f"substring(_rest, (_k - 1) * {piece_bytes} + 1, {piece_bytes})"), "iso-8859-1")
-    end = (F.col("_k") - 1) * piece_bytes + F.length(window) - F.instr(F.reverse(window), "\n") + 1
-    pieces = pieces.withColumn("_end", F.when(F.instr(window, "\n") > 0, end)).where("_end is not null")
-    before = F.coalesce(F.lag("_end").over(Window.partitionBy("path").orderBy("_k")), F.lit(0))
-    pieces = pieces.withColumn("_before", before).withColumn("from_offset", (F.col("_start") + F.col("_before")).cast("bigint")).withColumn("to_offset", (F.col("_start") + F.col("_end")).cast("bigint"))
-    chunk = lossy_text(F.expr("substring(_rest, cast(_before + 1 as int), cast(_end - _before as int))"))
-    return pieces.select("path", "from_offset", "to_offset", chunk.alias("chunk"), S.rotation_fingerprint(F.col("content"), F.col("to_offset")).alias("fingerprint"))
-
-
 def next_ledger(ledger: DataFrame, chunks: DataFrame) -> DataFrame:
     """The ledger after ``chunks`` have been taken over."""
     moved = chunks.groupBy("path").agg(F.max("to_offset").alias("offset"), F.max_by("fingerprint", "to_offset").alias("fingerprint"))

@@ -54,14 +54,14 @@ def follow_files(spark: SparkSession, logs: str, folder: str) -> int:
 
     The chunks are written first, and both batches and ledger come from what was written: a line that is appended
     meanwhile waits for the next pass. The ledger is written under a number of its own after the batches, so a failed
-    pass is done again from the old one.
+    pass is done again from the old one. Of a file no more is read than what is new and both ends of what is known.
     """
     versions = f"{folder}/ledger"
     last = parquet_or_none(spark, versions)
     number = -1 if last is None else last.agg(F.max("version")).first()[0]
     ledger = spark.createDataFrame([], L.LEDGER) if last is None else last.where(F.col("version") == number).drop("version")
     landed = f"{folder}/chunks/run={number + 1}"
-    L.new_chunks(L.read_files(spark, logs), ledger).write.mode("overwrite").parquet(landed)
+    L.new_chunks(L.listed(spark, logs), ledger, whole=False).write.mode("overwrite").parquet(landed)
     chunks = spark.read.parquet(landed)
     make_batches(G.suspicious_lines(L.split_lines(chunks))).write.mode("overwrite").parquet(f"{folder}/batches/run={number + 1}")
     L.next_ledger(ledger, chunks.select("path", "to_offset", "fingerprint")).write.mode("overwrite").parquet(f"{versions}/version={number + 1}")
