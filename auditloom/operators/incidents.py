@@ -101,6 +101,17 @@ def ticks_of(candidates: DataFrame, cfg: Config) -> DataFrame:
     return candidates.select("fp", F.col("bucket").alias("seq"), F.col("bucket").cast("string").alias("tick_id"), "fired", "quiet_ok", S.bucket_label(F.col("bucket"), cfg.bucket_seconds).alias("latest_bucket"))
 
 
+def frozen(ticks: DataFrame, scans: DataFrame) -> DataFrame:
+    """``ticks(signal, fp, seq, ...)`` as the scans saw them: ``scans(seq, valid)`` says whose snapshot could be read.
+
+    A scan with a broken snapshot covers nothing: no rule for audit records fires in it, nothing is quiet, and there is no newest
+    bucket, so no incident recovers. Dead letters come from a source of their own. A scan without a row is valid.
+    """
+    told = ticks.join(scans.select("seq", "valid"), "seq", "left")
+    blind = ~F.coalesce("valid", F.lit(True)) & (F.col("signal") != S.SIGNALS[3])
+    return told.withColumns({"fired": F.col("fired") & ~blind, "quiet_ok": F.col("quiet_ok") & ~blind, "latest_bucket": F.when(blind, "").otherwise(F.col("latest_bucket"))}).drop("valid")
+
+
 def join_tick(fired: DataFrame, tracked: DataFrame, grid: DataFrame, latest_bucket: Column | str) -> DataFrame:
     """One scan's ticks: fired candidates and tracked incidents, in full, each with whether its component is quiet.
 

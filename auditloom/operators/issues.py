@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..config import DAY, Config
 from ..functions import scalars as S
+from ..sources.staging import staged
 from .gates import fp_tokens, has_any_label, has_label_prefix, request_error
+from .walk import walk
 
 DONE_TTL = 30 * DAY
 
@@ -45,6 +47,10 @@ def decide(requests: DataFrame, issues: DataFrame, done: DataFrame, cfg: Config,
     ``requests`` has an ``arrival`` order and a ``day``; ``done(repo, dedup_key)`` lists what was finished in 30 days. The
     first that applies wins: invalid; done before; not writing; a muted issue; an open issue adopted; no open issue to
     comment on or close; closing not allowed; recovered before it was filed; the budgets of the day and of open issues.
+
+    Requests are served one after the other, in order of arrival: what one of them files or closes is there, or gone, for
+    those that come later, and the repeat of a finished request is a duplicate. Rows that are equal in repo, key and arrival
+    are one request.
     """
     rows = requests.withColumn("repo", F.when(S.text("repo") == "", cfg.platform_repo).otherwise(F.col("repo"))).withColumn("error_class", request_error())
     rows = rows.join(done.select("repo", "dedup_key", F.lit(True).alias("_done")).distinct(), ["repo", "dedup_key"], "left")
@@ -52,38 +58,92 @@ def decide(requests: DataFrame, issues: DataFrame, done: DataFrame, cfg: Config,
     # only requests that are valid and not done speak for their incident
     waiting = rows.where("error_class is null and _done is null").groupBy("repo", "incident_id").agg(F.bool_or(F.col("kind") == "open").alias("_opens"), F.bool_or(F.col("kind") == "close").alias("_closes"))
     rows = rows.join(waiting, ["repo", "incident_id"], "left").fillna(False, ["_opens", "_closes"])
-    kind, has = F.col("kind"), F.col("open_number").isNotNull()
+    used = created_by_day(issues, login, cfg) if login else issues.limit(0).select("repo", F.lit("").alias("day"), F.lit(0).cast("bigint").alias("used"))
+    rows = rows.join(used, ["repo", "day"], "left").join(open_counts(issues, cfg), "repo", "left").fillna(0, ["used", "open_used"])
     managed = (S.text("devloop_enabled") == "1") | F.coalesce(has_label_prefix("open_labels", cfg.managed_prefix), F.lit(False))
-    untrusted = (S.text("devloop_enabled") == "1") & ~F.array_contains(F.coalesce("open_labels", F.array().cast("array<string>")), cfg.managed_prefix + "enabled") & (S.text("open_author") != login)
+    first = F.when(F.col("error_class").isNotNull(), F.col("error_class")).when(F.col("_done"), "duplicate-marker").when(F.lit(not cfg.writing), "dry-run").when(F.col("closed_muted") | F.col("open_muted"), "muted")
+    rows = staged(rows.withColumns({"_first": first, "_managed": managed, "_has": F.col("open_number").isNotNull()}), "requests")
+    acts = staged(_acts(rows.where("_first is null"), cfg), "acts")
+
+    # what the requests before have done: for the fingerprint, and for the day's budget
+    me = F.struct("arrival", "dedup_key")
+    by_fp = acts.groupBy("repo", "fingerprint").agg(F.array_sort(F.collect_list(F.struct("arrival", "dedup_key", "act"))).alias("_acts"))
+    by_day = acts.where("act = 'file'").groupBy("repo", "day").agg(F.collect_list(me).alias("_filed"))  # max_per_day at most
+    rows = rows.join(by_fp, ["repo", "fingerprint"], "left").join(by_day, ["repo", "day"], "left")
+    all_acts = F.coalesce("_acts", F.array().cast("array<struct<arrival: bigint, dedup_key: string, act: string>>"))
+    before = F.filter(all_acts, lambda x: F.struct(x["arrival"], x["dedup_key"]) < F.struct(F.col("arrival").cast("bigint"), "dedup_key"))
+    own = F.exists(all_acts, lambda x: (x["arrival"] == F.col("arrival")) & (x["dedup_key"] == F.col("dedup_key")))
+    rows = rows.withColumns({"_last": F.try_element_at(before, F.lit(-1))["act"], "_own": own}).withColumn("_now", F.coalesce(F.col("_last") == "file", F.col("_has")))
+    kind, has = F.col("kind"), F.col("_now")
+    untrusted = (S.text("devloop_enabled") == "1") & ~F.array_contains(F.coalesce("open_labels", F.array().cast("array<string>")), cfg.managed_prefix + "enabled") & (S.text("open_author") != login) & F.col("_last").isNull()
+    spent = F.col("used") + F.size(F.filter(F.coalesce("_filed", F.array().cast("array<struct<arrival: bigint, dedup_key: string>>")), lambda x: x < F.struct(F.col("arrival").cast("bigint"), "dedup_key")))
     reason = (
-        F.when(F.col("error_class").isNotNull(), F.col("error_class")).when(F.col("_done"), "duplicate-marker").when(F.lit(not cfg.writing), "dry-run").when(F.col("closed_muted") | F.col("open_muted"), "muted")
+        F.when(F.col("_first").isNotNull(), F.col("_first"))
         .when((kind == "open") & has, F.when(F.lit(bool(login)) & untrusted, "open-issue-adopted-untrusted-author").otherwise("open-issue-adopted"))
-        .when((kind == "comment") & ~has, F.when(F.col("_opens"), "waiting-for-pending-open").otherwise("no-open-issue"))
-        .when((kind == "close") & ~has, F.when(F.col("_opens"), "recovered-before-open-filed").otherwise("no-open-issue"))
-        .when((kind == "close") & managed, "devloop-managed").when((kind == "close") & F.lit(not cfg.autoclose), "autoclose-disabled")
+        .when((kind == "comment") & ~has & F.col("_last").isNull(), F.when(F.col("_opens"), "waiting-for-pending-open").otherwise("no-open-issue"))
+        .when((kind == "close") & ~has, F.when(F.col("_opens") & F.col("_last").isNull(), "recovered-before-open-filed").otherwise("no-open-issue"))
+        .when((kind == "close") & F.col("_managed"), "devloop-managed").when((kind == "close") & F.lit(not cfg.autoclose), "autoclose-disabled")
         .when((kind == "open") & F.col("_closes"), "recovered-before-open-filed")
+        .when(kind != "open", kind).when(F.col("_own"), "file").when(spent >= cfg.max_per_day, "budget-day").otherwise("budget-open")
     )
-    rows = rows.withColumn("_reason", reason)
-    return _admit(rows, issues, cfg, login).drop("_done", "_opens", "_closes", "_reason", "closed_muted", "open_muted", "open_author", "open_labels")
+    return _without_repeats(rows.withColumn("reason", reason)).drop("_done", "_opens", "_closes", "_first", "_managed", "_has", "_acts", "_filed", "_last", "_own", "_now", "used", "open_used", "closed_muted", "open_muted", "open_author", "open_labels")
 
 
-def _admit(rows: DataFrame, issues: DataFrame, cfg: Config, login: str) -> DataFrame:
-    """Budgets for opens that nothing else has decided, in order of arrival.
+def _acts(rows: DataFrame, cfg: Config) -> DataFrame:
+    """``(repo, day, fingerprint, arrival, dedup_key, act)``: which requests file or close an issue, from those that nothing decides beforehand.
 
-    A rank matters up to the budget only, so the windows keep that many rows of a repository and no more; a request that
-    is refused on one budget doesn't use up the other.
+    A repository's requests are walked in order of arrival; what is held are its budgets, the fingerprints that were
+    filed or closed on the way, and finished keys that come again. A request that is refused on one budget doesn't use up the other.
+
+    Where nothing is closed, a fingerprint asks once a day, and of a day's asks so many as both budgets allow decide all: at most
+    ``max_open`` of them can have been filed on another day. So a repository with very many requests has few to walk.
     """
-    wants = F.col("_reason").isNull() & (F.col("kind") == "open")
-    used = created_by_day(issues, login, cfg) if login else issues.limit(0).select("repo", F.lit("").alias("day"), F.lit(0).cast("bigint").alias("used"))
-    asks = rows.where(wants).select("repo", "day", "arrival", "dedup_key").join(used, ["repo", "day"], "left").join(open_counts(issues, cfg), "repo", "left").fillna(0, ["used", "open_used"])
-    by_day = F.row_number().over(Window.partitionBy("repo", "day").orderBy("arrival", "dedup_key"))
-    fits = asks.withColumn("_rank", by_day).where(F.col("_rank") <= cfg.max_per_day).where(F.col("used") + F.col("_rank") <= cfg.max_per_day)
-    by_repo = F.row_number().over(Window.partitionBy("repo").orderBy("arrival", "dedup_key"))
-    open_rank = fits.withColumn("_open_rank", by_repo).select("repo", "dedup_key", "arrival", F.when(F.col("open_used") + F.col("_open_rank") <= cfg.max_open, "file").otherwise("budget-open").alias("_budget"))
-    told = rows.join(open_rank, ["repo", "dedup_key", "arrival"], "left")
-    reason = F.coalesce("_reason", F.when(F.col("kind") != "open", F.col("kind")).otherwise(F.coalesce("_budget", F.lit("budget-day"))))
-    decision = F.when(F.col("error_class").isNotNull(), "error").when(reason.isin("file", "comment", "close"), reason).when(reason.isin("dry-run", "waiting-for-pending-open", "budget-day", "budget-open"), "pending").otherwise("skip")
-    return told.withColumn("reason", reason).withColumn("decision", decision).drop("_budget")
+    place = F.struct("arrival", "dedup_key")
+    columns = ["repo", "day", "fingerprint", F.col("arrival").cast("bigint").alias("arrival"), "dedup_key", "kind", "_has", "_managed", "_closes", "used", "open_used"]
+    if cfg.autoclose:
+        asks = rows.where("kind in ('open', 'close')").select(*columns)
+        again = rows.groupBy("repo", "dedup_key").agg(F.countDistinct("arrival").alias("_times")).where("_times > 1").select("repo", "dedup_key", F.lit(True).alias("_again"))
+        asks = asks.join(again, ["repo", "dedup_key"], "left").fillna(False, ["_again"])
+    else:
+        asks = rows.where("kind = 'open' and not _has and not _closes").select(*columns)
+        asks = asks.groupBy("repo", "fingerprint", "day").agg(F.min_by(F.struct(*(c for c in asks.columns if c not in ("repo", "fingerprint", "day"))), place).alias("r")).select("repo", "fingerprint", "day", "r.*").withColumn("_again", F.lit(False))
+        rank = F.row_number().over(Window.partitionBy("repo", "day").orderBy("arrival", "dedup_key"))
+        asks = asks.withColumn("_rank", rank).where(F.col("_rank") <= cfg.max_per_day + cfg.max_open).drop("_rank")
+
+    def step(state, day, fp, kind, has, managed, closes, used, open_used, key, again):
+        filed, there, more, finished = state  # filed by day; issues that were opened or closed on the way; open ones more than before; finished keys that repeat
+        if again and key in finished:
+            return state, (None,)
+        act, has, ends = None, there.get(fp, has), True
+        if kind == "close":
+            if has and not managed:
+                act, there[fp], more = "close", False, more - 1
+        elif not (has or closes):
+            ends = used + filed.get(day, 0) < cfg.max_per_day and open_used + more < cfg.max_open
+            if ends:
+                act, there[fp], more = "file", True, more + 1
+                filed[day] = filed.get(day, 0) + 1
+        if again and ends:
+            finished.add(key)
+        return (filed, there, more, finished), (act,)
+
+    reads = ["day", "fingerprint", "kind", "_has", "_managed", "_closes", "used", "open_used", "dedup_key", "_again"]
+    walked = walk(asks, ["repo"], ["arrival", "dedup_key"], reads, lambda: ({}, {}, 0, set()), step, "act string")
+    return walked.where("act is not null").select("repo", "day", "fingerprint", "arrival", "dedup_key", "act")
+
+
+def _decision() -> Column:
+    reason = F.col("reason")
+    return F.when(F.col("error_class").isNotNull(), "error").when(reason.isin("file", "comment", "close"), reason).when(reason.isin("dry-run", "waiting-for-pending-open", "budget-day", "budget-open"), "pending").otherwise("skip")
+
+
+def _without_repeats(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``decision``; a request whose key was finished by an earlier one of these rows is a duplicate."""
+    told = staged(rows.withColumn("decision", _decision()), "decided")
+    finished = F.min(F.when(~F.col("decision").isin("pending", "error"), F.col("arrival")))
+    repeated = told.groupBy("repo", "dedup_key").agg(F.countDistinct("arrival").alias("_times"), finished.alias("_finished")).where("_times > 1 and _finished is not null").drop("_times")
+    told = told.join(repeated, ["repo", "dedup_key"], "left").withColumn("_again", F.coalesce(F.col("arrival") > F.col("_finished"), F.lit(False)) & F.col("error_class").isNull())
+    return told.withColumn("reason", F.when(F.col("_again"), "duplicate-marker").otherwise(F.col("reason"))).withColumn("decision", _decision()).drop("_again", "_finished")
 
 
 def budget_alerts(decided: DataFrame, cfg: Config) -> DataFrame:

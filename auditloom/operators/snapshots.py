@@ -29,26 +29,57 @@ def merge_snapshot(old: DataFrame | None, new: DataFrame, rows: int) -> DataFram
 
 
 def publish(df: DataFrame, folder: str) -> str:
-    """Write a new version beside the others; readers go by ``current`` once it is switched."""
+    """Write a new version beside the others; readers go by the pointers, so nothing changes for them yet."""
     path = f"{folder.rstrip('/')}/v-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return path
 
 
-def switch(spark: SparkSession, folder: str, path: str) -> None:
-    """Make ``path`` the current version: a one-row pointer table is replaced, after all data is there."""
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").text(f"{folder.rstrip('/')}/current")
-
-
-def current(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The current version, or None before the first one; a version that can't be read is an error."""
+def _pointers(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """Numbered pointers, the newest first: those that ``expire`` has left."""
     try:
-        pointer = spark.read.text(f"{folder.rstrip('/')}/current")
+        found = spark.read.text(f"{folder.rstrip('/')}/pointers").select(F.col("number").cast("bigint"), "value").collect()
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return None
-    return spark.read.parquet(pointer.first()[0])
+        return []
+    return sorted(((n, path) for n, path in found), reverse=True)
+
+
+def switch(spark: SparkSession, folder: str, path: str) -> int:
+    """Make ``path`` the current version, after all its data is there, and give the pointer's number.
+
+    A pointer is one file of one row that appears by a single rename, beside the older ones: whenever a writer stops, readers see
+    the old version or the new one. There is one writer.
+    """
+    number = max((n for n, _ in _pointers(spark, folder)), default=-1) + 1
+    where = f"{folder.rstrip('/')}/pointers/number={number}"
+    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").text(where)  # what is there has no row: a writer stopped
+    return number
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The version of the greatest pointer, or None before the first one; a version that can't be read is an error."""
+    found = _pointers(spark, folder)
+    return spark.read.parquet(found[0][1]) if found else None
+
+
+def expire(spark: SparkSession, folder: str, keep: int = 2) -> int:
+    """Delete versions and pointers older than the newest ``keep``, and versions that no pointer names; how many versions went.
+
+    For the writer, between its writes. Readers of the newest ``keep`` versions aren't disturbed. Pointers go first, so none
+    names a version that is gone.
+    """
+    found = _pointers(spark, folder)
+    named = {path.rstrip("/").rpartition("/")[2] for _, path in found[:keep]}
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for number, _ in found[keep:]:
+        system.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"pointers/number={number}"), True)
+    gone = [f.getPath() for f in system.listStatus(root) if f.getPath().getName().startswith("v-") and f.getPath().getName() not in named]
+    for path in gone:
+        system.delete(path, True)
+    return len(gone)
 
 
 def unseen(records: DataFrame, ledger: DataFrame, now: int, revision: str = "risk-v2") -> DataFrame:

@@ -76,18 +76,33 @@ def error_spike(grid: DataFrame, cfg: Config) -> DataFrame:
     return rated.withColumn("fired", floors & (F.col("prior").isNull() | (F.col("rate") >= bar)))
 
 
+def second_runs(events: DataFrame) -> DataFrame:
+    """The events of each second of a component: ``(family, scope, rtype, bucket, attempt, epoch, fails, total, inside, first, last)``.
+
+    Inside counts changes between failure and success by line, first and last are the outcomes at its ends. Lines decide the order
+    only where a second has both outcomes, so only such seconds' events are dealt with their lines.
+    """
+    keys = [*GROUP, "bucket", "attempt", "epoch"]
+    seconds = events.groupBy(*keys).agg(F.count_if("failed").alias("fails"), F.count(F.lit(1)).alias("total"))
+    mixed = events.join(seconds.where("fails > 0 and fails < total").select(*keys), keys, "left_semi")
+    told = mixed.withColumn("_was", F.lag("failed").over(Window.partitionBy(*keys).orderBy("line")))
+    told = told.groupBy(*keys).agg(F.count_if(F.col("_was") != F.col("failed")).alias("_inside"), F.min_by("failed", "line").alias("_first"), F.max_by("failed", "line").alias("_last"))
+    joined = seconds.join(told, keys, "left")
+    return joined.select(*keys, "fails", "total", F.coalesce("_inside", F.lit(0)).alias("inside"), *(F.coalesce(f"_{c}", F.col("fails") > 0).alias(c) for c in ("first", "last")))
+
+
 def bucket_counts(events: DataFrame) -> DataFrame:
-    """Everything the rules need of a component's bucket, in one pass over ``events`` with lines.
+    """Everything the rules need of a component's bucket, from ``events`` with lines.
 
     ``(family, scope, rtype, bucket, attempt, fails, total, inside, first, last)``: inside counts changes between failure and
     success by time and line, first and last are the outcomes at the bucket's ends. Attempts are rows of their own, for
-    coverage. A busy component is split over its buckets.
+    coverage. Events are counted by second first: a busy component's bucket has no more rows to put in order than it has seconds.
     """
-    keys, at = [*GROUP, "bucket", "attempt"], F.struct("epoch", "line")
-    told = events.withColumn("_was", F.lag("failed").over(Window.partitionBy(*keys).orderBy("epoch", "line")))
+    keys = [*GROUP, "bucket", "attempt"]
+    told = second_runs(events).withColumn("_was", F.lag("last").over(Window.partitionBy(*keys).orderBy("epoch")))
     return told.groupBy(*keys).agg(
-        F.count_if("failed").alias("fails"), F.count(F.lit(1)).alias("total"), F.count_if(F.col("_was") != F.col("failed")).alias("inside"),
-        F.min_by("failed", at).alias("first"), F.max_by("failed", at).alias("last"),
+        F.sum("fails").alias("fails"), F.sum("total").alias("total"), (F.sum("inside") + F.count_if(F.col("_was") != F.col("first"))).alias("inside"),
+        F.min_by("first", "epoch").alias("first"), F.max_by("last", "epoch").alias("last"),
     )
 
 

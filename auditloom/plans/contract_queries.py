@@ -18,10 +18,11 @@ from ..operators import outbox as O
 from ..operators import snapshots as SN
 from ..operators import stability as ST
 from ..sources import adapter as AD
+from ..sources import audit as AU
 from ..sources.adapter import table
-from ..sources.staging import shared_folder, spread, staged
+from ..sources.staging import parquet_or_none, shared_folder, spread, staged
 from ..streaming import jobs as J
-from .queries import CFG, EV, ISSUE_FP, MACHINE, ORACLE_SQL, READ_EVENTS, REC, SCAN, TICKS, _candidates, _events, _issue_fp, _issue_tables, _records, djb2_sql, query
+from .queries import CFG, EV, ISSUE_FP, MACHINE, ORACLE_SQL, READ_EVENTS, REC, SCAN, TICKS, _candidates, _events, _issue_fp, _issue_tables, _keyed_alerts, _pages, _records, _repeating, djb2_sql, query
 
 # --- contracts ---------------------------------------------------------------------------------------------------------
 
@@ -314,9 +315,10 @@ def streamed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/candidates").select("signal", *ST.GROUP, "bucket", "fired", "quiet_ok")
 
 
-@query(ORACLE_SQL["issue_decisions"].replace("event_id%11=0 AS done", "false AS done"))
+@query(ORACLE_SQL["issue_decisions"].replace("WHERE event_id%11=0", "WHERE false"))
 def streamed_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests, issues, _ = _issue_tables(spark, sf_dir)
+    requests = _repeating(requests)
     out = _place(spark, "decisions")
     requests.write.parquet(f"{out}/requests")
     J.issues_job(spark.readStream.schema(requests.schema).parquet(f"{out}/requests"), f"{out}/told", f"{out}/state", lambda: issues, CFG.but(max_open=120)).awaitTermination()
@@ -335,10 +337,98 @@ def streamed_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SN.current(spark, out).select("id", "outcome")
 
 
-@query(f"""WITH l AS (SELECT user_id,event_id//{READ_EVENTS} AS part,event_id,event_type FROM events WHERE event_type='error') SELECT '/s/'||user_id||'-'||part AS source_path,count(*) AS line_count FROM l GROUP BY ALL""")
+@query(f"""WITH l AS (SELECT user_id,event_id//{READ_EVENTS} AS part,event_id,event_type FROM events WHERE event_type='error') SELECT '/s/'||user_id||'-'||part AS source_path,event_id||' '||event_type AS line FROM l""")
 def streamed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.floor(F.col("event_id") / READ_EVENTS)
     lines = _streamed(spark, sf_dir).select(F.concat(F.lit("/s/"), "user_id", F.lit("-"), part).alias("path"), F.lit(0).cast("long").alias("from_offset"), F.lit(9).cast("long").alias("to_offset"), F.col("event_id").alias("line_no"), F.concat_ws(" ", F.col("event_id").cast("string"), "event_type").alias("line"))
     out = _place(spark, "batches")
     J.batches_job(lines, out, f"{out}-state").awaitTermination()
-    return spark.read.parquet(out).groupBy("source_path").agg(F.sum("line_count").cast("long").alias("line_count"))
+    return spark.read.parquet(out).select("source_path", F.explode(F.split("content", "\n")).alias("line"))
+
+
+def _in_files(spark, name, rows, part, n=3):
+    """``rows`` as a stream of n files, one for each value of ``part``, a file a batch."""
+    out = _place(spark, name)
+    for i in range(n):
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(out)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(out)
+
+
+@query(f"""WITH {REC}, b AS (SELECT ep,CASE WHEN event_id%50=0 THEN 2 ELSE event_id*3//(SELECT max(event_id)+1 FROM events) END AS part FROM rec), m AS (SELECT part,max(max(ep)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM b GROUP BY part)
+ SELECT part::INT AS run,ep//86400 AS bucket,count(*) AS late FROM b JOIN m USING (part) WHERE (ep//86400+1)*86400<=mark-7200 GROUP BY ALL""")
+def streamed_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in three batches; one of fifty waits for the last."""
+    n = F.col("event_id")
+    part = F.when(n % 50 == 0, 2).otherwise(F.floor(n * 3 / F.lit(_events(spark, sf_dir).agg(F.max("event_id")).first()[0] + 1)))
+    stream = _in_files(spark, "late-in", AD.audit_records(_events(spark, sf_dir)), part)
+    out = _place(spark, "late")
+    J.late_job(stream, out, f"{out}-state", CFG).awaitTermination()
+    return spark.read.parquet(f"{out}/late").select("run", "bucket", "late")
+
+
+@query(ORACLE_SQL["alerts_suppressed"])
+def streamed_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts in three batches in order of time; the state is each key's mark."""
+    rows = _keyed_alerts(spark, sf_dir)
+    first, last = rows.agg(F.min("at"), F.max("at")).first()
+    stream = _in_files(spark, "alerts-in", rows, F.floor((F.col("at") - F.lit(first)) * 3 / F.lit((last or 0) - (first or 0) + 1)))
+    out = _place(spark, "suppressed")
+    J.write_stream(J.suppressed_stream(stream), f"{out}/rows", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+@query(f"""WITH q AS (SELECT user_id,'org/r'||(user_id%3) AS repo,min(event_id) AS arrival FROM events WHERE event_type='error' AND user_id%4=0 GROUP BY ALL), k AS (SELECT *,arrival%53=0 AS bad,row_number() OVER (PARTITION BY repo,arrival%53=0 ORDER BY arrival) AS n FROM q)
+ SELECT run,arrival,CASE WHEN bad THEN 'invalid-severity' WHEN n<=3*(run+1) THEN 'file' ELSE 'budget-day' END AS reason FROM k CROSS JOIN (SELECT unnest([0,1,2])::INT AS run) WHERE CASE WHEN bad THEN run=0 ELSE n>3*run END""")
+def streamed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request for each user without an issue, then two ticks without requests: what waits for the budget is filed by and by, and what is invalid stops nothing."""
+    requests, issues, _ = _issue_tables(spark, sf_dir)
+    firsts = requests.where("cast(conv(fingerprint, 16, 10) as bigint) is not null").join(_events(spark, sf_dir).where("event_type = 'error' and user_id % 4 = 0").groupBy("user_id").agg(F.min("event_id").alias("arrival")).select("arrival"), "arrival", "left_semi")
+    firsts = firsts.withColumn("kind", F.lit("open")).withColumn("day", F.lit("2024-01-01"))
+    out = _place(spark, "replay")
+    firsts.coalesce(1).write.parquet(f"{out}/requests")
+    ticks = _in_files(spark, "ticks", spark.range(3), F.col("id"))
+
+    def now_open() -> DataFrame:
+        """The issues, and those that earlier runs have filed."""
+        told = parquet_or_none(spark, f"{out}/told/decisions")
+        if told is None:
+            return issues
+        filed = told.where("decision = 'file'").select("repo", (F.col("arrival") + 1_000_000).alias("number"), "title", F.lit("").alias("body"), F.lit("open").alias("state"), F.lit("bot").alias("author"), F.array(F.lit("stability")).alias("labels"), F.array().cast("array<string>").alias("assignees"), F.lit("2024-02-02T00:00:00Z").alias("created_at"), F.lit(False).alias("is_pull_request"))
+        return issues.unionByName(filed)
+
+    stream = spark.readStream.schema(firsts.schema).parquet(f"{out}/requests")
+    J.issues_job(stream, f"{out}/told", f"{out}/state", now_open, CFG.but(max_per_day=3, max_open=100_000), ticks=ticks, now=lambda: SCAN).awaitTermination()
+    return spark.read.parquet(f"{out}/told/decisions").select("run", "arrival", "reason")
+
+
+@query(f"WITH RECURSIVE {TICKS.replace('t AS (', 'all_t AS (')}, t AS (SELECT * REPLACE (CASE WHEN blind THEN false ELSE fired END AS fired,CASE WHEN blind THEN false ELSE q END AS q,CASE WHEN blind THEN '' ELSE lab END AS lab) FROM (SELECT all_t.*,bucket%3=0 AND signal<>'pipeline-dead-letter' AS blind FROM all_t JOIN k USING (fp))), {MACHINE} SELECT fp,bucket AS seq,fired,q AS quiet_ok,lab AS latest_bucket,state,cnt AS quiet_count,action FROM st WHERE n>0")
+def frozen_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third scan's snapshot is broken: nothing recovers in it."""
+    told = _candidates(spark, sf_dir)
+    ticks = I.ticks_of(told, CFG).join(told.select("fp", "signal").distinct(), "fp")
+    scans = told.select(F.col("bucket").alias("seq"), (F.col("bucket") % 3 != 0).alias("valid")).distinct()
+    return I.timeline(I.frozen(ticks, scans), CFG).select("fp", "seq", "fired", "quiet_ok", "latest_bucket", "state", "quiet_count", "action")
+
+
+@query("""WITH p AS (SELECT event_id%37 AS w,event_id//370 AS p,count(*) AS n FROM events GROUP BY ALL), c AS (SELECT *,coalesce(sum(n) OVER (PARTITION BY w ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS taken,row_number() OVER (PARTITION BY w ORDER BY p) AS k FROM p) SELECT 'w-'||w AS window_id,p AS page_no,n::INT AS records FROM c WHERE taken<CASE WHEN w%2=0 THEN 85 ELSE 1000 END AND k<=12""")
+def budgeted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages up to 85 records for half of the windows, and up to 12 pages for the others."""
+    parsed = AU.parse_pages(_pages(spark, sf_dir))
+    even = F.regexp_extract("window_id", r"(\d+)$", 1).cast("int") % 2 == 0
+    kept = AU.pages_within_budget(parsed.where(even), records=85).unionByName(AU.pages_within_budget(parsed.where(~even), records=1000))
+    return kept.select("window_id", "page_no", F.size("page_records").alias("records"))
+
+
+@query("""SELECT event_id AS arrival,CASE WHEN event_id%3=0 THEN '' ELSE (event_id+1)::VARCHAR END AS issue_number,CASE WHEN event_id%3=0 THEN 'reserved' ELSE 'finalized' END AS phase,(CASE WHEN event_id%12=1 THEN 1 ELSE 0 END+CASE WHEN event_id%10=7 THEN 1 ELSE 0 END)::BIGINT AS conflicts FROM events WHERE event_type='error'""")
+def outbox_change_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One set that reserves, finalizes, finalizes again with another number and reserves under another title."""
+    requests = _issue_tables(spark, sf_dir)[0].withColumn("number", F.col("arrival") + 1)
+    n, numbered = F.col("arrival"), lambda rows, seq: rows.withColumn("seq", F.lit(seq))
+    sets = (
+        numbered(O.reserve(requests), 0), numbered(O.finalize(requests.where(n % 3 != 0)), 1), numbered(O.finalize(requests.where(n % 12 == 1).withColumn("number", n + 2)), 2),
+        numbered(O.reserve(requests.where(n % 10 == 7).withColumn("title", F.lit("another (fp:deadbeef)"))), 3),
+    )
+    changes = staged(sets[0].unionByName(sets[1]).unionByName(sets[2]).unionByName(sets[3]), "changes")
+    merged, clashes = O.merge(O.reserve(requests.limit(0)), changes)
+    told = merged.join(clashes.groupBy("request_dedup_key").agg(F.count(F.lit(1)).alias("conflicts")), "request_dedup_key", "left")
+    return told.select(F.element_at(F.split("request_dedup_key", "/"), -1).cast("bigint").alias("arrival"), "issue_number", "phase", F.coalesce("conflicts", F.lit(0).cast("bigint")).alias("conflicts"))

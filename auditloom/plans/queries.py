@@ -336,12 +336,15 @@ def finding_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEYED = "SELECT 'k-'||(user_id%40) AS k,CASE WHEN user_id%10=0 THEN 'issue-filed' ELSE 'auth' END AS cat,floor(epoch(ts))::BIGINT AS at_,event_id FROM events WHERE event_type='error'"
 
 
+def _keyed_alerts(spark, sf_dir):
+    return _events(spark, sf_dir).where("event_type = 'error'").select(F.concat(F.lit("k-"), F.col("user_id") % 40).alias("dedup_key"), F.col("event_id").alias("seq"), F.when(F.col("user_id") % 10 == 0, "issue-filed").otherwise("auth").alias("category"), event_epoch().alias("at"))
+
+
 @query(f"""WITH RECURSIVE a AS (SELECT *,row_number() OVER (PARTITION BY k ORDER BY at_,event_id) AS n FROM ({KEYED})), s AS (SELECT k,n,event_id,cat,at_,at_ AS mark,true AS sent FROM a WHERE n=1 UNION ALL
  SELECT a.k,a.n,a.event_id,a.cat,a.at_,CASE WHEN a.at_>=s.mark+CASE WHEN a.cat='issue-filed' THEN 2678400 ELSE 86400 END OR a.cat='issue-filed' THEN a.at_ ELSE s.mark END,a.at_>=s.mark+CASE WHEN a.cat='issue-filed' THEN 2678400 ELSE 86400 END FROM s JOIN a ON a.k=s.k AND a.n=s.n+1)
  SELECT k AS dedup_key,event_id AS seq,cat AS category,at_ AS \"at\",sent FROM s""")
 def alerts_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _events(spark, sf_dir).where("event_type = 'error'").select(F.concat(F.lit("k-"), F.col("user_id") % 40).alias("dedup_key"), F.col("event_id").alias("seq"), F.when(F.col("user_id") % 10 == 0, "issue-filed").otherwise("auth").alias("category"), event_epoch().alias("at"))
-    return A.suppress(rows)
+    return A.suppress(_keyed_alerts(spark, sf_dir))
 
 
 def _alert_entries(spark, sf_dir):
@@ -440,17 +443,34 @@ def _issue_tables(spark, sf_dir):
     return requests, issues, done
 
 
-@query(f"""WITH r AS (SELECT event_id,user_id,{ISSUE_FP} AS fp,'org/r'||(user_id%3) AS repo,strftime(ts,'%Y-%m-%d') AS day,CASE event_id%5 WHEN 3 THEN 'comment' WHEN 4 THEN 'close' ELSE 'open' END AS kind,event_id%53=0 AS bad,event_id%11=0 AS done FROM events WHERE event_type='error'),
- w AS (SELECT fp,day,bool_or(kind='open') AS o,bool_or(kind='close') AS c FROM r WHERE NOT bad AND NOT done GROUP BY ALL),
- d AS (SELECT r.*,(r.user_id%8=3 OR r.user_id%8=6) AS muted,(r.user_id%4 IN (1,3) AND r.user_id%8<>3) AS has,coalesce(w.o,false) AS o,coalesce(w.c,false) AS c FROM r LEFT JOIN w ON w.fp=r.fp AND w.day=r.day),
- x AS (SELECT *,CASE WHEN bad THEN 'invalid-severity' WHEN done THEN 'duplicate-marker' WHEN muted THEN 'muted' WHEN kind='open' AND has THEN 'open-issue-adopted' WHEN kind='comment' AND NOT has THEN CASE WHEN o THEN 'waiting-for-pending-open' ELSE 'no-open-issue' END
-  WHEN kind='close' AND NOT has THEN CASE WHEN o THEN 'recovered-before-open-filed' ELSE 'no-open-issue' END WHEN kind='close' AND user_id%8=5 THEN 'devloop-managed' WHEN kind='close' THEN 'autoclose-disabled' WHEN kind='open' AND c THEN 'recovered-before-open-filed' END AS why FROM d),
+def _repeating(rows):
+    """Requests whose keys repeat: a key for each third of a day's requests of a kind and fingerprint."""
+    return rows.withColumn("dedup_key", F.concat_ws("/", F.lit("stability-issue"), "kind", "fingerprint", "day", (F.col("arrival") % 3).cast("string")))
+
+
+DECISIONS = f"""WITH RECURSIVE r0 AS (SELECT event_id,user_id,{ISSUE_FP} AS fp,'org/r'||(user_id%3) AS repo,strftime(ts,'%Y-%m-%d') AS day,CASE event_id%5 WHEN 3 THEN 'comment' WHEN 4 THEN 'close' ELSE 'open' END AS kind,event_id%53=0 AS bad FROM events WHERE event_type='error'),
+ r AS (SELECT *,concat_ws('/',kind,fp,day,event_id%3) AS k FROM r0), dn AS (SELECT DISTINCT k FROM r WHERE event_id%11=0), q AS (SELECT r.*,dn.k IS NOT NULL AS done FROM r LEFT JOIN dn USING (k)),
+ w AS (SELECT fp,day,bool_or(kind='open') AS o,bool_or(kind='close') AS c FROM q WHERE NOT bad AND NOT done GROUP BY ALL),
+ d AS (SELECT q.*,(user_id%8=3 OR user_id%8=6) AS muted,(user_id%4 IN (1,3) AND user_id%8<>3) AS has,coalesce(w.o,false) AS o,coalesce(w.c,false) AS c FROM q LEFT JOIN w ON w.fp=q.fp AND w.day=q.day),
  n AS (SELECT repo,count(*) FILTER (user_id%4<>2) AS openu FROM (SELECT DISTINCT user_id,'org/r'||(user_id%3) AS repo FROM events WHERE user_id%4<>0) GROUP BY repo),
- dr AS (SELECT event_id,x.repo,coalesce(openu,0) AS openu,row_number() OVER (PARTITION BY x.repo,day ORDER BY event_id) AS k FROM x LEFT JOIN n ON n.repo=x.repo WHERE why IS NULL AND kind='open'),
- orr AS (SELECT event_id,openu+row_number() OVER (PARTITION BY repo ORDER BY event_id)<=120 AS fits FROM dr WHERE k<=5)
- SELECT x.event_id AS arrival,kind,coalesce(why,CASE WHEN kind<>'open' THEN kind WHEN fits THEN 'file' WHEN fits IS NULL THEN 'budget-day' ELSE 'budget-open' END) AS reason FROM x LEFT JOIN orr USING (event_id)""")
+ ak AS (SELECT d.repo,fp,day,coalesce(any_value(openu),0) AS openu,min(event_id) AS e FROM d LEFT JOIN n USING (repo) WHERE NOT bad AND NOT done AND NOT muted AND NOT has AND NOT c AND kind='open' GROUP BY d.repo,fp,day),
+ an AS (SELECT *,row_number() OVER (PARTITION BY repo ORDER BY e) AS i FROM ak),
+ wk AS (SELECT DISTINCT repo,0::BIGINT AS i,0::BIGINT AS e,''::VARCHAR AS fp,''::VARCHAR AS day,false AS ok,[]::VARCHAR[] AS fps,[]::VARCHAR[] AS days FROM an UNION ALL
+  SELECT repo,i,e,fp,day,ok,CASE WHEN ok THEN list_append(fps,fp) ELSE fps END,CASE WHEN ok THEN list_append(days,day) ELSE days END FROM (
+   SELECT a.repo,a.i,a.e,a.fp,a.day,wk.fps,wk.days,NOT list_contains(wk.fps,a.fp) AND len(list_filter(wk.days,lambda z: z=a.day))<5 AND a.openu+len(wk.fps)<120 AS ok FROM wk JOIN an a ON a.repo=wk.repo AND a.i=wk.i+1)),
+ f AS (SELECT repo,fp,e FROM wk WHERE ok), fd AS (SELECT repo,day,list(e) AS es FROM wk WHERE ok GROUP BY ALL),
+ t AS (SELECT d.*,f.e,coalesce(f.e<event_id,false) AS there,coalesce(len(list_filter(es,lambda z: z<d.event_id)),0) AS spent FROM d LEFT JOIN f ON f.repo=d.repo AND f.fp=d.fp LEFT JOIN fd ON fd.repo=d.repo AND fd.day=d.day),
+ x AS (SELECT *,CASE WHEN bad THEN 'invalid-severity' WHEN done THEN 'duplicate-marker' WHEN muted THEN 'muted' WHEN kind='open' AND (has OR there) THEN 'open-issue-adopted' WHEN kind='comment' AND NOT has AND NOT there THEN CASE WHEN o THEN 'waiting-for-pending-open' ELSE 'no-open-issue' END
+  WHEN kind='close' AND NOT has AND NOT there THEN CASE WHEN o THEN 'recovered-before-open-filed' ELSE 'no-open-issue' END WHEN kind='close' AND user_id%8=5 THEN 'devloop-managed' WHEN kind='close' THEN 'autoclose-disabled' WHEN kind='open' AND c THEN 'recovered-before-open-filed'
+  WHEN kind='comment' THEN kind WHEN event_id=e THEN 'file' WHEN spent>=5 THEN 'budget-day' ELSE 'budget-open' END AS why FROM t),
+ m AS (SELECT *,min(event_id) FILTER (NOT bad AND why NOT IN ('waiting-for-pending-open','budget-day','budget-open')) OVER (PARTITION BY repo,k) AS fin FROM x)"""
+
+
+@query(f"{DECISIONS} SELECT event_id AS arrival,kind,CASE WHEN NOT bad AND event_id>fin THEN 'duplicate-marker' ELSE why END AS reason FROM m")
 def issue_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests, issues, done = _issue_tables(spark, sf_dir)
+    requests, issues, _ = _issue_tables(spark, sf_dir)
+    requests = _repeating(requests)
+    done = requests.where("arrival % 11 = 0").select("repo", "dedup_key")
     return IS.decide(requests, issues, done, CFG.but(max_open=120)).select("arrival", "kind", "reason")
 
 

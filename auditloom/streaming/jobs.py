@@ -6,6 +6,7 @@ operators group by; a stream over input split into files gives what the batch op
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -82,6 +83,25 @@ def bucket_stream(records: DataFrame, cfg: Config, delay: str = "2 hours") -> Da
     return counted.select("family", "scope", "rtype", S.bucket_of(F.unix_seconds("w.start"), cfg.bucket_seconds).alias("bucket"), "attempt", "fails", "total")
 
 
+def late_job(records: DataFrame, folder: str, checkpoint: str, cfg: Config, delay_seconds: int = 7200, once: bool = True) -> StreamingQuery:
+    """How many dated records came after their bucket was closed: ``(bucket, late)`` of each batch, in ``folder/late``.
+
+    A bucket is closed once it ends at or before the newest time of the batches before, less the delay: then ``bucket_stream`` drops
+    its records, and Spark's own figure counts them after they were combined. The newest time is kept beside, a row a batch.
+    """
+    spark = records.sparkSession
+
+    def each(df: DataFrame, batch: int) -> None:
+        marks = parquet_or_none(spark, f"{folder}/newest") if batch else None
+        mark = None if marks is None else marks.where(F.col("run") < batch).agg(F.max("epoch")).first()[0]
+        dated = df.select(S.epoch_of("occurredAtUtc").alias("epoch")).where("epoch is not null").withColumn("bucket", S.bucket_of(F.col("epoch"), cfg.bucket_seconds))
+        late = dated.where((F.col("bucket") + 1) * cfg.bucket_seconds <= F.lit(mark).cast("bigint") - delay_seconds)
+        late.groupBy("bucket").agg(F.count(F.lit(1)).alias("late")).write.mode("overwrite").parquet(f"{folder}/late/run={batch}")
+        dated.agg(F.max("epoch").alias("epoch")).write.mode("overwrite").parquet(f"{folder}/newest/run={batch}")
+
+    return _start(records, checkpoint, each, once=once)
+
+
 def scan_job(records: DataFrame, folder: str, checkpoint: str, cfg: Config, once: bool = True) -> StreamingQuery:
     """All rules for audit records as of the newest bucket, after each micro-batch of ``records``.
 
@@ -105,24 +125,36 @@ def scan_job(records: DataFrame, folder: str, checkpoint: str, cfg: Config, once
     return _start(records, checkpoint, each, once=once)
 
 
-def issues_job(requests: DataFrame, folder: str, checkpoint: str, issues: Callable[[], DataFrame], cfg: Config, login: str = "", once: bool = True) -> StreamingQuery:
+def issues_job(requests: DataFrame, folder: str, checkpoint: str, issues: Callable[[], DataFrame], cfg: Config, login: str = "", once: bool = True, ticks: DataFrame | None = None, now: Callable[[], int] | None = None) -> StreamingQuery:
     """Decisions on issue requests, those that wait carried over: each run takes up the pending ones of the run before it.
 
-    A run writes its decisions, then what is done (with the ledger of before), then what still waits; a repeated run starts
-    from the same tables. What was refused for a budget, or waits because nothing is written, comes up again in reconcile order.
+    A run writes its decisions, then what is done, then what still waits; a repeated run starts from the same tables. What was
+    refused for a budget, or waits because nothing is written, comes up again in reconcile order. ``ticks`` is a stream of
+    any rows, each of which makes a run, so that what waits is taken up without new requests. A request that can't be served is
+    told in its own row (``decision`` error) and stops no other.
+
+    What is done is kept for 30 days before ``now()``, by default the clock's seconds: a run adds its own rows, and reads the
+    others' that are young enough.
     """
-    spark = requests.sparkSession
+    spark, clock = requests.sparkSession, now or (lambda: int(time.time()))
+    fields = requests.columns
 
     def each(df: DataFrame, batch: int) -> None:
         waits = parquet_or_none(spark, f"{folder}/pending/run={batch - 1}") if batch else None
-        asked = df if waits is None else waits.unionByName(df)
-        done = (parquet_or_none(spark, f"{folder}/done/run={batch - 1}") if batch else None) or spark.createDataFrame([], "repo string, dedup_key string")
-        decided = staged(IS.decide(asked, issues(), done, cfg, login), "decided")
+        asked = df.where(~F.col("_tick")).select(*fields)
+        asked = asked if waits is None else waits.unionByName(asked)
+        done, at = parquet_or_none(spark, f"{folder}/done"), clock()
+        done = spark.createDataFrame([], "repo string, dedup_key string") if done is None else done.where((F.col("run") < batch) & (F.col("at") > at - IS.DONE_TTL))
+        decided = staged(IS.decide(asked, issues(), done.select("repo", "dedup_key"), cfg, login), "decided")
         IS.reconcile_order(decided).write.mode("overwrite").parquet(f"{folder}/decisions/run={batch}")
-        done.unionByName(decided.where("decision in ('file', 'comment', 'close', 'skip')").select("repo", "dedup_key")).distinct().write.mode("overwrite").parquet(f"{folder}/done/run={batch}")
-        IS.next_pending(decided).select(*df.columns).write.mode("overwrite").parquet(f"{folder}/pending/run={batch}")
+        finished = decided.where("decision in ('file', 'comment', 'close', 'skip')").select("repo", "dedup_key", F.lit(at).cast("bigint").alias("at")).distinct()
+        finished.write.mode("overwrite").parquet(f"{folder}/done/run={batch}")
+        IS.next_pending(decided).select(*fields).write.mode("overwrite").parquet(f"{folder}/pending/run={batch}")
 
-    return _start(requests, checkpoint, each, once=once)
+    both = requests.withColumn("_tick", F.lit(False))
+    if ticks is not None:
+        both = both.unionByName(ticks.select(F.lit(True).alias("_tick")), allowMissingColumns=True)
+    return _start(both, checkpoint, each, once=once)
 
 
 def unseen_stream(records: DataFrame, ttl: str = "7 days") -> DataFrame:
@@ -130,9 +162,29 @@ def unseen_stream(records: DataFrame, ttl: str = "7 days") -> DataFrame:
     return records.withColumn("ts", F.timestamp_seconds(S.epoch_of("occurredAtUtc"))).where("id <> '' and ts is not null").withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["source_id", "id"]).drop("ts")
 
 
-def suppressed_stream(alerts: DataFrame, ttl: str = "24 hours") -> DataFrame:
-    """The first alert of each key within the time, for kinds whose duplicates don't extend it."""
-    return alerts.where("category <> 'issue-filed'").withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["dedup_key"])
+def suppressed_stream(alerts: DataFrame, ttl: int = A.SENT_TTL, filed_ttl: int = A.FILED_TTL) -> DataFrame:
+    """``alerts(dedup_key, category, at, seq)`` with ``sent``, as ``operators.alerts.suppress`` tells it, by the alerts' own times.
+
+    A key's state is the second that its time counts from. An alert about a filed issue moves it on, others don't. Batches are to
+    come in order of time; within one, rows are put in order, and of equal seconds only the first can be sent.
+    """
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ARG001
+        mark = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(["at", "seq"])
+        sent, last = [], None
+        for at, category in zip(rows["at"], rows["category"], strict=True):
+            filed = category == "issue-filed"
+            send = at != last and (mark is None or at >= mark + (filed_ttl if filed else ttl))
+            if send or (filed and at != last):
+                mark = at
+            last = at
+            sent.append(send)
+        state.update((int(mark),))
+        yield rows.assign(sent=sent)[["dedup_key", "category", "at", "seq", "sent"]]
+
+    narrow = alerts.select("dedup_key", "category", F.col("at").cast("bigint").alias("at"), F.col("seq").cast("bigint").alias("seq"))
+    return narrow.groupBy("dedup_key").applyInPandasWithState(fold, "dedup_key string, category string, at bigint, seq bigint, sent boolean", "mark bigint", "append", "NoTimeout")
 
 
 EVENT_SCHEMA = "fp string, seq long, tick_id string, fired boolean, quiet_ok boolean, latest_bucket string, state string, open_bucket string, last_fired_tick string, quiet_count int, last_quiet_bucket string, action string"
@@ -190,6 +242,7 @@ def snapshot_job(records: DataFrame, folder: str, checkpoint: str, cfg: Config,
     def each(df: DataFrame, batch: int) -> None:
         path = SN.publish(SN.merge_snapshot(SN.current(spark, folder), df, cfg.snapshot_rows), folder)
         SN.switch(spark, folder, path)
+        SN.expire(spark, folder)
 
     return _start(records, checkpoint, each, once=once)
 

@@ -400,16 +400,77 @@ def test_issue_decisions(spark):
     assert decided(spark, [request(3, "close")], [issue(5)], autoclose=True)[1] == ["close"]
     assert decided(spark, [request(3, "close")], [issue(5, labels=("stability", "autodev:claimed"))], autoclose=True)[1] == ["devloop-managed"]
     assert decided(spark, [request(1, devloop_enabled="1")], [issue(5, author="eve")])[1] == ["open-issue-adopted-untrusted-author"]
-    assert decided(spark, [request(1), request(2, "comment")])[1] == ["file", "waiting-for-pending-open"]
+    assert decided(spark, [request(1), request(2, "comment")])[1] == ["file", "comment"]  # what was filed on the way is there
+    assert decided(spark, [request(1, "comment"), request(2)])[1] == ["waiting-for-pending-open", "file"]
     assert decided(spark, [request(2, "comment")])[1] == ["no-open-issue"]
     out, reasons = decided(spark, [request(1), request(2, "close")])
     assert reasons == ["recovered-before-open-filed"] * 2 and IS.next_pending(out).count() == 0
 
 
+def test_requests_are_served_one_after_the_other(spark):
+    again = request(2)[:8] + ("k1",) + request(2)[9:]
+    assert decided(spark, [request(1), again, request(3)])[1] == ["file", "duplicate-marker", "open-issue-adopted"]
+    assert decided(spark, [request(1), again], max_per_day=0)[1] == ["budget-day", "budget-day"]  # what waits isn't finished
+    assert decided(spark, [request(1), request(2, "comment", incident_id="deadbeef-2"), request(3, "close", incident_id="deadbeef-3"), request(4, incident_id="deadbeef-4"), request(5, "comment", incident_id="deadbeef-4")], autoclose=True)[1] == ["file", "comment", "close", "file", "comment"]
+    assert decided(spark, [request(1), request(2, "close", incident_id="deadbeef-2")])[1] == ["file", "autoclose-disabled"]
+
+
+def serial(requests, open_issues, done, cfg):
+    """The same, one request at a time: requests ``(arrival, day, repo, fp, incident, kind, key)``."""
+    finished, there, filed, touched, out = set(done), set(open_issues), {}, set(), {}
+    opens = {(r[2], r[4]) for r in requests if r[5] == "open" and (r[2], r[6]) not in done}
+    closes = {(r[2], r[4]) for r in requests if r[5] == "close" and (r[2], r[6]) not in done}
+    for arrival, day, repo, fp, incident, kind, key in sorted(requests):
+        mine, has = (repo, fp), (repo, fp) in there
+        if (repo, key) in finished:
+            reason = "duplicate-marker"
+        elif kind == "open":
+            reason = "open-issue-adopted" if has else "recovered-before-open-filed" if (repo, incident) in closes else "budget-day" if filed.get((repo, day), 0) >= cfg.max_per_day else "budget-open" if sum(r == repo for r, _ in there) >= cfg.max_open else "file"
+            if reason == "file":
+                there.add(mine)
+                touched.add(mine)
+                filed[repo, day] = filed.get((repo, day), 0) + 1
+        elif kind == "comment":
+            reason = "comment" if has or mine in touched else "waiting-for-pending-open" if (repo, incident) in opens else "no-open-issue"
+        else:
+            reason = "close" if has and cfg.autoclose else "autoclose-disabled" if has else "recovered-before-open-filed" if (repo, incident) in opens and mine not in touched else "no-open-issue"
+            if reason == "close":
+                there.discard(mine)
+                touched.add(mine)
+        if reason not in ("waiting-for-pending-open", "budget-day", "budget-open"):
+            finished.add((repo, key))
+        out[arrival] = reason
+    return out
+
+
+@pytest.mark.parametrize("autoclose", [False, True])
+def test_many_requests_equal_serving_them_one_by_one(spark, autoclose):
+    import random
+
+    for seed in range(4):
+        r = random.Random(seed)
+        cfg = CFG.but(max_per_day=r.choice([2, 4]), max_open=r.choice([5, 9]), autoclose=autoclose)
+        asked = []
+        for i in range(160):
+            fp = r.randrange(12)
+            kind = r.choice(["open", "open", "comment", "close"])
+            asked.append((i, f"2026-07-{10 + i // 60}", f"o/r{r.randrange(2)}", f"{fp:08x}", f"{fp}-{r.randrange(6)}", kind, f"{kind}/{fp}/{r.randrange(40)}"))
+        for i in range(0, 160, 9):  # repeats: the whole request, later
+            j = r.randrange(160)
+            asked[j] = (j, asked[j][1], *asked[i][2:])
+        open_issues = {(f"o/r{n % 2}", f"{n:08x}") for n in range(3)}
+        done = {(asked[0][2], asked[0][6])}
+        frame = [request(i, kind, fingerprint=fp, title=f"x (fp:{fp})", incident_id=incident, dedup_key=key, repo=repo)[:-2] + (i, day) for i, day, repo, fp, incident, kind, key in asked]
+        frame = spark.createDataFrame(frame, schemas.REQUEST + ", arrival int, day string")
+        issues = spark.createDataFrame([("o/r" + str(n % 2),) + issue(n + 1, title=f"x (fp:{n:08x})")[1:] for n in range(3)], schemas.ISSUE)
+        got = {x["arrival"]: x["reason"] for x in IS.decide(frame, issues, spark.createDataFrame(list(done), "repo string, dedup_key string"), cfg).collect()}
+        assert got == serial(asked, open_issues, done, cfg)
+
+
 def test_budgets(spark):
     many = [request(i, fingerprint=f"{i:08x}", title=f"x (fp:{i:08x})", incident_id=f"{i}") for i in range(1, 9)]
     out, reasons = decided(spark, many, [issue(i, title=f"old (fp:{100 + i:08x})") for i in range(2)], max_per_day=6, max_open=5)
-    assert reasons == ["file"] * 3 + ["budget-open"] + ["budget-day"] * 4
+    assert reasons == ["file"] * 3 + ["budget-open"] * 5  # a request that is refused on one budget doesn't use up the other
     assert {(r["scope"], r["cap"]) for r in IS.budget_alerts(out, CFG.but(max_per_day=6, max_open=5)).collect()} == {("day", 6), ("open", 5)}
     assert IS.next_pending(out).count() == 5
 
@@ -426,10 +487,26 @@ def test_outbox_phases(spark):
     _, clash = O.merge(final, O.reserve(frame.withColumn("title", F.lit("other (fp:deadbeef)"))))
     assert clash.count() == 2
     assert A.filed_alerts(final).withColumn("e", G.alert_error()).where("e is not null").count() == 0
-    with pytest.raises(Exception, match="positive"):
+    with pytest.raises(Exception, match="number of 1 or more"):
         O.finalize(frame.withColumn("number", F.lit(0))).collect()
 
 
+def test_several_changes_of_one_key_are_one_record(spark):
+    frame = spark.createDataFrame([request(1), request(2)], schemas.REQUEST + ", arrival int, day string").withColumn("number", F.col("arrival") + 40)
+    none, other = O.reserve(frame).limit(0), F.lit("other (fp:deadbeef)")
+    both = O.reserve(frame).unionByName(O.finalize(frame))
+    for changes in (both, both.unionByName(both)):
+        merged, clash = O.merge(none, changes)
+        assert sorted((r["phase"], r["issue_number"]) for r in merged.collect()) == [("finalized", "41"), ("finalized", "42")] and clash.count() == 0
+    again = both.unionByName(O.finalize(frame.where("arrival = 1").withColumn("number", F.lit(99)))).unionByName(O.reserve(frame.where("arrival = 2").withColumn("title", other)).withColumn("title", other))
+    for records in (none, O.reserve(frame), O.finalize(frame)):
+        merged, clash = O.merge(records, again.withColumn("seq", F.monotonically_increasing_id()))
+        assert sorted(r["issue_number"] for r in merged.collect()) == ["41", "42"]
+        assert sorted((r["issue_number"], r["title"]) for r in clash.collect()) == [("", "other (fp:deadbeef)"), ("99", "x (fp:deadbeef)")]
+    merged, clash = O.merge(none, O.finalize(frame.unionByName(frame)))  # a repeated request
+    assert merged.count() == 2 and clash.count() == 0
+
+
 def test_index_capacity(spark):
     frame = spark.range(300).select(F.col("id").cast("string").alias("k"), F.col("id").alias("arrival"))
     assert IS.capped_distinct(frame, "k", keep_newest=True).count() == 256
@@ -450,6 +527,41 @@ def test_snapshot_upsert(spark, tmp_path):
     assert SN.current(spark, str(tmp_path)).count() == 1
 
 
+def test_a_writer_that_stops_leaves_the_old_version_or_the_new_one(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    old = records(spark, [(at(0), "a", "x"), (at(1), "b", "x")])
+    folder, told = str(tmp_path), lambda: SN.current(spark, str(tmp_path)).count()
+
+    def renew(rows):
+        SN.switch(spark, folder, SN.publish(rows, folder))
+        SN.expire(spark, folder)
+
+    renew(old)
+    writes = {"parquet": DataFrameWriter.parquet, "text": DataFrameWriter.text}
+    for kind in writes:
+        for late in (False, True):
+            before = told()
+
+            def stop(self, *given, kind=kind, late=late):
+                if late:
+                    writes[kind](self, *given)
+                raise OSError("stopped")
+
+            monkeypatch.setattr(DataFrameWriter, kind, stop)
+            with pytest.raises(OSError, match="stopped"):
+                renew(old.limit(1) if before == 2 else old)
+            monkeypatch.undo()
+            assert told() == (3 - before if (kind, late) == ("text", True) else before)
+            (tmp_path / "pointers" / "number=98").mkdir(parents=True, exist_ok=True)  # one that was begun and has no row
+            assert told() in (1, 2)
+            renew(old)
+            assert told() == 2
+    for _ in range(3):
+        renew(old.limit(1))
+    assert told() == 1 and len(list(tmp_path.glob("v-*"))) == 2 and SN.expire(spark, folder, keep=1) == 1 and told() == 1
+
+
 BAD_LINES = ["", "ISSUE_FILED", "ISSUE_FILED kind=open fp=xyz number=1 url=u", "ISSUE_FILED kind=open fp=deadbeef number=a url=u", "ISSUE_SKIP kind=shut fp=deadbeef reason=r", "ISSUE_SKIP kind=open fp=deadbeef", "ISSUE_PROBE kind=auth ok=2", "ISSUE_BUDGET_EXCEEDED scope=week used=1 cap=2", "ISSUE_OUTBOUND mode=dry-run kind=open fp=deadbeef severity=loud signal=s title='t'", "XISSUE_FILEDX kind=open", "INCIDENT fp=deadbeef"]
 
 

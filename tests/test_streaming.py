@@ -65,13 +65,13 @@ def test_scan_of_the_newest_bucket(spark, records, tmp_path):
 
 
 def test_pending_requests_come_up_again_and_open_incidents_ask_again(spark, tmp_path):
-    row = lambda i, kind="open": ("issues.issue.v1", kind, "deadbeef", "error-spike", "high", "x (fp:deadbeef)", "b", "inc-1", f"k/{kind}/{i}", "org/r", "", i, "2024-01-01")
+    row = lambda i, kind="open", fp=None: ("issues.issue.v1", kind, f"{fp or i:08x}", "error-spike", "high", f"x (fp:{fp or i:08x})", "b", f"inc-{fp or i}", f"k/{kind}/{i}", "org/r", "", i, "2024-01-01")
     columns = "schema string, kind string, fingerprint string, signal string, severity string, title string, body_md string, incident_id string, dedup_key string, repo string, devloop_enabled string, arrival long, day string"
-    for n, rows in enumerate(([row(1), row(2), row(3, "comment")], [row(4)])):
+    for n, rows in enumerate(([row(1), row(2), row(3, "comment", 2)], [row(4)])):
         spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         J.issues_job(spark.readStream.schema(columns).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck", lambda: spark.createDataFrame([], ISSUE), CFG.but(max_per_day=1)).awaitTermination(240)
         told = {r["dedup_key"]: r["reason"] for r in spark.read.parquet(f"{tmp_path}/out/decisions/run={n}").collect()}
-        assert told == ({"k/open/1": "file", "k/open/2": "budget-day", "k/comment/3": "waiting-for-pending-open"} if n == 0 else {"k/open/2": "file", "k/open/4": "budget-day", "k/comment/3": "waiting-for-pending-open"})
+        assert told == ({"k/open/1": "file", "k/open/2": "budget-day", "k/comment/3": "waiting-for-pending-open"} if n == 0 else {"k/open/2": "file", "k/open/4": "budget-day", "k/comment/3": "comment"})
     ticks = spark.createDataFrame([("deadbeef", i, str(i), True, False, "b") for i in range(9)], "fp string, seq long, tick_id string, fired boolean, quiet_ok boolean, latest_bucket string")
     schema = split(ticks, f"{tmp_path}/ticks", "seq")
     J.write_stream(J.incident_stream(stream(spark, schema, f"{tmp_path}/ticks"), CFG, seconds_a_tick=300), f"{tmp_path}/told", f"{tmp_path}/ck2").awaitTermination(240)
@@ -149,3 +149,51 @@ def test_snapshot(spark, records, tmp_path):
     from auditloom.operators import snapshots as SN
 
     assert same(SN.current(spark, f"{tmp_path}/snap"), SN.merge_snapshot(None, rows, 50))
+
+
+def test_what_waits_is_taken_up_by_ticks_and_done_requests_expire(spark, tmp_path):
+    columns = "schema string, kind string, fingerprint string, signal string, severity string, title string, body_md string, incident_id string, dedup_key string, repo string, devloop_enabled string, arrival long, day string"
+    row = lambda i, severity="high": ("issues.issue.v1", "open", f"{i:08x}", "error-spike", severity, f"x (fp:{i:08x})", "b", f"inc-{i}", f"k/{i}", "org/r", "", i, "2024-01-01")
+    ticks, clock = spark.range(1), [0]
+
+    def run():
+        J.issues_job(spark.readStream.schema(columns).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck", lambda: spark.createDataFrame([], ISSUE), CFG.but(max_per_day=1), ticks=spark.readStream.schema(ticks.schema).parquet(f"{tmp_path}/ticks"), now=lambda: clock[0]).awaitTermination(240)
+        return spark.read.parquet(f"{tmp_path}/out/decisions")
+
+    ticks.write.parquet(f"{tmp_path}/ticks")
+    spark.createDataFrame([row(1), row(2, "loud"), row(3)], columns).coalesce(1).write.parquet(f"{tmp_path}/in")
+    told = run()
+    assert sorted((r["arrival"], r["reason"]) for r in told.collect()) == [(1, "file"), (2, "invalid-severity"), (3, "budget-day")]
+    ticks.write.mode("append").parquet(f"{tmp_path}/ticks")  # no new request
+    told = run()
+    assert [(r["arrival"], r["reason"]) for r in told.where("run = 1").collect()] == [(3, "file")]
+    for days, reason in ((1, "duplicate-marker"), (40, "file")):
+        clock[0] = days * 86_400
+        spark.createDataFrame([row(1)], columns).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        told = run()
+        assert [r["reason"] for r in told.where(F.col("run") == told.agg(F.max("run")).first()[0]).collect()] == [reason]
+
+
+def test_late_records_are_counted(spark, records, tmp_path):
+    schema = split(records, f"{tmp_path}/in", "event_id")
+    records.orderBy("event_id").limit(7).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    J.late_job(stream(spark, schema, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck", CFG).awaitTermination(240)
+    late = spark.read.parquet(f"{tmp_path}/out/late")
+    assert late.where("run = 3").agg(F.sum("late")).first()[0] == 7
+    query = J.write_stream(J.bucket_stream(stream(spark, schema, f"{tmp_path}/in"), CFG), f"{tmp_path}/rows", f"{tmp_path}/ck2")
+    query.awaitTermination(240)
+    assert sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"]) > 0
+
+
+def test_suppression_by_state_equals_the_batch_operator(spark, tmp_path):
+    import random
+
+    from auditloom.operators import alerts as A
+
+    r = random.Random(2)
+    rows = [(f"k{r.randrange(4)}", r.choice(["issue-filed", "auth"]), 30_000 * i + r.randrange(9), n) for n, i in enumerate(sorted(r.randrange(300) for _ in range(400)))]
+    rows += [("k0", "auth", rows[-1][2], 900), ("k0", "issue-filed", rows[-1][2], 901)]
+    alerts = spark.createDataFrame(rows, "dedup_key string, category string, at bigint, seq bigint")
+    schema = split(alerts, f"{tmp_path}/in", "at")
+    J.write_stream(J.suppressed_stream(stream(spark, schema, f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(240)
+    assert same(spark.read.parquet(f"{tmp_path}/out"), A.suppress(alerts))
