@@ -134,13 +134,14 @@ def shared_passages(anchor_rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return left.join(right, ["a", "b", "anchor"]).groupBy("a", "b", (F.col("pos_b") - F.col("pos_a")).alias("offset")).agg(F.count(F.lit(1)).alias("anchors"))
 
 
-def in_order(docs: DataFrame) -> DataFrame:
+def in_order(docs: DataFrame) -> tuple[DataFrame, bool]:
     """``docs(doc_id, text)`` dealt by ranges of doc_id, each range followed by a copy of the row that comes next.
 
-    Gives ``bucket, doc_id, text, is_next``. Boundaries are approximate quantiles of doc_id (a few numbers); an id, or null,
+    Gives ``bucket, doc_id, text, is_next, copies``, and whether any row stands for several. Boundaries are approximate quantiles of doc_id (a few numbers); an id, or null,
     that holds several quantiles is parted by its texts' hashes. The first row of each range is found by a hash aggregate,
     so a text moves once. The last range is followed by the first row of all. Null ids come first; equal ids are ordered by
-    the hash of their text, then by the text.
+    the hash of their text, then by the text. Equal rows of an id that holds several quantiles follow each other, so they are
+    counted where they are read and go as one row with its ``copies``.
     """
     spark = docs.sparkSession
     n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -152,6 +153,10 @@ def in_order(docs: DataFrame) -> DataFrame:
     bounds = F.lit(np.array(cuts + [(1 << 63) - 1] * ((1 << steps) - len(cuts)), np.int64))  # one literal, however many cuts
     search = F.aggregate(F.array(*[F.lit(1 << i) for i in reversed(range(steps))]), F.lit(0), lambda low, step: F.when(F.element_at(bounds, low + step) <= F.col("key"), low + step).otherwise(low))
     hot = {k: c for k, c in quantiles.items() if c > 1}
+    rows = rows.withColumn("copies", F.lit(1).cast("long"))
+    if hot:
+        often = F.col("key").isin(*hot)
+        rows = rows.where(~often).unionByName(rows.where(often).groupBy("key", "doc_id", "text", "h").agg(F.count(F.lit(1)).alias("copies")))
     parts = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in hot.items() for x in kv)), F.col("key")), F.lit(1)) if hot else F.lit(1)
     inside = F.floor(F.col("h") / F.lit(float(1 << 63)) * parts) if hot else F.lit(0)
     # a cut begins a range, and a hot id is a range of its own: what comes after it in the same range has a larger key
@@ -163,9 +168,18 @@ def in_order(docs: DataFrame) -> DataFrame:
     last = F.max("own").over(before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     turn = heads.select("head.key", "head.h", F.coalesce(F.lag("own").over(before), last).alias("bucket"))
     firsts = rows.drop("bucket").join(F.broadcast(turn), ["key", "h"]).groupBy("bucket", "key", "h").agg(F.min(F.struct("doc_id", "text")).alias("r"))
-    firsts = firsts.select("bucket", "key", "h", "r.doc_id", "r.text", F.lit(True).alias("is_next"))
-    dealt = rows.select("bucket", "key", "h", "doc_id", "text", F.lit(False).alias("is_next")).unionByName(firsts)
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "is_next", "key", "h", "text")
+    firsts = firsts.select("bucket", "key", "h", "r.doc_id", "r.text", F.lit(True).alias("is_next"), F.lit(1).cast("long").alias("copies"))
+    dealt = rows.select("bucket", "key", "h", "doc_id", "text", F.lit(False).alias("is_next"), "copies").unionByName(firsts)
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "is_next", "key", "h", "text"), bool(hot)
+
+
+def each_copy(rows: DataFrame, together: int = 4096) -> DataFrame:
+    """``rows`` as often as ``copies`` says, those of one row in many tasks."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / together))).alias("_part")
+    dealt = rows.select("*", parts).repartition(n)
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(together).cast("long"), F.col("copies") - F.col("_part") * together)))
+    return dealt.select(*(c for c in rows.columns if c != "copies"), each.alias("_copy")).drop("_copy")
 
 
 def next_edit_digest(docs: DataFrame) -> DataFrame:
@@ -177,30 +191,37 @@ def next_edit_digest(docs: DataFrame) -> DataFrame:
     followed by itself. Empty texts have no anchors: alike to each other (1.0), unlike any other (0.0). Empty table: no
     rows. Other columns are not read.
     """
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_anchors", "in_place_edited", "at_one_distance_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_anchors", "in_place_edited", "at_one_distance_next", "copies"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+
+    def told(now: tuple, after: tuple, copies: int) -> tuple:
+        (d, t, a, f), (_, text, own, g_next) = now, after
+        quarter = len(t) // 4
+        edited = t[: len(t) - quarter] + text[:quarter]
+        e = a if edited == t else anchored(edited)
+        g = slots_of(e[1])
+        return d, len(t), hashlib.sha256(edited.encode()).hexdigest(), f, g, likeness(f, g), likeness(f, g_next), len(a[0]), in_place(a, e), at_one_distance(a, own), copies
 
     def run(batches):
         held = None  # the row that waits for the next one
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 out = []
-                for bucket, doc, text, is_next in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
+                for bucket, doc, text, is_next, copies in zip(*(part.column(k).to_pylist() for k in range(5)), strict=True):
                     own = anchored(text)
                     now = (doc, text, own, slots_of(own[1]))
                     if held is not None and held[0] == bucket:
-                        d, t, a, f = held[1]
-                        quarter = len(t) // 4
-                        edited = t[: len(t) - quarter] + text[:quarter]
-                        e = a if edited == t else anchored(edited)
-                        g = slots_of(e[1])
-                        out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), f, g, likeness(f, g), likeness(f, now[3]), len(a[0]), in_place(a, e), at_one_distance(a, own)))
+                        out.append(told(held[1], now, 1))
+                    if copies > 1:  # all but the last are followed by their like
+                        out.append(told(now, now, copies - 1))
                     held = None if is_next else (bucket, now)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_anchors long, in_place_edited long, at_one_distance_next long"
-    return in_order(docs).select("bucket", "doc_id", "text", "is_next").mapInArrow(run, schema)
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_anchors long, in_place_edited long, at_one_distance_next long, copies long"
+    rows, several = in_order(docs)
+    found = rows.select("bucket", "doc_id", "text", "is_next", "copies").mapInArrow(run, schema)
+    return each_copy(found) if several else found.drop("copies")
 
 
 def op7_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,7 +253,7 @@ def test_rows_of_one_hot_id_are_parted_and_meet_in_one_ring(spark, docs, prose):
     import pyspark.sql.functions as F
 
     made = docs([(None, prose(30, i)) for i in range(40)] + [(7, prose(30, 100 + i)) for i in range(60)] + [(i, prose(30, 500 + i)) for i in range(20)])
-    dealt = op7_syncmers.in_order(made)
+    dealt = op7_syncmers.in_order(made)[0]
     assert dealt.where("not is_next and doc_id = 7").select("bucket").distinct().count() > 2 and dealt.where("not is_next and doc_id is null").select("bucket").distinct().count() > 1
     rows = made.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h")).collect()
     ring = [r["text"] for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))]
@@ -261,6 +261,19 @@ def test_rows_of_one_hot_id_are_parted_and_meet_in_one_ring(spark, docs, prose):
     assert sorted(r["edited_sha256"] for r in op7_syncmers.next_edit_digest(made).collect()) == want
 
 
+def test_equal_rows_of_one_id_go_as_one(spark, docs, prose):
+    import pyspark.sql.functions as F
+
+    made = docs([(None, prose(30, 1))] * 900 + [(7, prose(30, 2))] * 700 + [(7, prose(30, 3))] * 2 + [(i, prose(30, 500 + i)) for i in range(300)]).repartition(5)
+    dealt, several = op7_syncmers.in_order(made)
+    assert several and dealt.where("not is_next and (doc_id is null or doc_id = 7)").agg(F.count(F.lit(1)), F.sum("copies")).first()[:] in [(3, 1602), (4, 1603)]
+    rows = made.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h")).collect()
+    ring = [(r["doc_id"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))]
+    want = sorted((str(d), hashlib.sha256((a[: len(a) - len(a) // 4] + b[: len(a) // 4]).encode()).hexdigest(), op7_syncmers.likeness(op7_syncmers.fingerprint(a)[0], op7_syncmers.fingerprint(b)[0])) for (d, a), (_, b) in zip(ring, ring[1:] + ring[:1], strict=True))
+    found = op7_syncmers.next_edit_digest(made)
+    assert sorted((str(r["doc_id"]), r["edited_sha256"], r["near_next"]) for r in found.collect()) == want
+
+
 def test_passages_show_at_their_offset(spark, docs, prose):
     shared = prose(80, 9)
     anchors = op7_syncmers.anchors(docs([(1, prose(20, 1) + shared), (2, prose(50, 2) + shared)]))
