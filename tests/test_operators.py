@@ -471,7 +471,10 @@ def test_budgets(spark):
     many = [request(i, fingerprint=f"{i:08x}", title=f"x (fp:{i:08x})", incident_id=f"{i}") for i in range(1, 9)]
     out, reasons = decided(spark, many, [issue(i, title=f"old (fp:{100 + i:08x})") for i in range(2)], max_per_day=6, max_open=5)
     assert reasons == ["file"] * 3 + ["budget-open"] * 5  # a request that is refused on one budget doesn't use up the other
-    assert {(r["scope"], r["cap"]) for r in IS.budget_alerts(out, CFG.but(max_per_day=6, max_open=5)).collect()} == {("day", 6), ("open", 5)}
+    assert {(r["scope"], r["cap"]) for r in IS.budget_alerts(out, CFG.but(max_per_day=6, max_open=5)).collect()} == {("open", 5)}
+    few, reasons = decided(spark, many, [issue(i, title=f"old (fp:{100 + i:08x})") for i in range(2)], max_per_day=3, max_open=5)
+    assert reasons == ["file"] + ["budget-day"] * 7
+    assert {(r["scope"], r["cap"]) for r in IS.budget_alerts(few, CFG.but(max_per_day=3, max_open=5)).collect()} == {("day", 3)}
     assert IS.next_pending(out).count() == 5
 
 
