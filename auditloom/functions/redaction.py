@@ -117,20 +117,22 @@ def _identity_value(key: str, value: str) -> str:
     return kind + slash + _prefix(rest) if compact == "resource" and kind and rest else _prefix(value)
 
 
+#: What a line must have for the pattern, the pattern, and what it becomes.
 _IDENTITIES = [
-    (re.compile(r'"([A-Za-z0-9_.-]+)"(\s*:\s*)"((?:\\.|[^"\\])*)"'), '"{}"{}"{}"'),
-    (re.compile(r'\\"([A-Za-z0-9_.-]+)\\"(\s*:\s*)\\"((?:(?!\\").)*)\\"'), '\\"{}\\"{}\\"{}\\"'),
-    (re.compile(r'([A-Za-z0-9_.-]+)(\s*=\s*)"([^"\n]*)"'), '{}{}"{}"'),
-    (re.compile(r"([A-Za-z0-9_.-]+)(\s*=\s*)'([^'\n]*)'"), "{}{}'{}'"),
-    (re.compile(r"""([A-Za-z0-9_.-]+)(\s*=\s*)([^\s"'()]+)"""), "{}{}{}"),
-    (re.compile(r"^(\s*[A-Za-z0-9_.-]+)(:\s*)(\S.*)$"), "{}{}{}"),
+    ('"', re.compile(r'"([A-Za-z0-9_.-]+)"(\s*:\s*)"((?:\\.|[^"\\])*)"'), '"{}"{}"{}"'),
+    ('\\"', re.compile(r'\\"([A-Za-z0-9_.-]+)\\"(\s*:\s*)\\"((?:(?!\\").)*)\\"'), '\\"{}\\"{}\\"{}\\"'),
+    ('"', re.compile(r'([A-Za-z0-9_.-]+)(\s*=\s*)"([^"\n]*)"'), '{}{}"{}"'),
+    ("'", re.compile(r"([A-Za-z0-9_.-]+)(\s*=\s*)'([^'\n]*)'"), "{}{}'{}'"),
+    ("=", re.compile(r"""([A-Za-z0-9_.-]+)(\s*=\s*)([^\s"'()]+)"""), "{}{}{}"),
+    (":", re.compile(r"^(\s*[A-Za-z0-9_.-]+)(:\s*)(\S.*)$"), "{}{}{}"),
 ]
 
 
 def _shorten(lines: pd.Series) -> pd.Series:
     def one(line: str) -> str:
-        for pattern, shape in _IDENTITIES:
-            line = pattern.sub(lambda m, s=shape: s.format(m[1], m[2], _identity_value(m[1], m[3])), line)
+        for sign, pattern, shape in _IDENTITIES:
+            if sign in line:
+                line = pattern.sub(lambda m, s=shape: s.format(m[1], m[2], _identity_value(m[1], m[3])), line)
         return line
 
     return lines.fillna("").map(one)

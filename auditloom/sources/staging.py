@@ -37,7 +37,14 @@ def parquet_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+#: Rows of one task where heavy expressions follow.
+ROWS = 20_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if it was read in fewer parts, as a file of one row group is; heavy expressions follow."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """``df``, the rows of a table, over all cores and at most about ROWS to a task; heavy expressions follow.
+
+    However few parts or groups of rows its files have: a part without a group of rows of its own has nothing to do. The rows
+    of Parquet files are counted from their footers.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS)))

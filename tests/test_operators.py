@@ -22,6 +22,7 @@ from auditloom.operators.batching import chunk_numbers, make_batches
 from auditloom.sources import adapter as AD
 from auditloom.sources import audit as AU
 from auditloom.sources import logs as L
+from auditloom.sources import staging
 from auditloom.operators.incidents import next_state
 
 CFG = Config()
@@ -221,6 +222,15 @@ def test_batches_are_redacted_and_bounded(spark):
     assert len({b["batch_id"] for b in made}) == len(made)
 
 
+def test_rows_are_spread_however_few_parts_hold_them(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(staging, "ROWS", 50)
+    path = str(tmp_path / "one.parquet")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    for frame in (spark.read.parquet(path), spark.range(1000).repartition(8, F.lit(1))):
+        sizes = [len(part) for part in staging.spread(frame).rdd.glom().collect()]
+        assert sum(sizes) == 1000 and len(sizes) == 20 and max(sizes) <= 60
+
+
 # --- stability ---
 
 
