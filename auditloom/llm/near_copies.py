@@ -7,9 +7,9 @@ node's minima under many hash functions, a few to a band: two sets of similarity
 s^ROWS. Each candidate's similarity is counted from the two texts before it becomes a link, so no key links unlike texts.
 
 First each node of a key makes a pair with the key's least node: that links most of what is alike with about a pair a node.
-Then keys with few nodes give the pairs that are not linked yet. Nodes of wide keys meet again under pairs of their wide
-keys, which parts unlike ones: a fixed number for each node. What is wide even so is a family of near copies, and each
-member makes a pair with a centre, another one for each two keys. So the rows don't grow with the square of a key's nodes.
+Then all pairs of a key whose ends are in different groups are compared. Keys with few nodes list them. In wide ones the nodes
+outside of the largest group meet all nodes in tiles, which count what the sets have in common and give only links: the
+rows are those of the nodes, not of their pairs, and no pair is left out.
 """
 
 from __future__ import annotations
@@ -30,10 +30,8 @@ from .shared import Scratch, components, written
 SHINGLE, LIKE = 5, 0.8
 #: At a similarity of 0.8 a pair shares a key with probability 1 - (1 - 0.8^5)^24 = 0.99993.
 BANDS, ROWS = 24, 5
-#: A key with more nodes is wide; wide keys of a node meet in pairs of bands that lie so far apart.
-FEW, APART = 16, (1, 5)
-#: Members of a wide key's largest group that the others are compared with in a round; rounds without a link before the end.
-CENTRES, IDLE = 8, 2
+#: A key with more nodes is wide; so many nodes, or shingles of theirs, are one side of a tile.
+FEW, TILE, TILE_SHINGLES = 16, 4096, 1 << 20
 #: Of one bit of each minimum, so many agree at least if a pair is to be counted: at 0.8 nine tenths do, 4.4 deviations more.
 AGREE = 94
 #: Shingles of one text that are mixed at a time, and whose bits are counted at a time.
@@ -171,36 +169,14 @@ def links(nodes: DataFrame, prints: DataFrame, texts_of: Callable[[DataFrame], D
 
     ``texts_of`` gives ``(node, text)`` of the nodes that it is asked for.
     """
-    shared = _met(nodes.select("node", F.posexplode("keys").alias("band", "key")), put)
+    shared = _met(nodes.select("node", "n", F.explode("keys").alias("key")), put)
     near = put(_by_simhash(prints, put), "near")
     first = near.unionByName(shared.select(F.col("node").alias("a"), F.col("centre").alias("b")))
     linked = put(confirmed(put(_likely(first, nodes, put), "likely"), texts_of, put), "first")
     roots = put(components(linked, put=put).select("node", F.col("component").alias("root")), "roots")
-    rooted = put(shared.select("key", "band", "node", "members").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    rest = _apart(rooted.where(F.col("members") <= FEW))
-    wide = put(rooted.where(F.col("members") > FEW).select("node", "root", "band", "key"), "wide")
-    some = not wide.isEmpty()
-    if some:
-        own = wide.groupBy("node", "root").agg(F.map_from_entries(F.collect_list(F.struct("band", "key"))).alias("by"))  # BANDS keys at most
-        both = F.array_compact(F.flatten(F.transform(F.map_entries("by"), lambda e: F.array(*(F.xxhash64(e["value"], F.try_element_at(F.col("by"), ((e["key"] + k) % BANDS).cast("int")), F.lit(k)) for k in APART)))))
-        there = F.transform(F.map_entries("by"), lambda e: F.array(*(F.try_element_at(F.col("by"), ((e["key"] + k) % BANDS).cast("int")).isNotNull() for k in APART)))
-        both = F.transform(F.filter(F.arrays_zip(both.alias("k"), F.flatten(there).alias("t")), lambda z: z["t"]), lambda z: z["k"])
-        twice = _met(own.select("node", "root", F.explode(both).alias("key")), put)
-        rest = rest.unionByName(_apart(twice.where(F.col("members") <= FEW)))
-    rest = put(confirmed(put(_likely(rest, nodes, put), "likely"), texts_of, put), "rest")
-    linked = linked.unionByName(rest)
-    return linked.unionByName(_families(put(twice.where(F.col("members") > FEW).select("key", "node"), "families"), _joined(roots, rest, put), nodes, texts_of, put)) if some else linked
-
-
-def _joined(roots: DataFrame, links: DataFrame, put) -> DataFrame:
-    """``roots(node, root)`` after more links ``(a, b)``; a node without a row is a root of its own."""
-    ends = links
-    for c in ("a", "b"):
-        ends = ends.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")).hint("merge"), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
-    ends = put(ends, "ends")
-    every = roots.unionByName(ends.select(F.col("a").alias("node"), F.col("root_a").alias("root"))).unionByName(ends.select(F.col("b").alias("node"), F.col("root_b").alias("root"))).distinct()
-    moved = components(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), put=put).withColumnRenamed("node", "root")
-    return put(every.join(moved.hint("merge"), "root", "left").select("node", F.coalesce("component", "root").alias("root")), "roots")
+    rooted = put(shared.select("key", "node", "n", "members").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    rest = put(confirmed(put(_likely(_apart(rooted.where(F.col("members") <= FEW)), nodes, put), "likely"), texts_of, put), "rest")
+    return linked.unionByName(rest).unionByName(_tiled(rooted.where(F.col("members") > FEW), texts_of, put))
 
 
 def _fits(n_a, n_b, bits_a, bits_b):
@@ -209,42 +185,49 @@ def _fits(n_a, n_b, bits_a, bits_b):
     return (F.least(n_a, n_b) >= LIKE * F.greatest(n_a, n_b)) & (differ <= BANDS * ROWS - AGREE)
 
 
-def _families(keyed: DataFrame, roots: DataFrame, nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], put: Scratch) -> DataFrame:
-    """Confirmed links ``(a, b)`` between the members of ``keyed(key, node)`` that are in different groups yet, round by round.
+def _tiled(wide: DataFrame, texts_of: Callable[[DataFrame], DataFrame], put: Callable) -> DataFrame:
+    """Links ``(a, b)`` between all like members of the keys of ``wide(key, node, n, root)`` that are in different groups, one for each member and group in a tile.
 
-    In each key the largest group gives some members, and the rest another one, to be compared with each member that isn't in
-    that group; other members in each round, and twice as many up to CENTRES. What sizes and bits rule out makes no row. Rounds
-    go on while they link something and IDLE more, so what is left to compare shrinks to those that are like no other. A key
-    with one group is done. A round's own tables are deleted when it is over.
+    One end of such a pair is outside of the key's largest group. So these members are dealt into the key's rows of tiles and all
+    members into its columns; a tile holds both. Neither side of a tile has many more than TILE members or TILE_SHINGLES.
     """
-    told = ("n", "bits_a", "bits_b")
-    keyed = put(keyed.join(nodes.select("node", *told).hint("merge"), "node"), "families")
-    links, idle, number = None, 0, 0
-    nothing = roots.limit(0).select(F.col("node").alias("a"), F.col("root").alias("b"))
-    while idle <= IDLE:
-        here, centres = Scratch(put.spark, "near-copies-round"), min(CENTRES, 1 << number)
-        rooted = here(keyed.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-        member = F.struct("node", "root", *told)
-        chosen = [F.min_by(member, F.xxhash64("node", "key", F.lit(number * (CENTRES + 1) + i))).alias(f"c{i}") for i in range(centres)]
-        groups = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), *chosen)
-        most = groups.groupBy("key").agg(F.max_by(F.struct("root", F.array_distinct(F.array(*(f"c{i}" for i in range(centres)))).alias("centres")), F.struct("size", "root")).alias("most"), F.count(F.lit(1)).alias("groups"))
-        most = here(most.where("groups > 1").select("key", F.col("most.root").alias("largest"), F.col("most.centres").alias("centres")), "largest")
-        waits = here(rooted.join(most.hint("merge"), "key").where("root <> largest").drop("largest"), "waits")
-        if waits.isEmpty():
-            here.clear()
-            break
-        other = here(waits.groupBy("key").agg(F.min_by(member, F.xxhash64("node", "key", F.lit(-1 - number))).alias("other")), "other")
-        every = waits.join(other.hint("merge"), "key").withColumn("centres", F.concat("centres", F.array("other")))
-        likely = F.filter("centres", lambda c: (c["root"] != F.col("root")) & _fits(F.col("n"), c["n"], (F.col("bits_a"), F.col("bits_b")), (c["bits_a"], c["bits_b"])))
-        pairs = every.select("node", F.explode(F.transform(likely, lambda c: c["node"])).alias("with"))
-        pairs = here(pairs.select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct(), "asked")
-        found = put(confirmed(pairs, texts_of, here), "found")
-        number, idle = number + 1, idle + 1 if found.isEmpty() else 0
-        if not idle:
-            links = found if links is None else links.unionByName(found)
-            keyed, roots = put(keyed.join(most.select("key").hint("merge"), "key", "left_semi"), "families"), _joined(roots, found, put)
-        here.clear()
-    return nothing if links is None else links
+    groups = wide.groupBy("key", "root").agg(F.struct(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n")).alias("size"))
+    most = groups.groupBy("key").agg(F.max_by(F.struct("root", "size"), F.struct("size", "root")).alias("largest"), F.sum("size.members").alias("members"), F.sum("size.n").alias("n"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    cut = lambda members, n: F.greatest(F.ceil(members / TILE), F.ceil(n / TILE_SHINGLES), F.lit(1)).cast("long")
+    most = put(most.select("key", F.col("largest.root").alias("largest"), cut(F.col("members"), F.col("n")).alias("across"), cut(F.col("members") - F.col("largest.size.members"), F.col("n") - F.col("largest.size.n")).alias("down")), "largest")
+    mixed = put(wide.join(most.hint("merge"), "key"), "mixed")
+    if mixed.isEmpty():
+        return mixed.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    at, place = F.xxhash64("node", "key"), lambda down, across, asks: F.struct(down.alias("down"), across.alias("across"), F.lit(asks).alias("asks"))
+    told = F.transform(F.sequence(F.lit(0).cast("long"), F.col("down") - 1), lambda k: place(k, F.pmod(at, F.col("across")), False))
+    asks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("across") - 1), lambda k: place(F.pmod(at, F.col("down")), k, True))
+    dealt = mixed.select("key", "node", "root", F.explode(F.when(F.col("root") == F.col("largest"), told).otherwise(F.concat(told, asks))).alias("tile")).select("key", "node", "root", "tile.*")
+    texts = put(texts_of(mixed.select("node").distinct()), "texts")
+    made = dealt.join(texts.hint("merge"), "node").groupBy("key", "down", "across").applyInArrow(_links_of_tile, "a long, b long")
+    return put(made.distinct(), "tiled")
+
+
+def _links_of_tile(tile: pa.Table) -> pa.Table:
+    """Links ``(a, b)`` of the rows ``tile(node, root, asks, text)`` that ask to the others whose sets are like theirs, one to each other group."""
+    node, root = (tile.column(c).to_numpy() for c in ("node", "root"))
+    asks = np.array(tile.column("asks").to_pylist(), bool)
+    sets = [shingles(t.as_py() or "") for t in tile.column("text")]
+    told, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
+    sizes = np.array([len(sets[i]) for i in told], np.int64)
+    every = np.concatenate([sets[i] for i in told]) if len(told) else np.zeros(0, np.uint64)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], np.repeat(np.arange(len(told)), sizes)[order]
+    a, b = [], []
+    for i in asking:
+        start, end = (np.searchsorted(every, sets[i], side) for side in ("left", "right"))
+        runs = end - start
+        found = owner[np.repeat(start - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())]  # the owners of each run, one run after the other
+        common = np.bincount(found, minlength=len(told))
+        like = np.flatnonzero((common / np.maximum(len(sets[i]) + sizes - common, 1) >= LIKE) & (root[told] != root[i]))
+        for k in like[np.unique(root[told[like]], return_index=True)[1]]:
+            a.append(node[i])
+            b.append(node[told[k]])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def placed(docs: DataFrame) -> tuple[DataFrame, str, str]:

@@ -117,3 +117,11 @@ def test_wide_families_are_joined(spark, docs):
         start += len(f)
     assert all(groups <= left for _, groups, left in told), told
     assert sum(n - left for n, _, left in told) >= 0.99 * sum(n - groups for n, groups, _ in told), told
+
+
+def test_wide_families_are_joined_as_all_pairs_join_them(spark, docs, monkeypatch):
+    """Members that are like very few of their family, in tiles of many keys."""
+    monkeypatch.setattr(near_copies, "TILE", 60)
+    families = [family(4, 5, 7, size=400), family(3, 3, 19, size=300)]
+    texts = [t for f in families for t in f]
+    assert len(kept(spark, docs(list(enumerate(texts))))) == sum(map(groups_of, families))
